@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from .byte_bpe import op7_byte_bpe
+from .embeddings import op1_embedding_dedup
 from .packing import op3_packing
+from .quality import op8_quality
+from .simhash import op6_simhash
+from .toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
+    "op6_simhash": op6_simhash,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_quality": op8_quality,
 }
 
 ORACLE: dict[str, str] = {}
