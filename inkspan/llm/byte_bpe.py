@@ -37,34 +37,59 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def _press(*arrays) -> bytes:
+def _press(*parts: bytes | np.ndarray) -> bytes:
+    """Byte strings, and arrays of unsigned 32-bit numbers in planes of bytes, each pressed alone: like bytes lie together."""
     import zstandard
 
-    parts = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
-    return zstandard.compress(b"".join(len(p).to_bytes(8, "little") + p for p in parts), 3)
+    out = []
+    for part in parts:
+        for plane in [part] if isinstance(part, bytes) else np.ascontiguousarray(part, "<u4").view(np.uint8).reshape(-1, 4).T:
+            pressed = zstandard.compress(plane if isinstance(plane, bytes) else plane.tobytes(), 3)
+            out += [len(pressed).to_bytes(4, "little"), pressed]
+    return b"".join(out)
 
 
-def _unpress(data: bytes) -> list[bytes]:
-    import zstandard
+class _Parts:
+    """Reads what ``_press`` has written."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def string(self) -> bytes:
+        import zstandard
+
+        to = self.at + 4 + int.from_bytes(self.data[self.at : self.at + 4], "little")
+        part, self.at = self.data[self.at + 4 : to], to
+        return zstandard.decompress(part)
+
+    def numbers(self) -> np.ndarray:
+        planes = [np.frombuffer(self.string(), np.uint8) for _ in range(4)]
+        return np.stack(planes, axis=1).reshape(-1).view("<u4").astype(np.int64)
+
 
-    data, parts = zstandard.decompress(data), []
-    while data:
-        n = int.from_bytes(data[:8], "little")
-        parts.append(data[8 : 8 + n])
-        data = data[8 + n :]
-    return parts
+#: Codes of a position: a word that the block has not had yet, and a word whose number is kept apart.
+NEW, APART = 254, 255
 
 
-def _varint_columns(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Small numbers in one byte each, the rest apart in four: frequent words have small numbers."""
-    small = values < 255
-    return np.where(small, values, 255).astype(np.uint8).tobytes(), values[~small].astype("<u4").tobytes()
+def _position_codes(flat: np.ndarray, frequent: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Numbers count words in order of appearance, so a new word needs no number; ``frequent`` words have a byte of their own."""
+    code = np.full(int(flat.max(initial=-1)) + 1, APART, np.uint8)
+    code[frequent] = np.arange(len(frequent))
+    codes = code[flat]
+    most = np.maximum.accumulate(flat)
+    new = np.concatenate([[True], most[1:] > most[:-1]])[: len(flat)]
+    codes[new] = NEW
+    return codes.tobytes(), flat[codes == APART], frequent
 
 
-def _from_columns(first: bytes, rest: bytes) -> np.ndarray:
-    values = np.frombuffer(first, np.uint8).astype(np.int64)
-    values[values == 255] = np.frombuffer(rest, "<u4")
-    return values
+def _positions(codes: bytes, apart: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    codes = np.frombuffer(codes, np.uint8)
+    out = np.zeros(len(codes), np.int64)
+    new = codes == NEW
+    out[new] = np.arange(int(new.sum()))
+    out[codes == APART] = apart
+    out[codes < NEW] = frequent[codes[codes < NEW]]
+    return out
 
 
 def _deal(words: list[str], buckets: int) -> np.ndarray:
@@ -72,19 +97,17 @@ def _deal(words: list[str], buckets: int) -> np.ndarray:
 
 
 def block_rows(block: str, ids: list, numbers: list[list[int]], index: dict[str, int], buckets: int) -> Iterator[tuple]:
-    """A row of distinct words for each bucket, and one of all positions. A word's place is its rank by frequency."""
+    """A row of distinct words for each bucket, and one of all positions."""
     words = list(index)
     flat = np.fromiter(chain.from_iterable(numbers), np.int64, sum(map(len, numbers)))
-    order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-    place = np.empty(len(words), np.int64)
-    place[order] = np.arange(len(words))
     dealt = _deal(words, buckets)
-    by_bucket = np.lexsort((place, dealt))
+    by_bucket = np.argsort(dealt, kind="stable")
     for part in np.split(by_bucket, np.flatnonzero(np.diff(dealt[by_bucket])) + 1) if words else []:
         own = [words[i].encode("utf-8", "surrogatepass") for i in part]
-        yield block, int(dealt[part[0]]), WORDS, _press(np.diff(place[part], prepend=0).astype("<u4"), np.array([len(w) for w in own], "<u4"), b"".join(own))
-    lengths = np.array([len(n) for n in numbers], "<u4")
-    yield block, zlib.crc32(block.encode()) % buckets, POSITIONS, _press(np.array([-1 if i is None else i for i in ids], "<i8"), np.array([i is None for i in ids], np.uint8), lengths, *_varint_columns(place[flat]))
+        yield block, int(dealt[part[0]]), WORDS, _press(np.diff(part, prepend=0), np.array([len(w) for w in own]), b"".join(own))
+    frequent = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")[:NEW]
+    of_docs = [np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), np.array([len(n) for n in numbers], "<u4")]
+    yield block, zlib.crc32(block.encode()) % buckets, POSITIONS, _press(*of_docs, *_position_codes(flat, frequent))
 
 
 def to_blocks(batches: Iterator[pa.RecordBatch], buckets: int, block_words: int) -> Iterator[pa.RecordBatch]:
@@ -128,10 +151,10 @@ def encode_words(batches: Iterator[pa.RecordBatch], path: str, pattern: str) ->
             if row["kind"] == WORDS:
                 if row["bucket"] != bucket:
                     bucket, known = row["bucket"], {}
-                places, lengths, joined = _unpress(row["data"])
-                ends = np.cumsum(np.frombuffer(lengths, "<u4")).tolist()
+                parts = _Parts(row["data"])
+                places, ends, joined = parts.numbers(), np.cumsum(parts.numbers()).tolist(), parts.string()
                 own = [ids_of(joined[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-                row["data"] = _press(places, np.array([len(i) // 4 for i in own], "<u2" if max(map(len, own)) < 1 << 17 else "<u4"), b"".join(own))
+                row["data"] = _press(places, np.array([len(i) // 4 for i in own]), np.frombuffer(b"".join(own), "<u4"))
                 row["kind"] = IDS
             yield pa.RecordBatch.from_pylist([row], schema=_ROW_SCHEMA)
 
@@ -142,22 +165,25 @@ OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def assemble(rows: list[dict], token_bytes: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple]:
     """One block: ids at their positions, then each document's digests. Decoding looks each id up in the token-byte table."""
     joined, starts = token_bytes
-    doc_ids, missing, lengths, first, rest = _unpress(next(r["data"] for r in rows if r["kind"] == POSITIONS))
-    parts = [_unpress(r["data"]) for r in rows if r["kind"] == IDS]
-    places = [np.cumsum(np.frombuffer(p[0], "<u4").astype(np.int64)) for p in parts]
-    counts = [np.frombuffer(p[1], "<u2" if len(p[1]) == 2 * len(at) else "<u4").astype(np.int64) for p, at in zip(parts, places, strict=True)]
+    held = _Parts(next(r["data"] for r in rows if r["kind"] == POSITIONS))
+    doc_ids, missing, lengths = np.frombuffer(held.string(), "<i8"), held.string(), held.numbers()
+    position = _positions(held.string(), held.numbers(), held.numbers())
+    places, counts, pools = [], [], []
+    for parts in (_Parts(r["data"]) for r in rows if r["kind"] == IDS):
+        places.append(np.cumsum(parts.numbers()))
+        counts.append(parts.numbers())
+        pools.append(parts.numbers().astype("<u4"))
     n_words = sum(map(len, places))
     count, start, at = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64), 0
     for place, k in zip(places, counts, strict=True):
         count[place] = k
         start[place] = at + np.cumsum(k) - k
         at += int(k.sum())
-    pool = np.frombuffer(b"".join(p[2] for p in parts), "<u4")
-    position = _from_columns(first, rest)
+    pool = np.concatenate([*pools, np.zeros(0, "<u4")]).astype("<u4")
     if len(position) and (position.max() >= n_words or (count == 0).any()):
         raise ValueError("a block came back without some of its words")
     at = 0
-    for doc_id, null, k in zip(np.frombuffer(doc_ids, "<i8").tolist(), missing, np.frombuffer(lengths, "<u4").tolist(), strict=True):
+    for doc_id, null, k in zip(doc_ids.tolist(), missing, lengths.tolist(), strict=True):
         own = position[at : at + k]
         at += k
         ids = pool[_spread(start[own], count[own])]
