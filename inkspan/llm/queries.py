@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from .byte_bpe import op7_byte_bpe
 from .embeddings import op1_embedding_dedup
+from .fingerprint import op2_fingerprint
+from .html_text import op9_html_text
 from .packing import op3_packing
 from .quality import op8_quality
+from .sharding import op5_sharding
 from .simhash import op6_simhash
 from .toxicity import op4_toxicity
+from .warc import op10_warc
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_fingerprint": op2_fingerprint,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality": op8_quality,
+    "op9_html_text": op9_html_text,
+    "op10_warc": op10_warc,
 }
 
 ORACLE: dict[str, str] = {}
