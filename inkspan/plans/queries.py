@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seeds import seeded
-from ..operators import detect, score
-from . import oracle
+from ..operators import detect, score, stats
+from . import oracle, oracle_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,3 +51,16 @@ OPERATORS: dict[str, tuple[Query, str | None]] = {
     "band_counts": (_bands, oracle.band_counts()),
     "category_rollup": (_rollup, oracle.category_rollup()),
 } | {f"detect_{key}": (_detector(key), oracle.pattern_findings([key])) for key in detect.BY_KEY}
+
+
+def _measure(name: str) -> tuple[Query, str]:
+    return (lambda spark, sf_dir: getattr(stats, name)(seeded(spark, sf_dir))), getattr(oracle_stats, name)()
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = seeded(spark, sf_dir)
+    return stats.passage_density(docs, detect.all_findings(docs))
+
+
+MEASURES = ("rhythm", "openers", "transitions", "passives", "long_sentences", "semicolons", "similar_paragraphs", "headings", "numbered_runs", "stylometrics")
+OPERATORS |= {name: _measure(name) for name in MEASURES} | {"passage_density": (_passages, oracle_stats.passage_density())}
