@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.seeds import seeded
-from ..operators import detect, score, stats
-from . import oracle, oracle_stats
+from ..functions.seeds import documents, seeded
+from ..operators import corpus, detect, integrity, pairs, review, score, stats
+from . import oracle, oracle_more, oracle_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,3 +64,55 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MEASURES = ("rhythm", "openers", "transitions", "passives", "long_sentences", "semicolons", "similar_paragraphs", "headings", "numbered_runs", "stylometrics")
 OPERATORS |= {name: _measure(name) for name in MEASURES} | {"passage_density": (_passages, oracle_stats.passage_density())}
+
+
+def _over_seeded(module, name: str, oracle_name: str = "") -> tuple[Query, str]:
+    return (lambda spark, sf_dir: getattr(module, name)(seeded(spark, sf_dir))), getattr(oracle_more, oracle_name or name)()
+
+
+def _baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded documents against the plain ones, of which a third is missing; one kind is switched off."""
+    before = integrity.kind_counts(documents(spark, sf_dir).where("doc_id % 3 <> 1").select("doc_id", "text"))
+    enabled = tuple(k for k in integrity.KINDS if k != "homoglyph")
+    return integrity.compare_to_baseline(integrity.kind_counts(seeded(spark, sf_dir)), before, enabled)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeded(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.col("text").alias("source"), F.expr(pairs.CANDIDATE_SQL).alias("candidate"))
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.shapes(seeded(spark, sf_dir)).select("doc_id", *[F.array_join(s, " ").alias(s) for s in corpus.SLOTS])
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return review.routed(turns.withColumn("text", F.expr(review.SEEDED_REQUEST)))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of labelled documents: low quality is expected to score under 95."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    told = _scores(spark, sf_dir).select("doc_id", "score").join(documents(spark, sf_dir).select("doc_id", "lang", "source"), "doc_id").join(labels, "doc_id")
+    return told.select("lang", "source", "score", (F.col("quality") * 100).alias("target"), (F.col("quality") == 0).alias("expected"), (F.col("score") < 95).alias("flagged"))
+
+
+OPERATORS |= {
+    "integrity_findings": _over_seeded(integrity, "integrity_findings"),
+    "edit_defects": _over_seeded(integrity, "edit_defects"),
+    "baseline_states": (_baseline, oracle_more.baseline()),
+    "tracking_pages": (lambda spark, sf_dir: integrity.tracking_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")), oracle_more.tracking_pages()),
+    "literal_changes": (lambda spark, sf_dir: pairs.multiset_changes(_pairs(spark, sf_dir), pairs.LITERALS), oracle_more.literal_changes()),
+    "anchor_changes": (lambda spark, sf_dir: pairs.multiset_changes(_pairs(spark, sf_dir), pairs.ANCHORS), oracle_more.anchor_changes()),
+    "marker_changes": (lambda spark, sf_dir: pairs.marker_changes(_pairs(spark, sf_dir)), oracle_more.marker_changes()),
+    "digests": _over_seeded(pairs, "digests"),
+    "repairs": _over_seeded(pairs, "repairs"),
+    "repaired": _over_seeded(pairs, "repaired"),
+    "shapes": (_shapes, oracle_more.shapes()),
+    "convergent": _over_seeded(corpus, "convergent"),
+    "routed": (_routed, oracle_more.routed()),
+    "decisions": (lambda spark, sf_dir: review.decisions(_weighed(spark, sf_dir)), oracle_more.decisions()),
+    "interventions": (lambda spark, sf_dir: review.interventions(_weighed(spark, sf_dir)), oracle_more.interventions()),
+    "pooled_rates": (lambda spark, sf_dir: review.pooled_rates(_labelled(spark, sf_dir)), oracle_more.pooled_rates()),
+    "agreement": (lambda spark, sf_dir: review.agreement(_labelled(spark, sf_dir)), oracle_more.agreement()),
+}
