@@ -140,13 +140,15 @@ def compare_tiles(placed: DataFrame, threshold: float, lots: int, small: int = 2
     def compare(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["key", "i", "j", "rep"], ignore_index=True)
-        group = pdf.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy()
-        size = np.bincount(group)[group]
-        few = size <= small
-        out = _small_groups(pdf[few], group[few], threshold) if few.any() else []
-        for _, rows in pdf[~few].groupby(group[~few]):
-            out += _large_group(rows, threshold)
+        out: list[tuple] = []
+        for _, same in pdf.groupby(pdf["embedding"].map(len)):
+            rows = same.sort_values(["key", "i", "j", "rep"], ignore_index=True)
+            group = rows.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy()
+            few = np.bincount(group)[group] <= small
+            if few.any():
+                out += _small_groups(rows[few], group[few], threshold)
+            for _, large in rows[~few].groupby(group[~few]):
+                out += _large_group(large, threshold)
         return pd.DataFrame(out, columns=["rep", "links", "root"])
 
     return placed.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(lots)).alias("lot")).applyInPandas(compare, "rep long, links long, root long")

@@ -101,7 +101,9 @@ class WarcReader(DataSourceReader):
         found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
         return [ArchivePartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.base_name.endswith(".warc")]
 
-    def read(self, partition: ArchivePartition) -> Iterator[tuple]:
+    def read(self, partition: ArchivePartition | None) -> Iterator[tuple]:
+        if partition is None:  # of a folder without archives
+            return
         fs, _ = file_system(self.path)
         with fs.open_input_file(partition.path) as stream:
             yield from read_records(io.BufferedReader(_Raw(stream), 1 << 20), self.names, self.wanted)
