@@ -25,6 +25,8 @@ TAILS = [
     " The pаypal link has a zero​width mark and a soft­hyphen. ",
     " If costs rise, we must not cut more than 5 km because at least all NASA teams said no. According to Gartner 12 companies saw a crucial impact, measured on 2024-03-05 and 5 March 2021. Perhaps it always fails. ",
     " Use `delve` in code and \"robust quotes\" here.\n```\nleverage synergy\n```\nNothing else to see. ",
+    " In this article we cover a number of things. Simply put, it is remarkable. I think we should wait, because without it the cost is high. Certainly, a range of teams agree. In conclusion, overall it failed at 10:30 on monday. The best part: it learns fast. Now it runs, and\nthen stops, and it ran, and it sat.\n\nNorthern sailors painted seven wooden boats before winter storms arrived.\n\nCheap rubber gloves protect careful gardeners against thorny rose stems.\n\nLoud market traders weigh ripe orange melons beside marble fountains. ",
+    " It was red, white, and blue. We had tea, milk, and bread. She saw cats, dogs, and birds. They read maps, charts, and logs. Ultimately the outage broke a version no longer expected. ",
     "",
 ]
 

@@ -18,6 +18,8 @@ from .common import scratch, table, text_or_empty
 
 #: Bytes of a full shard, how many shards of a tier are merged at least, the ratio of neighbouring tiers, the least tier's bytes.
 TARGET_BYTES, RUN, RATIO, LEAST_BYTES = 128 << 20, 4, 4, 1 << 20
+#: Versions whose shards stay when a store is tidied.
+KEEP_VERSIONS = 2
 #: Arrivals that the query appends.
 ARRIVALS = 8
 
@@ -74,7 +76,7 @@ class ShardStore:
     def _written(self, df: DataFrame) -> list[dict]:
         """Write rows as new shards and tell their files. A job that fails leaves files that no manifest lists."""
         folder = f"shards/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{folder}")
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
         files = [f for f in self._fs.listStatus(self._path(folder)) if f.getPath().getName().endswith(".parquet")]
         return [{"file": f"{folder}/{f.getPath().getName()}", "bytes": f.getLen(), "tier": self.tier(f.getLen())} for f in files]
 
@@ -115,9 +117,9 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame:
         return self.read_shards(self.manifest(version)["shards"])
 
-    def vacuum(self) -> int:
-        """Delete the shards that the latest version does not list: readers of older versions must have ended."""
-        live, gone = {s["file"] for s in self.manifest()["shards"]}, 0
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete the shards that none of the last ``keep`` versions lists: readers of older versions must have ended."""
+        live, gone = {s["file"] for v in self.versions()[-keep:] for s in self.manifest(v)["shards"]}, 0
         for folder in self._fs.listStatus(self._path("shards")):
             for f in self._fs.listStatus(folder.getPath()):
                 name = f"shards/{folder.getPath().getName()}/{f.getPath().getName()}"
@@ -130,18 +132,17 @@ class ShardStore:
 def shard(docs: DataFrame, path: str, arrivals: int = ARRIVALS, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Append ``docs`` to a store in ``arrivals`` parts, compact it, and read the committed version back, with each row's shard.
 
-    All columns are kept, nulls and repeated rows too; columns named shard or shard_bytes are replaced. Rows arrive by a
+    All columns are kept, nulls and repeated rows too; a column named shard is replaced. Rows arrive by a
     hash of all they hold, so that no source is an arrival of its own. No rows give no rows.
     """
     store = ShardStore(docs.sparkSession, path, target_bytes)
-    docs = docs.drop("shard", "shard_bytes")
+    docs = docs.drop("shard")
     arrives = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(arrivals))
     for k in range(arrivals):
         store.append(docs.where(arrives == k))
         store.compact()
-    told = store.manifest()
-    sizes = docs.sparkSession.createDataFrame([(s["file"].rsplit("/", 1)[-1], s["bytes"]) for s in told["shards"]], "shard string, shard_bytes long")
-    return store.read().withColumn("shard", F.element_at(F.split(F.input_file_name(), "/"), -1)).join(F.broadcast(sizes), "shard", "left")
+        store.vacuum(KEEP_VERSIONS)
+    return store.read().withColumn("shard", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,8 @@ def _keyed(fps: DataFrame, max_bits: int, segments: int, turned: bool) -> DataFr
         low2, width2 = bounds[(i + 1) % segments]
         both = F.col("fp").bitwiseAND(F.lit(_mask(low, width) | _mask(low2, width2)))
         flips = [0] + ([_mask(b, 1) for b in range(low2, low2 + width2)] if turned and 2 * max_bits // segments == 1 else [])
-        entries.append(F.struct(F.lit(i).cast("byte").alias("start"), F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f, both=both: both.bitwiseXOR(f)).alias("keys")))
+        keys = F.array(*[both.bitwiseXOR(F.lit(f).cast("long")) for f in flips])
+        entries.append(F.struct(F.lit(i).cast("byte").alias("start"), keys.alias("keys")))
     return fps.select("fp", F.inline(F.array(*entries))).select("start", F.explode("keys").alias("key"), "fp")
 
 

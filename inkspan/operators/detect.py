@@ -71,6 +71,7 @@ DETECTORS = [
     Detector("rather_than", r"(?i)\b\w[\w'-]*\s+rather\s+than\s+\w[\w'-]*\b", "code_quotes", excuse=f"{DECISION}|{RESULT}", around=60),
     Detector("unsourced_precision", STATISTIC, "code_quotes", excuse=f"{ESTIMATED}|{SOURCED}|{SUPPLIED}|{TECHNICAL}", around=120),
     Detector("social_reach_promise", r"(?i)\b(?:boost|grow|increase|drive|raise|expand|multiply|get more)\s+(?:your\s+)?(?:reach|engagement|impressions|visibility|saves|comments|likes|shares|followers|network|traffic|exposure)\b|\b(?:go(?:es)? viral|going viral)\b|\bthe algorithm (?:loves|rewards|prefers|boosts|picks up)\b|\balgorithmic (?:boost|benefit|growth)\b|\b(?:opening weight|dwell time)\b|\breach (?:a|the) wider audience\b|\bseen by more people\b|\bgrow your (?:network|audience)\b", "code"),
+    Detector("struct_artificial_line_breaks", r"[A-Za-z,]\n[a-z]", "code"),
     *(_signal(name) for name in SIGNALS),
 ]
 BY_KEY = {d.key: d for d in DETECTORS}

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seeds import documents, seeded
-from ..operators import corpus, detect, integrity, pairs, review, score, stats
-from . import oracle, oracle_more, oracle_stats
+from ..operators import corpus, detect, integrity, pairs, review, score, stats, substance
+from . import oracle, oracle_more, oracle_stats, oracle_substance
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,3 +116,10 @@ OPERATORS |= {
     "pooled_rates": (lambda spark, sf_dir: review.pooled_rates(_labelled(spark, sf_dir)), oracle_more.pooled_rates()),
     "agreement": (lambda spark, sf_dir: review.agreement(_labelled(spark, sf_dir)), oracle_more.agreement()),
 }
+
+
+def _substance(name: str) -> tuple[Query, str]:
+    return (lambda spark, sf_dir: getattr(substance, name)(seeded(spark, sf_dir))), getattr(oracle_substance, name)()
+
+
+OPERATORS |= {name: _substance(name) for name in ("dimensions", "venue_features", "paragraph_order", "tricolons", "colon_reveals")} | {"gate": (lambda spark, sf_dir: substance.gate(_pairs(spark, sf_dir)), oracle_substance.gate())}
