@@ -22,12 +22,22 @@ def wide_hash(canon: Column) -> Column:
     return F.concat(*[F.lpad(F.lower(F.hex(h)), 16, "0") for h in (F.xxhash64(canon), F.xxhash64(canon, F.length(canon), F.lit("wide")))])
 
 
+def marked_texts(docs: DataFrame) -> DataFrame:
+    """(canon, hash) of each distinct canonical text. Copies are combined before the shuffle, so a large group of them is one
+    row of each task, and a text is sent once."""
+    return docs.select(canonical(F.col("text")).alias("canon")).withColumn("hash", wide_hash(F.col("canon"))).distinct()
+
+
+def shared_hashes(marked: DataFrame) -> DataFrame:
+    """Hashes of several texts: texts are compared byte by byte by the distinct, so what is left of a hash differs."""
+    return marked.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+
+
 def clashing(docs: DataFrame) -> DataFrame:
     """(hash, canon, class): canonical texts that differ though their hashes are equal, by a comparison of bytes inside equal
-    buckets. Copies are combined before the shuffle, so a large group of them is one row of each task."""
-    marked = docs.select(canonical(F.col("text")).alias("canon")).withColumn("hash", wide_hash(F.col("canon")))
-    buckets = marked.groupBy("hash").agg(F.min("canon").alias("least"), F.max("canon").alias("most")).where(F.col("least") != F.col("most"))
-    held = marked.join(buckets.select("hash"), "hash", "left_semi").distinct()
+    buckets."""
+    marked = marked_texts(docs)
+    held = marked.join(shared_hashes(marked), "hash", "left_semi")
     return held.withColumn("class", F.row_number().over(Window.partitionBy("hash").orderBy("canon")) - 1)
 
 
@@ -84,8 +94,8 @@ def fingerprint_documents(docs: DataFrame, range_rows: int = RANGE_ROWS) -> Data
         "canon",
         "edited_canon",
     )
-    clashes = clashing(rows)
-    if not clashes.isEmpty():
+    if not shared_hashes(marked_texts(rows)).isEmpty():
+        clashes = clashing(rows)
         for name, canon in (("fingerprint", "canon"), ("edited_fingerprint", "edited_canon")):
             classes = clashes.select(F.col("hash").alias(name), F.col("canon").alias(canon), "class")
             told = told.join(classes, [name, canon], "left").withColumn(name, F.when(F.col("class") > 0, F.concat(F.col(name), F.lit("."), F.col("class"))).otherwise(F.col(name))).drop("class")
