@@ -2,13 +2,17 @@
 
 Reading plans one partition for each archive file, takes record-type and header predicates from Spark's filters, parses a
 record's header first and passes over the block of a record that is not wanted without decoding it. Writing gives each task
-files of bounded size under hidden names, which the commit on the driver renames.
+files of bounded size under hidden names, which the commit on the driver renames. Each record is a gzip member of its own,
+whose header tells the packed length, so that a record is passed over without unpacking its block.
 """
 
 from __future__ import annotations
 
+import gzip
 import io
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +27,8 @@ from .common import importable, scratch, small_batches, table
 SCHEMA = "page_id long, uri string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 #: Payloads of this many bytes or more are written once; an archive file is closed once it holds FILE_BYTES.
 LEAST_SHARED, FILE_BYTES = 1000, 256 << 20
+#: A gzip member's first bytes with an extra field, and that field: its length, the name of skip lengths, theirs, packed and unpacked length.
+GZIP_EXTRA, SKIP_LENGTHS = b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff", struct.Struct("<H2sHII")
 VERSION, PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 
@@ -46,6 +52,14 @@ def record_bytes(row) -> bytes:
     return b"".join([VERSION, b"\r\n", head, b"\r\n", http, payload, b"\r\n\r\n"])
 
 
+def packed(record: bytes) -> bytes:
+    """The record as a gzip member that tells its packed length."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = packer.compress(record) + packer.flush()
+    n = len(record) & 0xFFFFFFFF
+    return b"".join([GZIP_EXTRA, SKIP_LENGTHS.pack(SKIP_LENGTHS.size - 2, b"sl", 8, len(body), n), body, struct.pack("<II", zlib.crc32(record), n)])
+
+
 def read_header(stream) -> dict[str, str] | None:
     """Named fields of the next record, names in lower case; None at the end."""
     line = stream.readline()
@@ -99,45 +113,95 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         fs, root = file_system(self.path)
         found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
-        return [ArchivePartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.base_name.endswith(".warc")]
+        return [ArchivePartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.base_name.endswith((".warc", ".warc.gz"))]
 
     def read(self, partition: ArchivePartition | None) -> Iterator[tuple]:
         if partition is None:  # of a folder without archives
             return
         fs, _ = file_system(self.path)
-        with fs.open_input_file(partition.path) as stream:
-            yield from read_records(io.BufferedReader(_Raw(stream), 1 << 20), self.names, self.wanted)
+        with fs.open_input_file(partition.path) as file:
+            stream = io.BufferedReader(_Raw(file), 1 << 20)
+            yield from (read_packed if partition.path.endswith(".gz") else read_records)(stream, self.names, self.wanted)
+
+
+def read_record(stream, fields: dict[str, str], names: list[str], wanted: dict[str, set]) -> tuple[tuple | None, int]:
+    """The row of the record whose header was read, None if it is not wanted, and how many bytes of its block were not read."""
+    row = {
+        "page_id": _number(fields.get("warc-record-id")),
+        "uri": fields.get("warc-target-uri"),
+        "record_type": fields.get("warc-type"),
+        "payload_digest": (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
+        "refers_to": _number(fields.get("warc-refers-to")),
+    }
+    rest = int(fields.get("content-length") or 0)
+    if not all(row[k] in values for k, values in wanted.items()):
+        return None, rest
+    if {"payload", "payload_bytes"} & set(names):
+        taken, length = 0, None
+        for line in iter(stream.readline, b""):
+            taken += len(line)
+            if line in (b"\r\n", b"\n"):
+                break
+            if line[:15].lower() == b"content-length:":
+                length = int(line[15:])
+        rest -= taken
+        row["payload_bytes"] = rest if length is None else length
+        if "payload" in names and row["record_type"] != "revisit":
+            row["payload"] = stream.read(rest)
+            rest = 0
+    return tuple(row.get(n) for n in names), rest
 
 
 def read_records(stream, names: list[str], wanted: dict[str, set]) -> Iterator[tuple]:
     while (fields := read_header(stream)) is not None:
-        row = {
-            "page_id": _number(fields.get("warc-record-id")),
-            "uri": fields.get("warc-target-uri"),
-            "record_type": fields.get("warc-type"),
-            "payload_digest": (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
-            "refers_to": _number(fields.get("warc-refers-to")),
-        }
-        rest = int(fields.get("content-length") or 0)
-        if all(row[k] in values for k, values in wanted.items()):
-            if {"payload", "payload_bytes"} & set(names):
-                taken, length = 0, None
-                for line in iter(stream.readline, b""):
-                    taken += len(line)
-                    if line in (b"\r\n", b"\n"):
-                        break
-                    if line[:15].lower() == b"content-length:":
-                        length = int(line[15:])
-                rest -= taken
-                row["payload_bytes"] = rest if length is None else length
-                if "payload" in names and row["record_type"] != "revisit":
-                    row["payload"] = stream.read(rest)
-                    rest = 0
-            yield tuple(row.get(n) for n in names)
+        row, rest = read_record(stream, fields, names, wanted)
+        if row is not None:
+            yield row
         if rest:
             stream.seek(rest, 1)
 
 
+def read_packed(stream, names: list[str], wanted: dict[str, set]) -> Iterator[tuple]:
+    """Records of a gzip archive. A member that tells its packed length holds one record, and what is not wanted of it stays
+    packed; from the first other member on, the archive is unpacked as one stream."""
+    front = len(GZIP_EXTRA) + SKIP_LENGTHS.size
+    while head := stream.read(front):
+        told = SKIP_LENGTHS.unpack(head[len(GZIP_EXTRA) :]) if len(head) == front and head.startswith(GZIP_EXTRA[:4]) else None
+        if told is None or told[:3] != (SKIP_LENGTHS.size - 2, b"sl", 8):
+            stream.seek(-len(head), 1)
+            yield from read_records(gzip.GzipFile(fileobj=stream), names, wanted)
+            return
+        block = _Member(stream, told[3])
+        inside = io.BufferedReader(block, 1 << 14)
+        if (fields := read_header(inside)) is not None:
+            row, _ = read_record(inside, fields, names, wanted)
+            if row is not None:
+                yield row
+        stream.seek(block.left + 8, 1)
+
+
+class _Member(io.RawIOBase):
+    """The unpacked bytes of one gzip member, of which ``left`` packed bytes were not read."""
+
+    def __init__(self, stream, size: int):
+        self.stream, self.left, self.unpacker = stream, size, zlib.decompressobj(-15)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = b""
+        while not data and not self.unpacker.eof and (self.left or self.unpacker.unconsumed_tail):
+            taken = self.unpacker.unconsumed_tail or self.stream.read(min(self.left, 1 << 14))
+            if not taken:
+                raise EOFError("a gzip member ends before its packed length")
+            if not self.unpacker.unconsumed_tail:
+                self.left -= len(taken)
+            data = self.unpacker.decompress(taken, len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+
 class _Raw:
     """An Arrow file for Python's buffered reader, which asks for these methods."""
 
@@ -179,8 +243,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, path: str, file_bytes: int):
-        self.path, self.file_bytes = path, file_bytes
+    def __init__(self, path: str, file_bytes: int, pack: bool):
+        self.path, self.file_bytes, self.pack = path, file_bytes, pack
         fs, root = file_system(path)
         fs.create_dir(root, recursive=True)
 
@@ -191,7 +255,7 @@ class WarcWriter(DataSourceWriter):
             if out is None:
                 files.append(f"{root}/.{uuid.uuid4().hex}")
                 out, held = fs.open_output_stream(files[-1]), 0
-            data = record_bytes(row)
+            data = packed(record_bytes(row)) if self.pack else record_bytes(row)
             out.write(data)
             held += len(data)
             if held >= self.file_bytes:
@@ -204,7 +268,7 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages) -> None:
         fs, root = file_system(self.path)
         for name in (f for m in messages if m is not None for f in m.files):
-            fs.move(name, f"{root}/{name.rpartition('/')[2].lstrip('.')}.warc")
+            fs.move(name, f"{root}/{name.rpartition('/')[2].lstrip('.')}.warc{'.gz' * self.pack}")
 
     def abort(self, messages) -> None:
         fs, _ = file_system(self.path)
@@ -213,7 +277,8 @@ class WarcWriter(DataSourceWriter):
 
 
 class WarcSource(DataSource):
-    """``warc``: option path names a folder of .warc files; a schema of fewer columns leaves the others undecoded."""
+    """``warc``: option path names a folder of .warc and .warc.gz files; a schema of fewer columns leaves the others
+    undecoded. Writing packs each record unless the option compression is none."""
 
     @classmethod
     def name(cls) -> str:
@@ -226,7 +291,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], schema.names)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], int(self.options.get("filebytes", FILE_BYTES)))
+        return WarcWriter(self.options["path"], int(self.options.get("filebytes", FILE_BYTES)), self.options.get("compression", "gzip") != "none")
 
 
 def register(spark: SparkSession) -> None:
