@@ -1,6 +1,8 @@
 """Operators for training data against brute force, round trips and held-out accuracy, with edge rows."""
 
+import gzip
 import hashlib
+import io
 import random
 import re
 import unicodedata
@@ -10,9 +12,10 @@ import duckdb
 import numpy as np
 import pytest
 import public_tokenizers as vocabularies
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from inkspan.llm import byte_bpe, classify, components, embeddings, fingerprint, html_text, ngrams, packing, quality, sharding, simhash, toxicity, warc
+from inkspan.llm import byte_bpe, classify, components, embeddings, fingerprint, html_text, ngrams, packing, quality, queries, sharding, simhash, toxicity, warc
 from inkspan.llm.common import scratch
 
 DOCS = "doc_id long, text string"
@@ -393,3 +396,42 @@ def test_pipeline(spark, sf_dir):
             assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
         docs = kept
     assert "sequence_id" in columns
+
+
+def test_warc_query_equals_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    want = con.execute(queries.ORACLE["op10_warc"])
+    names = [d[0] for d in want.description]
+    got = queries.QUERIES["op10_warc"](spark, sf_dir)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_warc_packed_members():
+    rows = [Row(page_id=i, uri=f"http://a/{i}", record_type="response", payload_digest=f"{i:040x}", payload_bytes=n, refers_to=None, payload=bytes([65 + i]) * n) for i, n in enumerate((0, 5, 300_000, 7))]
+    plain = [warc.record_bytes(r) for r in rows]
+    names = ["page_id", "payload_bytes", "payload"]
+    want = [(r.page_id, r.payload_bytes, r.payload) for r in rows]
+    own = b"".join(map(warc.packed, plain))
+    foreign = gzip.compress(b"".join(plain))
+    for data in (own, foreign, own + foreign):
+        got = list(warc.read_packed(io.BufferedReader(io.BytesIO(data)), names, {}))
+        assert got == want * (2 if data == own + foreign else 1)
+    assert gzip.decompress(own) == b"".join(plain)
+    spoilt = bytearray(own)
+    at = len(warc.packed(plain[0])) + len(warc.packed(plain[1]))
+    size = len(warc.packed(plain[2]))
+    spoilt[at + size - 60 : at + size - 8] = bytes(52)  # the end of the long block, which is never unpacked
+    wanted = list(warc.read_packed(io.BufferedReader(io.BytesIO(bytes(spoilt))), names, {"page_id": {3}}))
+    assert wanted == want[3:]
+    with pytest.raises(EOFError):
+        list(warc.read_packed(io.BufferedReader(io.BytesIO(own[:-30])), names, {}))
+
+
+def test_warc_unpacked_archive(spark):
+    path = scratch(spark, "test-warc-plain")
+    pages = spark.createDataFrame([(1, "http://a", "x" * 1200), (2, "http://b", "x" * 1200)], "page_id long, url string, html string")
+    warc.register(spark)
+    warc.records(pages).write.format("warc").option("path", path).option("compression", "none").mode("append").save()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.read_archive(spark, path).collect()) == [(1, "revisit", 2), (2, "response", None)]
