@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seeds import documents, seeded
-from ..operators import corpus, detect, integrity, pairs, review, score, stats, substance
-from . import oracle, oracle_more, oracle_stats, oracle_substance
+from ..operators import corpus, detect, integrity, linkage, pairs, review, score, stats, substance
+from . import oracle, oracle_linkage, oracle_more, oracle_stats, oracle_substance
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -123,3 +123,10 @@ def _substance(name: str) -> tuple[Query, str]:
 
 
 OPERATORS |= {name: _substance(name) for name in ("dimensions", "venue_features", "paragraph_order", "tricolons", "colon_reveals")} | {"gate": (lambda spark, sf_dir: substance.gate(_pairs(spark, sf_dir)), oracle_substance.gate())}
+
+
+def _linkage(name: str) -> tuple[Query, str]:
+    return (lambda spark, sf_dir: getattr(linkage, name)(seeded(spark, sf_dir))), getattr(oracle_linkage, name)()
+
+
+OPERATORS |= {name: _linkage(name) for name in ("treadmill_prose", "paragraph_reshuffle")}
