@@ -32,12 +32,23 @@ def classes(shaped: DataFrame) -> DataFrame:
     return shaped.groupBy(*SLOTS).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("documents"))
 
 
+def members(docs: DataFrame) -> DataFrame:
+    """(doc_id, rep, documents, convergent): the class of each document, its size, and whether its own documents converge.
+
+    Documents of equal shape agree in all slots, so a class of several converges if two slots or more have words. With the
+    pairs of ``convergent``, which are between representatives, this tells each pair of documents.
+    """
+    shaped = shapes(docs)
+    filled = sum((F.size(s) > 0).cast("int") for s in SLOTS)
+    return shaped.join(classes(shaped), list(SLOTS)).select("doc_id", "rep", "documents", ((F.col("documents") > 1) & (filled >= MIN_SLOTS)).alias("convergent"))
+
+
 def convergent(docs: DataFrame) -> DataFrame:
     """Pairs of distinct shapes, by their representatives, of which two slots or more have a Jaccard of 0.5 or more.
 
     Two sets can only be that alike if they share one of their rarest words: of n words, the n - ceil(n/2) + 1 rarest. The
     join is on those words, slot by slot, and word sets of one document are short, so no group meets as a whole. Slots that
-    are empty on both sides score 0. Documents of equal shape are one class; ``classes`` has the membership's counts.
+    are empty on both sides score 0. Documents of equal shape are one class; ``members`` tells which, and whether they converge among themselves.
     """
     distinct = classes(shapes(docs))
     rows = distinct.select("rep", F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("words")) for s in SLOTS])).alias("x")).select("rep", "x.slot", "x.words").where("size(words) > 0")

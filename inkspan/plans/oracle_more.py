@@ -134,6 +134,12 @@ scored AS (SELECT a.rep AS doc_a, b.rep AS doc_b, CAST({alike} AS BIGINT) AS slo
 SELECT * FROM scored WHERE slots >= {C.MIN_SLOTS}"""
 
 
+def convergent_members() -> str:
+    filled = " + ".join(f"CASE WHEN len({s}) > 0 THEN 1 ELSE 0 END" for s in C.SLOTS)
+    same = f"OVER (PARTITION BY {', '.join(C.SLOTS)})"
+    return f"WITH {SHAPES} SELECT doc_id, min(doc_id) {same} AS rep, count(*) {same} AS documents, count(*) {same} > 1 AND {filled} >= {C.MIN_SLOTS} AS convergent FROM shapes"
+
+
 def routed() -> str:
     m = lambda *p: f"regexp_matches(text, {q(R.any_of(p))})"
     return f"""WITH seeded AS (SELECT conv_id, turn, role, {R.SEEDED_REQUEST} AS text FROM conversations),

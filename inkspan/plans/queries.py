@@ -110,6 +110,7 @@ OPERATORS |= {
     "repaired": _over_seeded(pairs, "repaired"),
     "shapes": (_shapes, oracle_more.shapes()),
     "convergent": _over_seeded(corpus, "convergent"),
+    "convergent_members": _over_seeded(corpus, "members", "convergent_members"),
     "routed": (_routed, oracle_more.routed()),
     "decisions": (lambda spark, sf_dir: review.decisions(_weighed(spark, sf_dir)), oracle_more.decisions()),
     "interventions": (lambda spark, sf_dir: review.interventions(_weighed(spark, sf_dir)), oracle_more.interventions()),
