@@ -41,8 +41,10 @@ CANDIDATE_SQL = "replace(replace(replace(replace(text, '45%', '46%'), 'must not'
 
 
 def _values(text: Column, patterns: dict[str, str]) -> Column:
+    """Matches on the folded text, whose offsets are those of the original; values are the original's."""
+
     def found(category: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(category).alias("category"), v.alias("value")))
+        return F.transform(T.spans(T.folded(text), pattern), lambda s: F.struct(F.lit(category).alias("category"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value")))
 
     return F.flatten(F.array(*[found(category, pattern) for category, pattern in patterns.items()]))
 
@@ -58,8 +60,8 @@ def multiset_changes(pairs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     Both sides are exploded in one row and counted with one shuffle: a value adds one for the source, takes one for the candidate.
     """
     sides = pairs.select("pair_id", F.explode(F.concat(
-        F.transform(_values(T.folded(F.col("source")), patterns), lambda v: F.struct(v["category"].alias("category"), v["value"].alias("value"), F.lit(1).alias("n"))),
-        F.transform(_values(T.folded(F.col("candidate")), patterns), lambda v: F.struct(v["category"].alias("category"), v["value"].alias("value"), F.lit(-1).alias("n"))),
+        F.transform(_values(F.col("source"), patterns), lambda v: F.struct(v["category"].alias("category"), v["value"].alias("value"), F.lit(1).alias("n"))),
+        F.transform(_values(F.col("candidate"), patterns), lambda v: F.struct(v["category"].alias("category"), v["value"].alias("value"), F.lit(-1).alias("n"))),
     )).alias("v"))
     counted = sides.groupBy("pair_id", "v.category", canonical_value(F.col("v.category"), F.col("v.value")).alias("value")).agg(F.sum("v.n").alias("n")).where("n <> 0")
     return counted.select("pair_id", "category", "value", F.greatest("n", F.lit(0)).cast("long").alias("lost"), F.greatest(-F.col("n"), F.lit(0)).cast("long").alias("gained"))
