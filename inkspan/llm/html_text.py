@@ -17,7 +17,14 @@ COLUMN_WIDTH = 60
 #: Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style title noscript noembed noframes template iframe object datalist audio video canvas svg math".split())
+UNSEEN = frozenset("head script style title noscript noembed noframes template iframe object datalist audio video canvas".split())
+#: What may stand in a head; any other start tag, or text, ends it.
+HEAD = frozenset("base basefont bgsound html link meta noframes noscript script style template title".split())
+#: Start tags that end svg and math, elements in these that hold HTML again, those that are never shown, and layouts of several cells.
+OUTER = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+INNER = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+UNSHOWN = frozenset("title desc metadata defs symbol clippath mask pattern marker style script annotation annotation-xml mphantom".split())
+CELLS = frozenset("math:mfrac math:mroot math:mtable math:mtr".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset form hr".split())
 BLOCK = APART | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer header hgroup html legend li main menu nav optgroup option search section summary tbody td tfoot th thead tr".split())
 #: What an opening tag ends: the elements, and those beyond which it does not look.
@@ -37,10 +44,16 @@ WALLS = frozenset({"td", "th", "caption", "table"})
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_UNQUOTED_SLASH = re.compile(r"""=\s*(?:[^\s"'>][^\s"'>]*)?/\Z""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 
+def foreign(name: str) -> bool:
+    """Whether an open element is svg or math, or of these; their elements are named with a prefix."""
+    return ":" in name or name in ("svg", "math")
+
+
 class Sheet:
     """Lines of text under construction: collapsed spaces, gaps between blocks, indents and list marks."""
 
@@ -125,7 +138,13 @@ class Page:
     def __init__(self):
         self.open: list[tuple[str, bool, str]] = []  # tag, whether it is seen, the indent outside it
         self.sheets, self.grids, self.counters = [Sheet()], [], []
-        self.pre = 0
+        #: What the content of each open element is: "" for HTML, else "svg", "text" (of svg) or "math".
+        self.kinds: list[str] = []
+        self.pre, self.headed = 0, False
+
+    @property
+    def kind(self) -> str:
+        return self.kinds[-1] if self.kinds else ""
 
     @property
     def seen(self) -> bool:
@@ -140,11 +159,50 @@ class Page:
                 while len(self.open) > i:
                     self.end_last()
                 return True
-            if self.open[i][0] in walls:
+            if self.open[i][0] in walls or not self.kinds[i] and ":" in self.open[i][0]:
                 return False
         return False
 
+    def end_head(self) -> None:
+        """What is no part of a head ends the one that is open."""
+        self.headed = True
+        if self.open and self.open[-1][0] == "head":
+            self.end_last()
+
+    def start_foreign(self, tag: str, attributes: str) -> None:
+        """An element of svg or math, or such an element itself; "/>" ends it."""
+        root = "math" if "math" in (tag, self.kind) and tag != "svg" else "svg"
+        told = dict(attributes_of(attributes))
+        unshown = self.kind and tag in UNSHOWN or "hidden" in told or told.get("display") == "none" or told.get("visibility") in ("hidden", "collapse")
+        seen = self.seen and not unshown and not _HIDDEN_STYLE.search(told.get("style", ""))
+        sheet = self.sheets[-1]
+        if seen and self.open and self.open[-1][0] in CELLS:
+            sheet.text(" ")
+        if seen and self.kind == "svg" and tag == "text":
+            sheet.apart(1)
+        if attributes.endswith("/") and not _UNQUOTED_SLASH.search(attributes):
+            return
+        if tag in ("svg", "math"):
+            name, kind = tag, tag
+        elif tag in INNER[root]:
+            name, kind = f"{root}:{tag}", ""
+        else:
+            name, kind = f"{root}:{tag}", "text" if root == "svg" and tag == "text" else self.kind
+        self.open.append((name, seen, sheet.indent))
+        self.kinds.append(kind)
+
     def start(self, tag: str, attributes: str) -> None:
+        if tag == "head" and self.headed:
+            return
+        if tag not in HEAD and tag != "head":
+            self.end_head()
+        self.headed = self.headed or tag != "html"
+        if self.kind and (tag in OUTER or tag == "font" and {"color", "face", "size"} & dict(attributes_of(attributes)).keys()):
+            while self.kind:
+                self.end_last()
+        if self.kind or tag in ("svg", "math"):
+            self.start_foreign(tag, attributes)
+            return
         if tag in ENDS:
             while self.end_to(*ENDS[tag]) and tag in ("tr", "thead", "tbody", "tfoot"):
                 pass
@@ -166,7 +224,8 @@ class Page:
                 sheet.apart(2 if tag in APART and not (tag in ("ul", "ol") and self.counters) else 1)
         if tag in VOID:
             return
-        self.open.append((tag, seen, sheet.indent))
+        self.open.append((tag.replace(":", "-"), seen, sheet.indent))
+        self.kinds.append("")
         if tag in ("ul", "ol", "menu", "dir"):
             start = told.get("start", "")
             self.counters.append((int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1) if tag == "ol" else None)
@@ -195,6 +254,7 @@ class Page:
 
     def end_last(self) -> None:
         tag, seen, indent = self.open.pop()
+        self.kinds.pop()
         if tag in ("td", "th"):
             row, cell = self.grids[-1].rows[-1], self.sheets.pop().done()
             first = len(row) - 1
@@ -213,19 +273,41 @@ class Page:
             self.pre -= 1
         if seen and tag in BLOCK:
             sheet.apart(2 if tag in APART and not (tag in ("ul", "ol") and self.counters) else 1)
+        if seen and tag == "svg:text":
+            sheet.apart(1)
         if tag == "li":
             sheet.mark = ""
         sheet.indent = indent
 
+    def end_foreign(self, tag: str) -> bool:
+        """Ends the element of svg or math that is meant, if the innermost open element is of these."""
+        for i in range(len(self.open) - 1, -1, -1):
+            name = self.open[i][0]
+            if not foreign(name):
+                return False
+            if name.split(":", 1)[-1] == tag:
+                while len(self.open) > i:
+                    self.end_last()
+                return True
+        return False
+
     def end(self, tag: str) -> None:
+        if self.end_foreign(tag):
+            return
+        tag = tag.replace(":", "-")
+        if tag in ("html", "body"):
+            self.end_head()
         if tag == "br":
             self.start("br", "")
         elif tag not in ("html", "body"):
             self.end_to({tag}, WALLS - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else {"table"} - {tag})
 
-    def text(self, text: str) -> None:
-        if self.seen:
-            text = html.unescape(text) if "&" in text else text
+    def text(self, text: str, raw: bool = False) -> None:
+        if not self.headed or self.open and self.open[-1][0] == "head":
+            if _SPACES.sub("", text):
+                self.end_head()
+        if self.seen and self.kind != "svg" and not (self.kind == "math" and not _SPACES.sub("", text)):
+            text = html.unescape(text) if "&" in text and not raw else text
             if self.pre:
                 self.sheets[-1].kept(text)
             else:
@@ -251,6 +333,11 @@ def visible_text(source: str) -> str:
         if token.start() > at:
             page.text(source[at : token.start()])
         at = token.end()
+        if page.open and foreign(page.open[-1][0]) and source.startswith("<![CDATA[", token.start()):
+            end = source.find("]]>", token.start())
+            page.text(source[token.start() + 9 : end if end >= 0 else len(source)], raw=True)
+            at = end + 3 if end >= 0 else len(source)
+            continue
         tag = (token[2] or "").lower()
         if not tag:
             continue
@@ -258,7 +345,7 @@ def visible_text(source: str) -> str:
             page.end(tag)
             continue
         page.start(tag, token[3])
-        if tag in RAW:
+        if tag in RAW and page.open and page.open[-1][0] == tag:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             if tag in ("textarea", "xmp"):
                 page.text(source[at : end.start() if end else len(source)])
