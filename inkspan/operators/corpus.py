@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import text as T
 
 SLOTS = ("hook", "reveal", "lesson", "close")
 MIN_SLOTS, LEAST = 2, 0.5
+#: Rows of one key that meet in one group, about.
+TILE = 512
 # Words that mark a lesson
 LESSON = r"(?i)learned|lesson|taught|takeaway|the moral"
 
@@ -43,26 +47,62 @@ def members(docs: DataFrame) -> DataFrame:
     return shaped.join(classes(shaped), list(SLOTS)).select("doc_id", "rep", "documents", ((F.col("documents") > 1) & (filled >= MIN_SLOTS)).alias("convergent"))
 
 
-def convergent(docs: DataFrame) -> DataFrame:
-    """Pairs of distinct shapes, by their representatives, of which two slots or more have a Jaccard of 0.5 or more.
+def _tiled(rows: DataFrame, keys: list[str], member: str, size: int) -> DataFrame:
+    """``rows`` with ``tile`` and ``tiles``: members of a key dealt into tiles of about ``size``, so that no key is one group."""
+    large = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("tiles")).where("tiles > 1")
+    told = rows.join(large, keys, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    return told.withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), member), F.col("tiles")).cast("int"))
+
 
-    Two sets can only be that alike if they share one of their rarest words: of n words, the n - ceil(n/2) + 1 rarest. The
-    join is on those words, slot by slot, and word sets of one document are short, so no group meets as a whole. Slots that
-    are empty on both sides score 0. Documents of equal shape are one class; ``members`` tells which, and whether they converge among themselves.
+def alike_sets(sets: DataFrame, size: int = TILE) -> DataFrame:
+    """(slot, a, b): ids of word sets of a slot with a Jaccard of 0.5 or more, each pair in both directions, and each with itself.
+
+    Two sets can only be that alike if they share one of their rarest words, of n words the n - ceil(n/2) + 1 rarest, and if
+    one has at most twice the words of the other. The join is on those words; the sets of a common word meet tile by tile.
     """
-    distinct = classes(shapes(docs))
-    rows = distinct.select("rep", F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("words")) for s in SLOTS])).alias("x")).select("rep", "x.slot", "x.words").where("size(words) > 0")
-    sets = rows.groupBy("slot", "words").agg(F.collect_set("rep").alias("reps"))
-    held = sets.withColumn("set_id", F.xxhash64("slot", "words"))
-    words = held.select("set_id", "slot", F.size("words").alias("n"), F.explode("words").alias("word"))
+    words = sets.select("set_id", "slot", F.size("words").alias("n"), F.explode("words").alias("word"))
     frequency = words.groupBy("slot", "word").agg(F.count(F.lit(1)).alias("f"))
     ordered = words.join(frequency, ["slot", "word"]).groupBy("set_id", "slot", "n").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("w"))
-    prefix = ordered.select("set_id", "slot", F.explode(F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") / 2).cast("int") + 1)).alias("p")).select("set_id", "slot", F.col("p.word").alias("word"))
-    a, b = prefix.withColumnRenamed("set_id", "a"), prefix.withColumnRenamed("set_id", "b")
-    candidates = a.join(b, ["slot", "word"]).where("a < b").select("a", "b").distinct()
-    left, right = held.select(F.col("set_id").alias("a"), "slot", F.col("words").alias("wa"), F.col("reps").alias("ra")), held.select(F.col("set_id").alias("b"), F.col("words").alias("wb"), F.col("reps").alias("rb"))
-    alike = candidates.join(left, "a").join(right, "b").where(T.jaccard(F.col("wa"), F.col("wb")) >= LEAST)
-    across = alike.select("slot", F.explode("ra").alias("x"), "rb").select("slot", "x", F.explode("rb").alias("y"))
-    within = held.where("size(reps) > 1").select("slot", F.explode("reps").alias("x"), "reps").select("slot", "x", F.explode("reps").alias("y")).where("x < y")
-    both = across.unionByName(within).select("slot", F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).where("doc_a < doc_b")
-    return both.groupBy("doc_a", "doc_b").agg(F.countDistinct("slot").alias("slots")).where(F.col("slots") >= MIN_SLOTS)
+    prefix = ordered.select("set_id", "slot", "n", F.explode(F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") / 2).cast("int") + 1)).alias("p")).select("set_id", "slot", "n", F.col("p.word").alias("word"))
+    dealt = _tiled(prefix, ["slot", "word"], "set_id", size)
+    others = F.sequence(F.lit(0), F.col("tiles") - 1)
+    # Each set is in its row and in its column of the square of tiles: a pair meets in one square for each word that it shares.
+    a = dealt.select("slot", "word", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("tile").alias("i"), F.explode(others).alias("j"))
+    b = dealt.select("slot", "word", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("tile").alias("j"), F.explode(others).alias("i"))
+    candidates = a.join(b, ["slot", "word", "i", "j"]).where("a < b and na <= 2 * nb and nb <= 2 * na").select("slot", "a", "b").distinct()
+    left, right = (sets.select("slot", F.col("set_id").alias(x), F.col("words").alias(f"w{x}")) for x in ("a", "b"))
+    alike = candidates.join(left, ["slot", "a"]).join(right, ["slot", "b"]).where(T.jaccard(F.col("wa"), F.col("wb")) >= LEAST)
+    directed = alike.select("slot", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("slot", "x.a", "x.b")
+    return directed.unionByName(sets.select("slot", F.col("set_id").alias("a"), F.col("set_id").alias("b")))
+
+
+def convergent(docs: DataFrame, size: int = TILE) -> DataFrame:
+    """Pairs of distinct shapes, by their representatives, of which two slots or more have a Jaccard of 0.5 or more.
+
+    Word sets are paired slot by slot, each distinct set once. Shapes meet by two slots at once: a shape is held under the
+    pair of its set ids, for each two slots, and looked for under each pair of sets like its own, so shapes that agree in one
+    slot only are never paired. Shapes of one pair of sets meet tile by tile. Slots that are empty on both sides score 0.
+    Sentences that vary in a few words still pair among each other as sets. Documents of equal shape are one class;
+    ``members`` tells which, and whether they converge among themselves.
+    """
+    distinct = classes(shapes(docs))
+    identified = distinct.select("rep", *[F.when(F.size(s) > 0, F.struct(F.xxhash64(F.lit(s), s).alias("set_id"), F.col(s).alias("words"))).alias(s) for s in SLOTS])
+    sets = identified.select(F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("x")) for s in SLOTS])).alias("y")).where("y.x is not null").select("y.slot", "y.x.set_id", "y.x.words").distinct()
+    alike = alike_sets(sets, size)
+    twos = [F.struct(F.lit(s).alias("s"), F.lit(t).alias("t"), F.col(f"{s}.set_id").alias("x"), F.col(f"{t}.set_id").alias("y")) for s, t in combinations(SLOTS, 2)]
+    held = identified.select("rep", F.explode(F.array(*twos)).alias("two")).select("rep", "two.*").where("x is not null and y is not null")
+    keys = ["s", "t", "x", "y"]
+    dealt = _tiled(held, keys, "rep", size)
+    cells = dealt.select(*keys, "tiles").distinct()
+    first = cells.drop("tiles").join(alike.select(F.col("slot").alias("s"), F.col("a").alias("x"), F.col("b").alias("p")), ["s", "x"])
+    # Only pairs of sets that some shape holds are looked for, so a pair is told once for each two slots.
+    both = first.join(alike.select(F.col("slot").alias("t"), F.col("a").alias("y"), F.col("b").alias("q")), ["t", "y"])
+    there = cells.select("s", "t", F.col("x").alias("p"), F.col("y").alias("q"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j"))
+    linked = both.join(there, ["s", "t", "p", "q"]).where("x < p or x = p and y <= q")
+    ours = dealt.select(*keys, F.col("rep").alias("one"), F.col("tile").alias("i"))
+    theirs = dealt.select("s", "t", F.col("x").alias("p"), F.col("y").alias("q"), F.col("tile").alias("j"), F.col("rep").alias("other"))
+    squares = linked.join(cells, keys).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+    met = squares.join(ours, [*keys, "i"]).join(theirs, ["s", "t", "p", "q", "j"]).where("x <> p or y <> q or one < other")
+    counted = met.groupBy(F.least("one", "other").alias("doc_a"), F.greatest("one", "other").alias("doc_b")).agg(F.count(F.lit(1)).alias("twos"))
+    # Of 2, 3 or 4 slots that agree, there are 1, 3 or 6 twos.
+    return counted.select("doc_a", "doc_b", F.when(F.col("twos") == 1, 2).when(F.col("twos") == 3, 3).otherwise(4).cast("long").alias("slots"))

@@ -28,3 +28,36 @@ def test_members_and_pairs_tell_every_pair_of_documents(spark):
     got = {(a.doc_id, b.doc_id) for a in rows for b in rows if a.doc_id < b.doc_id and (a.convergent if a.rep == b.rep else (min(a.rep, b.rep), max(a.rep, b.rep)) in linked)}
     assert got == want and {(0, 1), (3, 4), (1, 4)} <= want
     assert {r.doc_id: r.documents for r in rows}[1] == 3
+
+
+def _rows(n):
+    """Documents of one opening, and of closings in families of three; the rest of each differs."""
+    return [(i, f"The same opening stands here always.\n\nUnlike{i} reveal{i}.\n\nMiddle{i} part{i}.\n\nClosing{i // 3} word{i // 3} of{i // 3} end{i % 7}.") for i in range(n)]
+
+
+def test_tiles_give_what_brute_force_gives(spark):
+    d = spark.createDataFrame(_rows(60), DOCS)
+    sets = shaped(d)
+    want = {(a, b, n) for a, b in combinations(sorted(sets), 2) if (n := sum(alike(x, y) for x, y in zip(sets[a], sets[b], strict=True))) >= corpus.MIN_SLOTS}
+    for size in (4, corpus.TILE):
+        assert {tuple(r) for r in corpus.convergent(d, size).collect()} == want and want
+
+
+def test_shapes_alike_in_one_slot_are_never_paired(spark):
+    """A hot opening: all pairs of it would be half a million rows; the largest step holds a few for each document."""
+    d = spark.createDataFrame(_rows(1000), DOCS)
+    frame = corpus.convergent(d)
+    assert frame.count() > 0
+    done = frame._jdf.queryExecution()
+    frame.collect()
+    nodes, largest = [done.executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        for at in ("finalPhysicalPlan", "plan"):
+            if node.getClass().getSimpleName() in {"finalPhysicalPlan": ("AdaptiveSparkPlanExec",), "plan": ("ShuffleQueryStageExec", "BroadcastQueryStageExec")}[at]:
+                nodes.append(getattr(node, at)())
+        metrics = node.metrics()
+        if metrics.contains("numOutputRows"):
+            largest = max(largest, metrics.apply("numOutputRows").value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert 0 < largest < 100_000
