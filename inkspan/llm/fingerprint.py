@@ -18,14 +18,14 @@ def canonical(text: Column) -> Column:
 
 
 def wide_hash(canon: Column) -> Column:
-    """128 bits of xxhash as 32 hex digits."""
-    return F.concat(*[F.lpad(F.lower(F.hex(h)), 16, "0") for h in (F.xxhash64(canon), F.xxhash64(canon, F.length(canon), F.lit("wide")))])
+    """128 bits of xxhash as 32 hex digits. A column's hash seeds the next one's, so the second half starts from another seed."""
+    return F.concat(*[F.lpad(F.lower(F.hex(h)), 16, "0") for h in (F.xxhash64(canon), F.xxhash64(F.lit("wide"), canon))])
 
 
-def marked_texts(docs: DataFrame) -> DataFrame:
+def marked_texts(canons: DataFrame) -> DataFrame:
     """(canon, hash) of each distinct canonical text. Copies are combined before the shuffle, so a large group of them is one
     row of each task, and a text is sent once."""
-    return docs.select(canonical(F.col("text")).alias("canon")).withColumn("hash", wide_hash(F.col("canon"))).distinct()
+    return canons.select("canon").withColumn("hash", wide_hash(F.col("canon"))).distinct()
 
 
 def shared_hashes(marked: DataFrame) -> DataFrame:
@@ -33,10 +33,10 @@ def shared_hashes(marked: DataFrame) -> DataFrame:
     return marked.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
 
 
-def clashing(docs: DataFrame) -> DataFrame:
+def clashing(canons: DataFrame) -> DataFrame:
     """(hash, canon, class): canonical texts that differ though their hashes are equal, by a comparison of bytes inside equal
     buckets."""
-    marked = marked_texts(docs)
+    marked = marked_texts(canons)
     held = marked.join(shared_hashes(marked), "hash", "left_semi")
     return held.withColumn("class", F.row_number().over(Window.partitionBy("hash").orderBy("canon")) - 1)
 
@@ -83,6 +83,7 @@ def fingerprint_documents(docs: DataFrame, range_rows: int = RANGE_ROWS) -> Data
     edited = F.concat(F.expr("substring(text, 1, length(text) - floor(length(text) / 2))"), F.substring(F.col("next_text"), F.lit(1), half))
     told = with_next(rows, range_rows).select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), canonical(F.col("text")).alias("canon"), canonical(F.col("next_text")).alias("next_canon"))
     told = told.withColumn("edited_canon", canonical(F.col("edited")))
+    canons = told.select(F.explode(F.array("canon", "edited_canon")).alias("canon"))
     told = told.select(
         "doc_id",
         "n_chars",
@@ -94,8 +95,8 @@ def fingerprint_documents(docs: DataFrame, range_rows: int = RANGE_ROWS) -> Data
         "canon",
         "edited_canon",
     )
-    if not shared_hashes(marked_texts(rows)).isEmpty():
-        clashes = clashing(rows)
+    if not shared_hashes(marked_texts(canons)).isEmpty():
+        clashes = clashing(canons)
         for name, canon in (("fingerprint", "canon"), ("edited_fingerprint", "edited_canon")):
             classes = clashes.select(F.col("hash").alias(name), F.col("canon").alias(canon), "class")
             told = told.join(classes, [name, canon], "left").withColumn(name, F.when(F.col("class") > 0, F.concat(F.col(name), F.lit("."), F.col("class"))).otherwise(F.col(name))).drop("class")
