@@ -24,9 +24,19 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id. A row without an id stands for no group and goes."""
-    kept = simhash.simhash_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of near-duplicates, that of the least id; rows without an id come after the others of a group.
+
+    Rows are told apart by a digest of all their columns, so an id that several texts have keeps no more than its group's
+    row; of wholly equal rows one is kept.
+    """
+    content = F.struct("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text"))
+    keyed = docs.select(*COLUMNS, F.sha2(F.to_json(content), 256).alias("row_key"))
+    kept = simhash.kept_rows(keyed)
+    out = keyed.join(kept.where("n = 1"), "row_key", "left_semi")
+    repeated = kept.where("n > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(keyed.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"]))
+    return out.select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

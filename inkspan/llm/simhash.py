@@ -53,12 +53,14 @@ def fingerprint(text: str, shingle: int = SHINGLE, max_slice: int = 65536) -> in
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = [fingerprint(t or "") for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, row_key: bool = False) -> DataFrame:
+    """(doc_id, fp), and the rows' own ``row_key``, a string, if it is wanted."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col("row_key")] * row_key]
+    return docs.select(*columns).mapInArrow(_fingerprints, "doc_id long, fp long" + ", row_key string" * row_key)
 
 
 def segment_bounds(segments: int = SEGMENTS) -> list[tuple[int, int]]:
@@ -160,6 +162,24 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENT
     return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
 
 
+def roots_of(marked: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFrame:
+    """fp, root (a fingerprint that names its component) and component_id (the least doc_id there, null if none has one)."""
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(near_links(nodes.select("fp"), max_bits, tile=tile)).withColumnRenamed("node", "fp")
+    placed = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return placed.join(named, "root").select("fp", "root", "component_id")
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """(row_key, n) of the row that stands for each component of ``docs`` (doc_id, text, row_key): the least id, of equal ids
+    the least key, rows without an id last. n rows have that key."""
+    marked = cut(fingerprints(docs, row_key=True))
+    rows = marked.groupBy("fp", "row_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "n")
+    return cut(rows.join(roots_of(marked).select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("k")).select("k.row_key", "k.n"))
+
+
 def simhash_components(docs: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id reachable over links, itself included).
 
@@ -168,11 +188,7 @@ def simhash_components(docs: DataFrame, max_bits: int = MAX_BITS, tile: int = TI
     fingerprint and is never a component's id (null where no row there has one). No documents give no rows.
     """
     marked = cut(fingerprints(docs))
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(near_links(nodes.select("fp"), max_bits, tile=tile)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = cut(placed.join(named, "root").select("fp", "component_id"))
+    of_fp = cut(roots_of(marked, max_bits, tile).select("fp", "component_id"))
     return marked.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
