@@ -42,11 +42,12 @@ ENDS |= dict.fromkeys(BLOCK - ENDS.keys() - {"html", "body"}, ({"p"}, {"td", "th
 #: An end tag of another element does not reach out of these.
 WALLS = frozenset({"td", "th", "caption", "table"})
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
-_UNQUOTED_SLASH = re.compile(r"""=\s*(?:[^\s"'>][^\s"'>]*)?/\Z""")
+# A quote delimits a value only right after the equals sign; an attribute's name may hold quotes.
+_NAME, _VALUE = r"[^\s/>][^\s/>=]*+", r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)"""
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE})?+)?+")
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE}?+)?+)*+)(>|\Z)", re.S)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 
 
 def foreign(name: str) -> bool:
@@ -118,10 +119,27 @@ class Sheet:
 
 
 class Grid:
-    """Rows of cells, each a list of lines; laid out in aligned columns."""
+    """Rows of cells, each a list of lines; laid out in aligned columns. A cell of several rows leaves its columns empty in the later ones."""
 
     def __init__(self):
         self.rows: list[list[list[str]]] = []
+        self.taken: dict[int, int] = {}  # of columns, how many rows to come a cell above still takes
+        self.covered: set[int] = set()
+
+    def start_row(self) -> None:
+        self.rows.append([])
+        self.covered, self.taken = set(self.taken), {at: n - 1 for at, n in self.taken.items() if n > 1}
+
+    def start_cell(self, columns: int, rows: int) -> None:
+        row = self.rows[-1]
+        while len(row) in self.covered:
+            row.append([])
+        if rows > 1:
+            self.taken |= dict.fromkeys(range(len(row), len(row) + columns), rows - 1)
+        row += [[]] * columns
+
+    def end_group(self) -> None:
+        self.taken = {}
 
     def lines(self) -> list[str]:
         widths: list[int] = []
@@ -136,7 +154,8 @@ class Page:
     """Open elements of one page, and what they have put on the sheet."""
 
     def __init__(self):
-        self.open: list[tuple[str, bool, str]] = []  # tag, whether it is seen, the indent outside it
+        #: Tag, whether it is shown, whether its own text is visible, the indent outside it.
+        self.open: list[tuple[str, bool, bool, str]] = []
         self.sheets, self.grids, self.counters = [Sheet()], [], []
         #: What the content of each open element is: "" for HTML, else "svg", "text" (of svg) or "math".
         self.kinds: list[str] = []
@@ -147,11 +166,22 @@ class Page:
         return self.kinds[-1] if self.kinds else ""
 
     @property
-    def seen(self) -> bool:
+    def shown(self) -> bool:
         return not self.open or self.open[-1][1]
 
+    @property
+    def visible(self) -> bool:
+        return not self.open or self.open[-1][2]
+
+    def looks(self, told: dict[str, str], unshown: bool) -> tuple[bool, bool]:
+        """Whether an element is shown, which all around it must be, and visible, which it may be in what is not."""
+        style = {name.lower(): value.lower() for name, value in _DECLARATION.findall(told.get("style", ""))}
+        shown = self.shown and not unshown and "hidden" not in told and style.get("display") != "none"
+        wanted = style.get("visibility", "inherit")
+        return shown, self.visible if wanted in ("inherit", "unset") else wanted not in ("hidden", "collapse")
+
     def has(self, tag: str) -> bool:
-        return any(t == tag for t, _, _ in self.open)
+        return any(x[0] == tag for x in self.open)
 
     def end_to(self, tags, walls) -> bool:
         for i in range(len(self.open) - 1, -1, -1):
@@ -172,15 +202,15 @@ class Page:
     def start_foreign(self, tag: str, attributes: str) -> None:
         """An element of svg or math, or such an element itself; "/>" ends it."""
         root = "math" if "math" in (tag, self.kind) and tag != "svg" else "svg"
-        told = dict(attributes_of(attributes))
-        unshown = self.kind and tag in UNSHOWN or "hidden" in told or told.get("display") == "none" or told.get("visibility") in ("hidden", "collapse")
-        seen = self.seen and not unshown and not _HIDDEN_STYLE.search(told.get("style", ""))
+        told = attributes_of(attributes)
+        told["style"] = ";".join([f"{name}:{told[name]}" for name in ("display", "visibility") if name in told] + [told.get("style", "")])
+        seen, visible = self.looks(told, bool(self.kind) and tag in UNSHOWN)
         sheet = self.sheets[-1]
         if seen and self.open and self.open[-1][0] in CELLS:
             sheet.text(" ")
         if seen and self.kind == "svg" and tag == "text":
             sheet.apart(1)
-        if attributes.endswith("/") and not _UNQUOTED_SLASH.search(attributes):
+        if ends_itself(attributes):
             return
         if tag in ("svg", "math"):
             name, kind = tag, tag
@@ -188,7 +218,7 @@ class Page:
             name, kind = f"{root}:{tag}", ""
         else:
             name, kind = f"{root}:{tag}", "text" if root == "svg" and tag == "text" else self.kind
-        self.open.append((name, seen, sheet.indent))
+        self.open.append((name, seen, visible, sheet.indent))
         self.kinds.append(kind)
 
     def start(self, tag: str, attributes: str) -> None:
@@ -197,7 +227,7 @@ class Page:
         if tag not in HEAD and tag != "head":
             self.end_head()
         self.headed = self.headed or tag != "html"
-        if self.kind and (tag in OUTER or tag == "font" and {"color", "face", "size"} & dict(attributes_of(attributes)).keys()):
+        if self.kind and (tag in OUTER or tag == "font" and {"color", "face", "size"} & attributes_of(attributes).keys()):
             while self.kind:
                 self.end_last()
         if self.kind or tag in ("svg", "math"):
@@ -208,23 +238,23 @@ class Page:
                 pass
         if tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") and not self.has("table"):
             return
-        if tag in ("td", "th") and not any(t == "tr" for t, _, _ in self.open[self.last("table") :]):
+        if tag in ("td", "th") and not any(x[0] == "tr" for x in self.open[self.last("table") :]):
             self.start("tr", "")
-        told = dict(attributes_of(attributes)) if attributes.strip(" /\n\t\r\f") else {}
-        seen = self.seen and tag not in UNSEEN and "hidden" not in told and not _HIDDEN_STYLE.search(told.get("style", ""))
+        told = attributes_of(attributes) if attributes.strip(" /\n\t\r\f") else {}
+        seen, visible = self.looks(told, tag in UNSEEN)
         sheet = self.sheets[-1]
         if seen:
             if tag == "br":
                 if not sheet.line:
                     sheet.begin()
                 sheet.end_line()
-            elif tag == "hr":
+            elif tag == "hr" and visible:
                 sheet.rows(["---"])
             elif tag in BLOCK:
                 sheet.apart(2 if tag in APART and not (tag in ("ul", "ol") and self.counters) else 1)
         if tag in VOID:
             return
-        self.open.append((tag.replace(":", "-"), seen, sheet.indent))
+        self.open.append((tag.replace(":", "-"), seen, visible, sheet.indent))
         self.kinds.append("")
         if tag in ("ul", "ol", "menu", "dir"):
             start = told.get("start", "")
@@ -243,17 +273,17 @@ class Page:
         elif tag == "table":
             self.grids.append(Grid())
         elif tag == "tr":
-            self.grids[-1].rows.append([])
+            self.grids[-1].start_row()
         elif tag in ("td", "th"):
             self.sheets.append(Sheet())
-            span = told.get("colspan", "1")
-            self.grids[-1].rows[-1] += [[]] * (min(int(span), 1000) if span.isascii() and span.isdigit() and int(span) else 1)
+            # The most columns and rows of a cell; 0 rows are all that are left of the group
+            self.grids[-1].start_cell(min(number_of(told.get("colspan")) or 1, 1000), min(number_of(told.get("rowspan"), 1) or 65534, 65534))
 
     def last(self, tag: str) -> int:
         return next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), 0)
 
     def end_last(self) -> None:
-        tag, seen, indent = self.open.pop()
+        tag, seen, _, indent = self.open.pop()
         self.kinds.pop()
         if tag in ("td", "th"):
             row, cell = self.grids[-1].rows[-1], self.sheets.pop().done()
@@ -267,6 +297,8 @@ class Page:
             grid = self.grids.pop()
             if seen:
                 sheet.rows([x for x in grid.lines() if x])
+        elif tag in ("thead", "tbody", "tfoot"):
+            self.grids[-1].end_group()
         elif tag in ("ul", "ol", "menu", "dir"):
             self.counters.pop()
         elif tag == "pre":
@@ -306,7 +338,7 @@ class Page:
         if not self.headed or self.open and self.open[-1][0] == "head":
             if _SPACES.sub("", text):
                 self.end_head()
-        if self.seen and self.kind != "svg" and not (self.kind == "math" and not _SPACES.sub("", text)):
+        if self.shown and self.visible and self.kind != "svg" and not (self.kind == "math" and not _SPACES.sub("", text)):
             text = html.unescape(text) if "&" in text and not raw else text
             if self.pre:
                 self.sheets[-1].kept(text)
@@ -319,11 +351,29 @@ class Page:
         return "\n".join(self.sheets[0].done())
 
 
-def attributes_of(text: str) -> Iterator[tuple[str, str]]:
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes of a tag by name; of several of one name the first counts."""
+    told: dict[str, str] = {}
     for name, value in _ATTRIBUTE.findall(text):
-        if value[:1] in ("'", '"') and len(value) > 1:
+        if value[:1] in ("'", '"'):
             value = value[1:-1]
-        yield name.lower(), html.unescape(value)
+        told.setdefault(name.lower(), html.unescape(value))
+    return told
+
+
+def ends_itself(attributes: str) -> bool:
+    """Whether a tag ends in a slash that is no part of a value without quotes."""
+    if not attributes.endswith("/"):
+        return False
+    last = None
+    for last in _ATTRIBUTE.finditer(attributes):  # noqa: B007
+        pass
+    return last is None or last.end() < len(attributes)
+
+
+def number_of(text: str | None, missing: int = 0) -> int:
+    digits = re.match(r"\s*\+?([0-9]{1,9})", text or "")
+    return int(digits[1]) if digits else missing
 
 
 def visible_text(source: str) -> str:
@@ -339,8 +389,8 @@ def visible_text(source: str) -> str:
             at = end + 3 if end >= 0 else len(source)
             continue
         tag = (token[2] or "").lower()
-        if not tag:
-            continue
+        if not tag or not token[4]:
+            continue  # a tag that the page's end cuts is no tag
         if token[1]:
             page.end(tag)
             continue
@@ -365,8 +415,9 @@ def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id and text of each row of ``pages`` (page_id, html).
 
-    A null page is the empty page and gives empty text; a null id and repeated rows are kept; no rows give no rows. Tags
-    that are never closed end with the page; a comment or tag that is never closed hides the rest.
+    A null page is the empty page and gives empty text; a null id and repeated rows are kept; no rows give no rows; other
+    columns are ignored, also those named text. Elements that are never closed end with the page; a comment that is never
+    closed hides the rest, and a tag that the page's end cuts is left out. A page of any length is read whole.
     """
     small_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(_rendered, "page_id long, text string")
