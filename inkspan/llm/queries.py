@@ -27,15 +27,38 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_embedding_dedup": """
+        WITH RECURSIVE held AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER () AS n
+            FROM embeddings
+        ), good AS (
+            SELECT * FROM held
+            WHERE vec_id IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.n AS a, b.n AS b, b.vec_id AS id_b FROM good a JOIN good b ON a.n <> b.n AND len(a.v) = len(b.v)
+            WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) END >= 0.95
+        ), reached(n, c) AS (
+            SELECT n, vec_id FROM good UNION SELECT l.a, r.c FROM reached r JOIN links l ON l.b = r.n
+        ), least AS (
+            SELECT n, min(c) AS c FROM reached GROUP BY n
+        ), counted AS (
+            SELECT a AS n, count(*) AS n_links FROM links GROUP BY a
+        )
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(vec_id = coalesce(c, vec_id), FALSE) AS kept
+        FROM held LEFT JOIN least USING (n) LEFT JOIN counted USING (n)
+    """,
+    "op5_sharding": """
+        SELECT doc_id, source, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+    """,
     "op10_warc": """
         WITH held AS (
             SELECT CAST(page_id AS BIGINT) AS page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
-            FROM pages WHERE page_id IS NOT NULL
+            FROM pages
         ), placed AS (
             SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS kept
             FROM held
         )
-        SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN kept <> page_id THEN kept END AS refers_to
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN kept IS DISTINCT FROM page_id THEN kept END AS refers_to
         FROM placed
     """,
 }

@@ -44,7 +44,8 @@ def record_bytes(row) -> bytes:
     payload = b"" if revisit else bytes(row.payload or b"")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row.payload_bytes}\r\n\r\n".encode()
     uri = "".join((row.uri or "").split())
-    fields = [("WARC-Type", row.record_type), ("WARC-Record-ID", f"<urn:page:{row.page_id}>"), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{row.payload_digest}")]
+    name = f"uuid:{uuid.uuid4()}" if row.page_id is None else f"page:{row.page_id}"
+    fields = [("WARC-Type", row.record_type), ("WARC-Record-ID", f"<urn:{name}>"), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{row.payload_digest}")]
     if revisit:
         fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{row.refers_to}>")]
     fields.append(("Content-Length", str(len(http) + len(payload))))
@@ -303,22 +304,25 @@ def register(spark: SparkSession) -> None:
 def records(pages: DataFrame, least_shared: int = LEAST_SHARED) -> DataFrame:
     """A record for each page: of equal payloads of ``least_shared`` bytes or more the largest page_id is the response.
 
-    A null html is the empty payload. Pages without an id get no record. Digests are counted before they are joined, so
-    copies are combined before the shuffle; the pages' side of the join may be split where copies are many.
+    A null html is the empty payload. A page without an id has a record under a made-up one, so that it is read back
+    without an id; it revisits an equal payload of a page that has one, and is a response where there is none. Payloads
+    are equal if their lengths, SHA-1 and SHA-256 are. Digests are counted before they are joined, so copies are combined
+    before the shuffle; the pages' side of the join may be split where copies are many.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    held = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("uri"), payload.alias("payload"))
-    held = held.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.length("payload").cast("long"))
-    shared = held.where(F.col("payload_bytes") >= least_shared).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = held.join(shared, ["payload_digest", "payload_bytes"], "left")
-    again = F.coalesce(F.col("first") != F.col("page_id"), F.lit(False))
+    held = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("uri"), payload.alias("payload"))
+    held = held.withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.length("payload").cast("long"), "wide": F.unhex(F.sha2("payload", 256))})
+    equal = ["payload_digest", "payload_bytes", "wide"]
+    shared = held.where(F.col("payload_bytes") >= least_shared).groupBy(equal).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    joined = held.join(shared, equal, "left")
+    again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     kind, of = F.when(again, F.lit("revisit")).otherwise(F.lit("response")), F.when(again, F.col("first"))
     return joined.select("page_id", "uri", kind.alias("record_type"), "payload_digest", "payload_bytes", of.alias("refers_to"), F.when(~again, F.col("payload")).alias("payload"))
 
 
 def archive(pages: DataFrame, path: str, least_shared: int = LEAST_SHARED, file_bytes: int = FILE_BYTES) -> None:
     """Write ``pages`` (page_id, url, html) as WARC files under ``path``. Repeated rows are written each; white space in an
-    address is dropped; no pages give an empty folder."""
+    address is dropped; a payload of any length is one record; other columns are ignored; no pages give an empty folder."""
     spark = pages.sparkSession
     small_batches(spark)
     register(spark)

@@ -360,10 +360,10 @@ def test_warc(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
     path = scratch(spark, "test-warc")
     warc.archive(pages, path, file_bytes=1500)
-    payloads = {i: (h or "").encode() for i, _, h in rows if i is not None}
+    payloads = {i: (h or "").encode() for i, _, h in rows}
     best = {}
     for i, p in payloads.items():
-        if len(p) >= 1000:
+        if len(p) >= 1000 and i is not None:
             best[p] = max(best.get(p, i), i)
     want = {i: (len(p), hashlib.sha1(p).hexdigest(), "response" if best.get(p, i) == i else "revisit", None if best.get(p, i) == i else best[p]) for i, p in payloads.items()}
     read = warc.read_archive(spark, path)
@@ -398,12 +398,23 @@ def test_pipeline(spark, sf_dir):
     assert "sequence_id" in columns
 
 
-def test_warc_query_equals_sql(spark, sf_dir):
+def test_pages_without_ids_have_records(spark):
+    """A record for each row: one without an id revisits a page that has one, or is a response where none has."""
+    rows = [(None, "u", "x" * 1000), (3, "u", "x" * 1000), (None, "u", "y" * 1000), (None, "u", "y" * 1000), (None, "u", None)]
+    path = scratch(spark, "test-warc-null")
+    warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archive(spark, path).collect()), key=str)
+    assert got == sorted([(None, "revisit", 3, 1000), (3, "response", None, 1000), (None, "response", None, 1000), (None, "response", None, 1000), (None, "response", None, 0)], key=str)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
-    want = con.execute(queries.ORACLE["op10_warc"])
+    for t in ("pages", "documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.execute(queries.ORACLE[name])
     names = [d[0] for d in want.description]
-    got = queries.QUERIES["op10_warc"](spark, sf_dir)
+    got = queries.QUERIES[name](spark, sf_dir)
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(want.fetchall(), key=str)
 
