@@ -1,16 +1,20 @@
 """Size-tiered compaction of immutable shards under versioned manifests, by DataFrame reads and writes alone.
 
 A store is a folder: shards/ holds immutable Parquet files, manifests/ a JSON file for each version that lists the shards
-of that version. A version exists once its manifest has been renamed into place, which fails if another writer was first;
-shards that no manifest lists are not part of the store. All file access goes through Hadoop's file systems.
+of that version. A version exists once its manifest has its name, which one writer alone can give it; the others apply
+their change to the version that was first. Shards that no manifest lists are not part of the store. All file access goes
+through Hadoop's file systems. A store on one that cannot rename without overwriting (some object stores) needs one writer.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections import defaultdict
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,10 @@ from .common import scratch, table, text_or_empty
 TARGET_BYTES, RUN, RATIO, LEAST_BYTES = 128 << 20, 4, 4, 1 << 20
 #: Versions whose shards stay when a store is tidied.
 KEEP_VERSIONS = 2
+#: Shards that no version has ever listed are deleted at this age: a writer may yet commit younger ones.
+ORPHAN_SECONDS = 24 * 3600
+#: How often a change that another writer was faster than is applied again.
+TRIES = 50
 #: Arrivals that the query appends.
 ARRIVALS = 8
 
@@ -54,18 +62,58 @@ class ShardStore:
         finally:
             stream.close()
 
+    def _publish(self, aside, place) -> bool:
+        """Give a finished file its name, unless the name is taken: a step that one writer alone can take."""
+        try:
+            if self._fs.getScheme() == "file":
+                paths = [self._jvm.java.nio.file.Paths.get(self._fs.makeQualified(p).toUri()) for p in (place, aside)]
+                self._jvm.java.nio.file.Files.createLink(*paths)
+            else:
+                self._rename(aside, place)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getSimpleName():
+                return False
+            raise
+        return True
+
+    def _rename(self, aside, place) -> None:
+        """Rename without overwriting."""
+        kinds = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        options[0] = kinds.NONE
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf).rename(aside, place, options)
+
+    def _put(self, path, manifest: dict) -> None:
+        stream = self._fs.create(path, True)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+
     def commit(self, before: dict, shards: list[dict]) -> dict:
-        """Publish the next version: write its manifest aside, then rename it into place, which only one writer can."""
+        """Publish the version after ``before``: write its manifest aside, then name it, which only one writer can."""
         now = {"version": before["version"] + 1, "shards": sorted(shards, key=lambda s: s["file"])}
-        aside, place = self._path(f"manifests/.{uuid.uuid4().hex}"), self._path(f"manifests/v{now['version']:08d}.json")
-        stream = self._fs.create(aside, False)
-        stream.write(bytearray(json.dumps(now).encode()))
-        stream.close()
-        if self._fs.exists(place) or not self._fs.rename(aside, place):
+        aside = self._path(f"manifests/.{uuid.uuid4().hex}")
+        self._put(aside, now)
+        try:
+            if not self._publish(aside, self._path(f"manifests/v{now['version']:08d}.json")):
+                raise ConcurrentCommit(f"version {now['version']} exists")
+        finally:
             self._fs.delete(aside, False)
-            raise ConcurrentCommit(f"version {now['version']} exists")
         return now
 
+    def update(self, change: Callable[[list[dict]], list[dict] | None]) -> dict:
+        """Commit ``change`` of the latest version's shards, again if another writer was first; None changes nothing."""
+        for _ in range(TRIES):
+            before = self.manifest()
+            shards = change(before["shards"])
+            if shards is None:
+                return before
+            try:
+                return self.commit(before, shards)
+            except ConcurrentCommit:
+                continue
+        raise ConcurrentCommit(f"{TRIES} other writers were faster")
+
     def tier(self, size: int) -> int:
         """0 for the smallest shards, one more for each RATIO times the size."""
         tier = 0
@@ -77,12 +125,32 @@ class ShardStore:
         """Write rows as new shards and tell their files. A job that fails leaves files that no manifest lists."""
         folder = f"shards/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        files = [f for f in self._fs.listStatus(self._path(folder)) if f.getPath().getName().endswith(".parquet")]
-        return [{"file": f"{folder}/{f.getPath().getName()}", "bytes": f.getLen(), "tier": self.tier(f.getLen())} for f in files]
+        return self._files(folder)
+
+    def _files(self, folder: str) -> list[dict]:
+        """Shards under a folder: their files, bytes, tiers and times."""
+        out, listed = [], self._fs.listFiles(self._path(folder), True)
+        while listed.hasNext():
+            f = listed.next()
+            path = f.getPath().toString()
+            if path.endswith(".parquet"):
+                out.append({"file": path[path.rindex(f"/{folder}/") + 1 :], "bytes": f.getLen(), "tier": self.tier(f.getLen()), "written": f.getModificationTime()})
+        return out
 
     def append(self, arrival: DataFrame) -> dict:
-        before = self.manifest()
-        return self.commit(before, before["shards"] + self._written(arrival))
+        new = self._written(arrival)
+        return self.update(lambda shards: shards + new)
+
+    def dealt(self, docs: DataFrame, arrivals: int) -> list[list[dict]]:
+        """Write ``docs``, read once, as the shards of several arrivals, none of them committed yet. Rows are dealt by a hash
+        of all they hold, so that no source is an arrival of its own."""
+        folder, arrival = f"shards/{uuid.uuid4().hex}", f"arrival_{uuid.uuid4().hex}"
+        key = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(arrivals))
+        docs.withColumn(arrival, key).write.option("compression", "zstd").partitionBy(arrival).parquet(f"{self.path}/{folder}")
+        dealt: list[list[dict]] = [[] for _ in range(arrivals)]
+        for f in self._files(folder):
+            dealt[int(f["file"].split("/")[2].rpartition("=")[2])].append(f)
+        return dealt
 
     def runs(self, shards: list[dict], run: int | None = None) -> list[list[dict]]:
         """Runs to merge: the shards of each tier below the target, if there are ``run`` of them."""
@@ -98,51 +166,63 @@ class ShardStore:
         Rows stay in their files' order and are not shuffled: a merging task reads whole shards, about a target's bytes of them.
         """
         now = self.manifest()
-        while runs := self.runs(now["shards"], run):
-            merged: list[dict] = []
-            for held in runs:
-                files = -(-sum(s["bytes"] for s in held) // self.target)
-                if files >= len(held):
-                    continue
-                merged += self._written(self.read_shards(held).coalesce(files))
-            if not merged:
-                break
-            gone = {s["file"] for held in runs if -(-sum(s["bytes"] for s in held) // self.target) < len(held) for s in held}
-            now = self.commit(now, [s for s in now["shards"] if s["file"] not in gone] + merged)
+        while runs := [r for r in self.runs(now["shards"], run) if self._files_of(r) < len(r)]:
+            merged = [m for held in runs for m in self._written(self.read_shards(held).coalesce(self._files_of(held)))]
+            gone = {s["file"] for held in runs for s in held}
+
+            def swapped(shards: list[dict], gone=gone, merged=merged) -> list[dict] | None:
+                """None if another writer has merged some of them meanwhile: what is merged here then stays unlisted."""
+                left = [s for s in shards if s["file"] not in gone]
+                return left + merged if len(left) == len(shards) - len(gone) else None
+
+            now = self.update(swapped)
         return now
 
+    def _files_of(self, shards: list[dict]) -> int:
+        return -(-sum(s["bytes"] for s in shards) // self.target)
+
     def read_shards(self, shards: list[dict]) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.path}/{s['file']}" for s in shards])
 
     def read(self, version: int | None = None) -> DataFrame:
-        return self.read_shards(self.manifest(version)["shards"])
-
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete the shards that none of the last ``keep`` versions lists: readers of older versions must have ended."""
-        live, gone = {s["file"] for v in self.versions()[-keep:] for s in self.manifest(v)["shards"]}, 0
-        for folder in self._fs.listStatus(self._path("shards")):
-            for f in self._fs.listStatus(folder.getPath()):
-                name = f"shards/{folder.getPath().getName()}/{f.getPath().getName()}"
-                if name.endswith(".parquet") and name not in live:
-                    self._fs.delete(f.getPath(), False)
-                    gone += 1
+        found = self.manifest(version)
+        if found.get("emptied"):
+            raise LookupError(f"the shards of version {found['version']} have been deleted")
+        return self.read_shards(found["shards"])
+
+    def vacuum(self, keep: int = 1, orphan_seconds: float = ORPHAN_SECONDS) -> int:
+        """Delete what versions before the last ``keep`` listed and these do not: readers of older versions must have ended.
+
+        Shards that no version has listed may be a writer's that has yet to commit, and go only at ``orphan_seconds`` of age.
+        Manifests of versions that can be read no more are emptied, and keep their names, which no writer can then take.
+        """
+        known = self.versions()
+        live = {s["file"] for v in known[-keep:] for s in self.manifest(v)["shards"]}
+        old = {v: self.manifest(v) for v in known[:-keep]}
+        dead = {s["file"] for m in old.values() for s in m["shards"]} - live
+        dead |= {f["file"] for f in self._files("shards") if f["file"] not in live and f["written"] < (time.time() - orphan_seconds) * 1000}
+        gone = sum(self._fs.delete(self._path(file), False) for file in dead)
+        for v, m in old.items():
+            if m["shards"]:
+                self._put(self._path(f"manifests/v{v:08d}.json"), {"version": v, "shards": [], "emptied": True})
         return gone
 
 
 def shard(docs: DataFrame, path: str, arrivals: int = ARRIVALS, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Append ``docs`` to a store in ``arrivals`` parts, compact it, and read the committed version back, with each row's shard.
 
-    All columns are kept, nulls and repeated rows too; a column named shard is replaced. Rows arrive by a
-    hash of all they hold, so that no source is an arrival of its own. No rows give no rows.
+    The source is read once. All columns are kept, nulls, very long texts and repeated rows too; a column named shard is
+    replaced. No rows give no rows.
     """
     store = ShardStore(docs.sparkSession, path, target_bytes)
     docs = docs.drop("shard")
-    arrives = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(arrivals))
-    for k in range(arrivals):
-        store.append(docs.where(arrives == k))
+    for new in store.dealt(docs, arrivals):
+        store.update(lambda shards, new=new: shards + new)
         store.compact()
         store.vacuum(KEEP_VERSIONS)
-    return store.read().withColumn("shard", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    held = store.manifest()["shards"]
+    rows = store.read_shards(held) if held else docs.limit(0)
+    return rows.withColumn("shard", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
