@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Parts that the links of one node are dealt over, so that a node of very many links is no key of one task.
+SALTS = 8
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round. Each node's neighbours are hung on the least of them: the greater ones (large) or the smaller ones and the node itself (small)."""
@@ -15,7 +18,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         sides = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = sides.join(least, "a")
+    dealt = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = sides.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(dealt, ["a", "salt"]).drop("salt")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -28,7 +32,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Null ends and self-links are ignored; repeated links count once. No links give no rows. Each round is written to the
     checkpoint folder, so a lost executor costs one round at most. The number of rounds grows with the logarithm of the
-    longest path. A node with very many links is a skewed join key whose large side adaptive execution splits.
+    longest path. The links of a node are dealt over ``SALTS`` tasks, to each of which its least neighbour is told.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
