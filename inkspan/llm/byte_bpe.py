@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import parallelism, small_batches, table
 
 #: Words of a block at most, unless one text alone has more: bounds a task's memory.
 BLOCK_WORDS = 3_000_000
@@ -226,14 +226,15 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, buckets: int | None
 
     A null text is the empty text (0 ids, digests of no bytes); a null doc_id is kept; repeated rows each give a row; no
     documents give no rows; other columns are ignored. Words travel once per block, however often they occur, so a frequent
-    word is no hot key. ``buckets`` (default: twice the shuffle partitions, 128 at least) bounds the distinct words that one
-    task holds and should grow with the corpus.
+    word is no hot key. A text is never cut, so the block of a very long one is as large as that text. Both shuffles have
+    as many partitions as the input's scan has, which follow its bytes, and the session's shuffle partitions at least;
+    ``buckets`` (default: as many, 128 at least) bounds the distinct words that one task holds.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or max(128, 2 * partitions)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    partitions = max(parallelism(spark), source.rdd.getNumPartitions())
+    buckets = buckets or max(128, partitions)
     blocks = source.mapInArrow(lambda b: to_blocks(b, buckets, block_words), ROWS)
     ids = blocks.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: encode_words(b, path, pattern), ROWS)
     return ids.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(lambda b: decode_blocks(b, path), OUT)

@@ -14,6 +14,8 @@ from .common import small_batches
 SCORES = "doc_id long, score double, predicted int"
 #: Characters of texts that are featurised at once, at most, unless one text is longer.
 SLICE_CHARS = 1_000_000
+#: Characters of the texts of a labelled sample, at most: a row that would exceed it is not learnt from.
+SAMPLE_CHARS = 256_000_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, rows: int) -> DataFrame:
@@ -29,14 +31,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from:
     return held.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
-def train(sample: DataFrame, fit: Callable[[list[str], list[int]], bytes]) -> bytes:
-    """Fit on the bounded sample, in the order of the ids' hashes, in one task; the compact weights come to the driver."""
+def train(sample: DataFrame, fit: Callable[[list[str], list[int]], bytes], chars: int = SAMPLE_CHARS) -> bytes:
+    """Fit on the bounded sample, in the order of the ids' hashes, in one task; the compact weights come to the driver.
+
+    The sample is bounded by its rows and by ``chars``, so that very long texts cannot fill the task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, labels = [], []
+        texts, labels, held = [], [], 0
         for batch in batches:
-            texts += batch.column(0).to_pylist()
-            labels += batch.column(1).to_pylist()
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held + len(text) <= chars:
+                    texts.append(text)
+                    labels.append(label)
+                    held += len(text)
         yield pa.RecordBatch.from_pydict({"model": [fit(texts, labels)]}, schema=pa.schema([("model", pa.binary())]))
 
     small_batches(sample.sparkSession)

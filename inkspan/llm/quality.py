@@ -73,7 +73,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, sample
 
     A null text is the empty text; empty texts get the bias's score; repeated rows get equal scores; with no labelled row
     the score is 0.5 everywhere; no documents give no rows. The sample is bounded by ``sample_rows``; the model's size is
-    fixed by its number of buckets.
+    fixed by its number of buckets. Whole texts of any length are scored.
     """
     model = train(labelled_sample(docs, labels, "quality", learn_from, sample_rows), fit)
     return score_rows(docs, Scorer(model), threshold)

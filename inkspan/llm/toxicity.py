@@ -86,7 +86,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, sampl
 
     A null text is the empty text; empty texts get the bias's score; repeated rows get equal scores; with no labelled
     row the score is 0.5 everywhere; no documents give no rows. The sample is bounded by ``sample_rows``; the weights are
-    at most as many as hash buckets and are sent with the task.
+    at most as many as hash buckets and are sent with the task. Whole texts of any length are scored.
     """
     model = train(labelled_sample(docs, labels, "toxic", learn_from, sample_rows), fit)
     return score_rows(docs, Scorer(model), threshold)

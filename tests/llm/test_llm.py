@@ -177,8 +177,9 @@ def labelled(sf="/root/testdata/sf0.1"):
     return duckdb.connect().execute(f"SELECT doc_id, text, quality, toxic FROM '{sf}/documents.parquet' JOIN '{sf}/labels.parquet' USING (doc_id) ORDER BY hash(doc_id)").fetchall()
 
 
-@pytest.mark.parametrize(("module", "label", "modulus", "rest", "least"), [(toxicity, 3, 4, 2, 0.97), (quality, 2, 5, 0, 0.99)])
-def test_held_out_accuracy(module, label, modulus, rest, least):
+@pytest.mark.parametrize(("module", "label", "modulus", "rest", "least", "found", "marked"), [(toxicity, 3, 4, 2, 0.97, 0.75, 0.005), (quality, 2, 5, 0, 0.99, 0.99, 0.02)])
+def test_held_out_accuracy(module, label, modulus, rest, least, found, marked):
+    """Accuracy, the share of label 1 that is found, and the share of label 0 that is marked as 1."""
     rows = labelled()
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % modulus == rest]
     seen = [r for r in rows if zlib.crc32(str(r[0]).encode()) % modulus != rest]
@@ -186,6 +187,7 @@ def test_held_out_accuracy(module, label, modulus, rest, least):
     scores = np.concatenate([scorer(part) for part in classify.slices([r[1] for r in held])])
     truth = np.array([r[label] for r in held])
     assert ((scores >= 0.3) == truth).mean() >= least
+    assert (scores >= 0.3)[truth == 1].mean() >= found and (scores >= 0.3)[truth == 0].mean() <= marked
     assert np.isfinite(scorer(["", "a", "\n"])).all()
 
 
