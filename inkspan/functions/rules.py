@@ -290,8 +290,19 @@ def pattern(rule: Rule) -> str | None:
     return "(?i)(?:" + "|".join(parts) + ")"
 
 
+def words_in(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9_]+", text.lower())
+
+
+def waits_for(rule: Rule) -> list[str]:
+    """Lower-case words of which a text must hold one, whole, to match the rule: a cheap test before the expression."""
+    if rule.category == "vocabulary" and "/" not in rule.text and rule.text.isalpha():
+        return inflections(rule.text)
+    return [max(words_in(part.split("[X]")[0]), key=len) for part in rule.text.split(" / ")]
+
+
 def needles(rule: Rule) -> list[str]:
-    """Lower-case strings of which a text must hold one to match the rule: a cheap test before the expression."""
+    """Lower-case strings of which a text must hold one to match the rule, for engines without word sets."""
     if rule.category == "vocabulary" and rule.text.isalpha():
         return [rule.text.lower().removesuffix("e")]
     return [re.split(r"\[", p)[0].strip().lower() for p in rule.text.split(" / ")]

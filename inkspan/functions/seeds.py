@@ -40,10 +40,19 @@ def seeded_sql(text: str = "text", doc_id: str = "doc_id") -> str:
     return f"CASE {doc_id} % {len(TAILS)} {branches} ELSE {text} END"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt over all cores if they are read in fewer parts than there are cores, as a small file of one row group is.
+
+    Larger tables are read in more parts than that and are not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and seeded text of every document."""
-    return documents(spark, sf_dir).select("doc_id", F.expr(seeded_sql()).alias("text"))
+    return spread(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.expr(seeded_sql()).alias("text"))

@@ -8,48 +8,136 @@ from pyspark.sql import functions as F
 #: Letters beyond ASCII; folding writes x for each, so that ASCII word boundaries hold and offsets stay.
 FOREIGN_LETTER = r"[^\x00-\x7F\P{L}]"
 CODE = r"(?ms)(?:^`{3,}[^\n]*\n.*?^`{3,}[ \t]*$|^~{3,}[^\n]*\n.*?^~{3,}[ \t]*$|`[^`\n]*`)"
-QUOTED = r'"[^"\n]*"|“[^”\n]*”|‘[^’\n]*’'
+QUOTED = r'"[^"\n]*"|\'[^\'\n]*\'|“[^”\n]*”|‘[^’\n]*’'
+#: Headings, table rows and block quotes, which are no prose.
+NO_PROSE_LINES = r"(?m)^(?:#{1,6}[ \t]+[^\n]+|[ \t]*\|[^\n]*\|[ \t]*|>[^\n]*)$"
 SENTENCE_END = r"[.!?]+(?:\s+|\z)"
 PARAGRAPH_END = r"\n[ \t]*\n"
 WORD = r"[A-Za-z0-9']+"
 
 
+#: Signs that are set around a match, so that one pass of a pattern cuts a text; they stand for no letter of any script.
+OPEN, CLOSE = "\uFDD0", "\uFDD1"
+#: Offsets are summed in blocks of this many matches, then over the blocks, so that the work grows with the matches.
+BLOCK = 128
+
+
 def folded(text: Column) -> Column:
-    return F.regexp_replace(text, FOREIGN_LETTER, "x")
+    """``text`` with an x for each letter beyond ASCII; a text that is all ASCII is left alone."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(text, FOREIGN_LETTER, "x"))
 
 
-def spans(text: Column, pattern: str | Column) -> Column:
-    """Array of (start, end, value) of a pattern's matches, in code points. The pattern must not match the empty string."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    both = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def literal(value: str) -> str:
+    """A string in the words of SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def unmarked(text: Column) -> Column:
+    """``text`` with its own signs that ``pieces`` would take for marks replaced; offsets stay."""
+    return F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), F.translate(text, OPEN + CLOSE, "\uFFFD\uFFFD")).otherwise(text)
+
+
+def pieces(text: Column, pattern: str) -> Column:
+    """The text before the first match; then, of each match, what matched, CLOSE, and the text up to the next one."""
+    return F.split(F.regexp_replace(unmarked(text), F.lit(pattern), F.lit(OPEN + "$0" + CLOSE)), OPEN, -1)
+
+
+#: Of each piece how long the match is (0 of the first) and the text after it.
+_LENGTHS = f"transform(%s, (p, i) -> if(i = 0, named_struct('h', 0, 'g', length(p)), named_struct('h', length(substring_index(p, '{CLOSE}', 1)), 'g', length(p) - length(substring_index(p, '{CLOSE}', 1)) - 1)))"
+
+
+def lengths_sql(text: str, pattern: str) -> str:
+    """The lengths of the pieces of an ``unmarked`` column, in the words of SQL, which are quick to make for many patterns."""
+    return _LENGTHS % f"split(regexp_replace({text}, {literal(pattern)}, '{OPEN}$0{CLOSE}'), '{OPEN}', -1)"
+
+
+def lengths(cut: Column) -> Column:
+    def told(p: Column, i: Column) -> Column:
+        hit = F.when(i == 0, 0).otherwise(F.length(F.substring_index(p, CLOSE, 1)))
+        return F.struct(hit.alias("h"), (F.length(p) - hit - F.when(i == 0, 0).otherwise(1)).alias("g"))
+
+    return F.transform(cut, told)
+
+
+def placed(lens: Column) -> Column:
+    """Array of (start, end) of the matches, in code points, from the ``lengths`` of a text's pieces."""
+    place = "struct<start:int,end:int>"
 
     def step(acc, x):
-        start = acc["at"] + x["g"]
-        end = start + F.length(x["h"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["h"].alias("value")))).alias("found"))
+        end = acc["at"] + x["h"]
+        return F.struct((end + x["g"]).alias("at"), F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), end.alias("end")))).alias("found"))
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+    def summed(block: Column) -> Column:
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{place}>").alias("found")), step)
+
+    def moved(x: Column, base: Column) -> Column:
+        return F.transform(x["found"], lambda f: F.struct((f["start"] + base).alias("start"), (f["end"] + base).alias("end")))
+
+    def joined(done: Column) -> Column:
+        bases = F.aggregate(done, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+        return F.flatten(F.zip_with(done, F.slice(bases, F.lit(1), F.size(done)), moved))
+
+    def whole(lens: Column) -> Column:
+        last = F.floor((F.size(lens) - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: summed(F.slice(lens, b * BLOCK + 1, F.lit(BLOCK))))
+        return F.when(F.size(lens) > 1, F.slice(let(blocks, joined), F.lit(2), F.size(lens) - 1)).when(lens.isNotNull(), F.array().cast(f"array<{place}>"))
+
+    return let(lens, whole)
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """Array of (start, end, value) of a pattern's matches, in code points. The pattern must not match the empty string."""
+
+    def told(p: Column, at: Column) -> Column:
+        return F.struct(at["start"].alias("start"), at["end"].alias("end"), F.substring_index(p, CLOSE, 1).alias("value"))
+
+    cut = pieces(text, pattern)
+    return let(cut, lambda c: F.zip_with(F.slice(c, F.lit(2), F.size(c)), placed(lengths(c)), told))
 
 
 def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def masked(text: Column, pattern: str) -> Column:
-    """Matches replaced by as many spaces, so that offsets survive."""
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    blanks = F.concat(F.transform(hits, lambda h: F.repeat(F.lit(" "), F.length(h))), F.array(F.lit("")))
-    return F.array_join(F.zip_with(pieces, blanks, lambda p, b: F.concat(p, F.coalesce(b, F.lit("")))), "")
+def masked(text: Column, pattern: str, needles: tuple[str, ...] = ()) -> Column:
+    """Matches replaced by as many spaces, so that offsets survive; a text without any of ``needles`` has none."""
+
+    def blank(p: Column, i: Column) -> Column:
+        hit = F.length(F.substring_index(p, CLOSE, 1))
+        return F.when(i == 0, p).otherwise(F.concat(F.repeat(F.lit(" "), hit), F.substring(p, hit + 2, F.length(p))))
+
+    done = F.array_join(F.transform(pieces(text, pattern), blank), "")
+    return F.when(any_in(text, needles), done).otherwise(text) if needles else done
+
+
+def any_in(text: Column, needles: tuple[str, ...]) -> Column:
+    """Whether a text holds one of some strings: a cheap test before a pattern."""
+    held = F.lit(False)
+    for needle in needles:
+        held = held | F.contains(text, F.lit(needle))
+    return held
 
 
 def mask_code(text: Column) -> Column:
-    return masked(text, CODE)
+    return masked(text, CODE, ("`", "~~~"))
+
+
+def mask_quotes(text: Column) -> Column:
+    return masked(text, QUOTED, ('"', "'", "“", "‘"))
 
 
 def mask_code_and_quotes(text: Column) -> Column:
-    return masked(mask_code(text), QUOTED)
+    return mask_quotes(mask_code(text))
+
+
+def mask_prose(text: Column) -> Column:
+    """Code, headings, tables and block quotes blanked."""
+    return masked(mask_code(text), NO_PROSE_LINES, ("#", "|", ">"))
 
 
 def word_count(text: Column) -> Column:

@@ -1,8 +1,9 @@
 """Span findings: lexical rules and registered pattern detectors over documents (doc_id, text).
 
 A finding is (doc_id, rule_id, signal, evidence, start_pos, end_pos, value) with half-open code-point offsets into the
-original text. All rules are looked for in one pass over a text, behind cheap substring tests, and nothing is shuffled.
-Null texts give no findings; repeated rows give repeated findings.
+original text. A rule is a pattern in the plan, looked for once in a text that holds one of the words it waits for; nothing is shuffled.
+Null texts give no findings; repeated rows give repeated findings, and each row's are its own: ``found_in`` carries columns
+of the row along, so that no finding has to be joined back to its text.
 """
 
 from __future__ import annotations
@@ -25,53 +26,67 @@ SIGNALS = {
 }
 MEASURE = r"\b\d+(?:[.,]\d+)?\s*(?:%|×)|\b\d+(?:[.,]\d+)?\s*[xX]\b|\b\d+(?:[.,]\d+)?\s*[- ]?(?:ms|secs?|minutes?|hours?|days?|weeks?|months?|years?|kb|mb|gb|tb|services?|runs?|tests?|launches?)\b"
 OBSERVATION = r"(?i:\b(?:measured|tested|observed|benchmarked|tracked|recorded|benchmark|experiment|study|survey|load test|a/b test|pilot)\b)"
-NAMED_ACTOR = r"[^.!?\s]\s+[A-Z][A-Za-z0-9]{2,}\b"
+#: Capitalised words after something that ends no sentence; one that is not in ACTOR_STOP names an actor.
+NAMED_ACTOR = r"[^.!?\s]\s*\b((?:[A-Z][A-Za-z0-9]{2,}\s+)*[A-Z][A-Za-z0-9]{2,})\b"
+ACTOR_STOP = (
+    "The This That These Those It We Our You Your They Their There Here But And Or So Yet Then Thus Hence When If For In On At As No Not Nor Which What How Why Where Who Whom One Two Most Many Some Every Each "
+    "Both Because Although However Also While After Before During Since Until Using Through Within Without Under Over Beyond About Above"
+).split()
 NUMBER = r"\b\d+(?:[.,]\d+)?"
 COUNTED = "companies|organizations|organisations|firms|businesses|startups|teams|developers|engineers|users|customers|clients|subscribers|apps|applications|services|servers|hosts|nodes|instances|containers|reports|findings|incidents|vulnerabilities|breaches|attacks|cases|studies|surveys|respondents|participants|requests|queries|commits|releases|deployments|features"
 STATISTIC = rf"(?:{NUMBER}\s*(?:%|percent(?:age)?\b)|{NUMBER}\s*[x×]\b|\b\d+\s+(?:in|out of)\s+\d+\b|\b\d+\s+of\s+\d+\b|{NUMBER}\s+(?:{COUNTED})\b)"
-SOURCED = r"(?i:\[[^\]]*\]\([^)]*\)|https?://\S+|\[[0-9]+\]|\b(?:according to|reported by|reported in|reported that|cited in|based on|sourced? from|data from|findings from|study|survey|research|analysis|findings?)\b)"
-SUPPLIED = r"(?i:\b(?:measured|observed|counted|tracked|recorded|benchmarked|tested|audited|surveyed|sampled|found|calculated|computed|quantified|detected|experiments?|pilot|load test|a/b test|benchmark|reduced|reduces|cut|improved|improves|boosted|increased|decreased|dropped|doubled|halved|tripled|saved|gained|lost|grew|rose|fell|shrank|ranked|scored|achieved|eliminated|caused|causes|causing|resulted in|leads? to|produced)\b)"
+SOURCED = r"(?i:\[[^\]]*\]\([^)]*\)|https?://\S+|\[[0-9]+\]|\(\s*(?:see\s+)?[A-Z][A-Za-z.'-]+,?\s+[0-9]{4}\s*\)|\b(?:according to|reported by|reported in|reported that|cited in|based on|sourced? from|source:|citation:|data from|findings from|per\s+[A-Z]|report\s+(?:by|from)|(?:a|the)\s+[0-9]{4}\s+report|study|survey|research|analysis|findings?)\b)"
+SUPPLIED = r"(?i:\b(?:measured|observed|counted|tracked|recorded|benchmarked|tested|audited|surveyed|sampled|found|calculated|computed|quantified|detected|experiments?|pilot|load test|a/b test|benchmark|reduced|reduces|cut|improved|improves|boosted|increased|decreased|dropped|doubled|halved|tripled|saved|gained|lost|grew|rose|fell|shrank|ranked|scored|achieved|eliminated|caused|causes|causing|resulted in|leads? to|produced|our\s+(?:audit|test|measurement|data|results)|we\s+ran)\b)"
 TECHNICAL = r"(?i:\b(?:spec|specification|standard|sla|rfc|protocol|limit|threshold|baseline|config|configuration|configured|constant|nominal|rated|fixed|hardcoded|parameter|setting|budget|cap|ceiling|floor|guarantee|guarantees)\b)"
 ESTIMATED = r"(?i:\b(?:about|approximately|approx|roughly|around|nearly|almost|circa|some|up to|at least|at most|more than|less than|over|under|close to|on the order of|give or take)\b)"
 DECISION = r"(?i:\b(?:choose|chooses|chose|use|uses|using|prefer|prefers|pick|picks|decide|decided|opt|opted|select|selects|recommend|recommended|switch|switched|replace|replaced|trade|substitute|should|must|instead|avoid|avoiding)\b)"
 RESULT = r"(?i:\b\d+(?:[.,]\d+)?\s*(?:%|(?:x|ms|secs?|minutes?|hours?|days?|runs?|times?|fold|points?)\b))"
-COMPARISON = r"(?i:\b(?:baseline|benchmark|on par|comparable|matches?|margin|difference|ahead of|behind)\b)"
+COMPARISON = r"(?i:\b(?:baseline|benchmark|on par|comparable|matches?|within\s+[0-9.]|margin|difference|ahead of|behind)\b)"
 
 
 class Detector(NamedTuple):
     key: str
     pattern: str
-    mask: str = ""  # what is blanked before: code, or code_quotes
+    mask: str = ""  # what is blanked before: code, code_quotes or prose
     signal: str = "advisory"
+    needles: tuple[str, ...] = ()  # strings of which a lower-cased text must hold one
+    words: tuple[str, ...] = ()  # whole words of which it must hold one
     excuse: str = ""  # no finding if this is found within ``around`` characters
     around: int = 0
+    actors: bool = False  # nor if an actor is named there
+    estimates: bool = False  # nor if the words next to it mark an estimate
+
+
+#: Characters and words before and after a figure in which an estimate is looked for.
+ESTIMATE_BEFORE, ESTIMATE_AFTER, WORDS_BEFORE, WORDS_AFTER = 40, 16, 4, 3
+OR_SO = r"(?i)^(?:or so|give or take)\b"
 
 
 def _signal(name: str) -> Detector:
     terms = "|".join(sorted(SIGNALS[name], key=len, reverse=True))
-    return Detector(f"mechanism_{name}", rf"(?i)\b(?:{terms})\b", "code", excuse=f"{MEASURE}|{OBSERVATION}|{NAMED_ACTOR}", around=120)
+    return Detector(f"mechanism_{name}", rf"(?i)\b(?:{terms})\b", "code", words=tuple(max(rules.words_in(t), key=len) for t in SIGNALS[name]), excuse=f"{MEASURE}|{OBSERVATION}", around=120, actors=True)
 
 
 # Patterns of the registered detectors
 DETECTORS = [
-    Detector("fmt_em_dash", "—|–| -- ", signal="strict"),
-    Detector("fmt_curly_quotes", "[‘’“”]", signal="strict"),
+    Detector("fmt_em_dash", "—|–| -- ", signal="strict", needles=("—", "–", " -- ")),
+    Detector("fmt_curly_quotes", "[‘’“”]", signal="strict", needles=("‘", "’", "“", "”")),
     Detector("fmt_emojis", rf"[{EMOJI}\x{{FE0F}}]", "code_quotes", "strict"),
     Detector("fmt_emoji_bullets", rf"(?m)^[ \t]*(?:[-*]|\d+[.)])[ \t]*[{EMOJI}]", "code_quotes", "strict"),
-    Detector("fmt_inline_header", r"\*\*[^*]+?(?::\*\*|\*\*\s*:)", "code_quotes", "strict"),
-    Detector("fmt_exclamation", "!", "code_quotes"),
-    Detector("fmt_compound_hyphen", r"\b[A-Za-z]+ly-\w+\b", "code_quotes"),
-    Detector("chat_citation_leaks", r"citeturn\d+\w*|oai_citation|\[attached_file:\d+\]", signal="strict"),
-    Detector("ai_url_parameters", r"utm_source=(?:chatgpt|openai|claude|perplexity)\.com", signal="strict"),
-    Detector("unfilled_placeholders", r"\[(?:Your Name|INSERT [A-Z_ ]+|TODO|TBD|YOUR TEXT HERE)\]", "code", "strict"),
-    Detector("struct_link_text", r"(?i)\[(?:click here|learn more|read more|here|this link)\]\([^ )\n]+\)", "code"),
-    Detector("engagement_bait", r"(?i)\b(?:have you ever (?:wondered|thought|noticed|asked)|ever wondered|ever thought about|picture this|imagine (?:this|if)|let me ask you something|you won'?t believe|let'?s be honest|raise your hand if|we'?ve all been there|you might be wondering|you may be wondering|i know what you'?re thinking)\b", "code"),
-    Detector("template_headings", r"(?im)^#{1,6}\s+(?:introduction|conclusion|overview|summary|key\s+takeaways|takeaways|faq|frequently\s+asked\s+questions|getting\s+started|the\s+basics|background|the\s+problem|the\s+solution|next\s+steps|benefits|features|challenges|best\s+practices|pros\s+and\s+cons|what\s+is|what\s+are|why\s+(?:do|does|is|are|should)|why\b[^\n]*\bmatters?|how\s+it\s+works|how\s+does)\b", "code"),
-    Detector("self_promotion", r"(?i)\b(?:as\s+an?\s+industry\s+leader|industry[- ]leading|market[- ]leading|best[- ]in[- ]class|world[- ]class|leading\s+(?:provider|vendor|platform|solution|product|company)|we'?re\s+proud|we\s+are\s+proud|proudly\s+(?:announce|present|introduce|offer)|trusted\s+by|trusted\s+across|loved\s+by|used\s+by\s+(?:thousands|millions)|pioneer\s+in|unmatched|second\s+to\s+none|premier|state[- ]of[- ]the[- ]art)\b", "code_quotes", excuse=COMPARISON, around=60),
-    Detector("rather_than", r"(?i)\b\w[\w'-]*\s+rather\s+than\s+\w[\w'-]*\b", "code_quotes", excuse=f"{DECISION}|{RESULT}", around=60),
-    Detector("unsourced_precision", STATISTIC, "code_quotes", excuse=f"{ESTIMATED}|{SOURCED}|{SUPPLIED}|{TECHNICAL}", around=120),
-    Detector("social_reach_promise", r"(?i)\b(?:boost|grow|increase|drive|raise|expand|multiply|get more)\s+(?:your\s+)?(?:reach|engagement|impressions|visibility|saves|comments|likes|shares|followers|network|traffic|exposure)\b|\b(?:go(?:es)? viral|going viral)\b|\bthe algorithm (?:loves|rewards|prefers|boosts|picks up)\b|\balgorithmic (?:boost|benefit|growth)\b|\b(?:opening weight|dwell time)\b|\breach (?:a|the) wider audience\b|\bseen by more people\b|\bgrow your (?:network|audience)\b", "code"),
-    Detector("struct_artificial_line_breaks", r"[A-Za-z,]\n[a-z]", "code"),
+    Detector("fmt_inline_header", r"\*\*[^*]+?(?::\*\*|\*\*\s*:)", "code_quotes", "strict", needles=("**",)),
+    Detector("fmt_exclamation", "!", "code_quotes", needles=("!",)),
+    Detector("fmt_compound_hyphen", r"\b[A-Za-z]+ly-\w+\b", "code_quotes", needles=("ly-",)),
+    Detector("chat_citation_leaks", r"citeturn\d+\w*|oai_citation|\[attached_file:\d+\]", signal="strict", needles=("citeturn", "oai_citation", "[attached_file:")),
+    Detector("ai_url_parameters", r"utm_source=(?:chatgpt|openai|claude|perplexity)\.com", signal="strict", needles=("utm_source=",)),
+    Detector("unfilled_placeholders", r"\[(?:Your Name|INSERT [A-Z_ ]+|TODO|TBD|YOUR TEXT HERE)\]", "code", "strict", needles=("[",)),
+    Detector("struct_link_text", r"(?i)\[(?:click here|learn more|read more|here|this link)\]\([^ )\n]+\)", "code", needles=("](",)),
+    Detector("engagement_bait", r"(?i)\b(?:have you ever (?:wondered|thought|noticed|asked)|ever wondered|ever thought about|picture this|imagine (?:this|if)|let me ask you something|you won'?t believe|let'?s be honest|raise your hand if|we'?ve all been there|you might be wondering|you may be wondering|i know what you'?re thinking)\b", "code", words=("ever", "picture", "imagine", "something", "believe", "honest", "hand", "been", "wondering", "thinking")),
+    Detector("template_headings", r"(?im)^#{1,6}\s+(?:introduction|conclusion|overview|summary|key\s+takeaways|takeaways|faq|frequently\s+asked\s+questions|getting\s+started|the\s+basics|background|the\s+problem|the\s+solution|next\s+steps|benefits|features|challenges|best\s+practices|pros\s+and\s+cons|what\s+is|what\s+are|why\s+(?:do|does|is|are|should)|why\b[^\n]*\bmatters?|how\s+it\s+works|how\s+does)\b", "code", needles=("#",)),
+    Detector("self_promotion", r"(?i)\b(?:as\s+an?\s+industry\s+leader|industry[- ]leading|market[- ]leading|best[- ]in[- ]class|world[- ]class|leading\s+(?:provider|vendor|platform|solution|product|company)|we'?re\s+proud|we\s+are\s+proud|proudly\s+(?:announce|present|introduce|offer)|trusted\s+by|trusted\s+across|loved\s+by|used\s+by\s+(?:thousands|millions)|pioneer\s+in|unmatched|second\s+to\s+none|premier|state[- ]of[- ]the[- ]art)\b", "code_quotes", excuse=COMPARISON, around=60, words=("industry", "market", "best", "world", "leading", "proud", "proudly", "trusted", "loved", "used", "pioneer", "unmatched", "second", "premier", "state")),
+    Detector("rather_than", r"(?i)\b\w[\w'-]*\s+rather\s+than\s+\w[\w'-]*\b", "code_quotes", excuse=f"{DECISION}|{RESULT}", around=60, words=("rather",)),
+    Detector("unsourced_precision", STATISTIC, "prose", excuse=f"{SOURCED}|{SUPPLIED}|{TECHNICAL}", around=120, estimates=True),
+    Detector("social_reach_promise", r"(?i)\b(?:boost|grow|increase|drive|raise|expand|multiply|get more)\s+(?:your\s+)?(?:reach|engagement|impressions|visibility|saves|comments|likes|shares|followers|network|traffic|exposure)\b|\b(?:go(?:es)? viral|going viral)\b|\bthe algorithm (?:loves|rewards|prefers|boosts|picks up)\b|\balgorithmic (?:boost|benefit|growth)\b|\b(?:opening weight|dwell time)\b|\breach (?:a|the) wider audience\b|\bseen by more people\b|\bgrow your (?:network|audience)\b", "code", words=("boost", "grow", "increase", "drive", "raise", "expand", "multiply", "get", "viral", "algorithm", "algorithmic", "opening", "dwell", "wider", "seen")),
+    Detector("struct_artificial_line_breaks", r"[A-Za-z,]\n[a-z]", "code", needles=("\n",)),
     *(_signal(name) for name in SIGNALS),
 ]
 BY_KEY = {d.key: d for d in DETECTORS}
@@ -79,48 +94,93 @@ BY_KEY = {d.key: d for d in DETECTORS}
 RULE_OF = {r.detector: r.rule_id for r in rules.RULES if r.detector}
 
 
-def masked_text(mask: str, folded: Column) -> Column:
-    return {"": folded, "code": T.mask_code(folded), "code_quotes": T.mask_code_and_quotes(folded)}[mask]
+MASKS = {"": lambda t: t, "code": T.mask_code, "code_quotes": T.mask_code_and_quotes, "prose": T.mask_prose}
+#: Detectors that only one profile asks for.
+PROFILE_ONLY = {"social_reach_promise": "social"}
+
 
+def excused(d: Detector, subject: Column, start: Column, end: Column) -> Column:
+    """Whether what stands around a match excuses it."""
 
-def _located(likely: DataFrame) -> DataFrame:
-    """Findings of (doc_id, text, subject, rule): the rule's matches in the subject that nothing around excuses."""
-    found = likely.select("doc_id", "text", "subject", "rule", F.explode(T.spans(F.col("subject"), F.col("rule.pattern"))).alias("s"))
-    first = F.greatest(F.lit(0), F.col("s.start") - F.col("rule.around"))
-    around = F.substring("subject", first + 1, F.col("s.end") + F.col("rule.around") - first)
-    found = found.where(F.col("rule.excuse").isNull() | ~F.regexp_like(around, F.col("rule.excuse")))
-    value = F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    return found.select("doc_id", "rule.rule_id", "rule.signal", F.lit("span").alias("evidence"), F.col("s.start").cast("long").alias("start_pos"), F.col("s.end").cast("long").alias("end_pos"), value.alias("value"))
+    def within(before: int, after: int) -> Column:
+        first = F.greatest(F.lit(0), start - before)
+        return F.substring(subject, first + 1, end + after - first)
 
+    out = F.lit(False)
+    if d.estimates:
+        first = F.greatest(F.lit(0), start - ESTIMATE_BEFORE)
+        before, after = F.substring(subject, first + 1, start - first), F.substring(subject, end + 1, F.lit(ESTIMATE_AFTER))
+        words, then = (F.regexp_extract_all(x, F.lit(r"\S+"), F.lit(0)) for x in (before, after))
+        tail = F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - WORDS_BEFORE + 1), F.lit(WORDS_BEFORE)), " ")
+        head = F.array_join(F.slice(then, 1, WORDS_AFTER), " ")
+        out = out | F.regexp_like(tail, F.lit(ESTIMATED)) | F.regexp_like(head, F.lit(OR_SO)) | F.contains(F.right(before, F.lit(3)), F.lit("~")) | F.contains(F.left(after, F.lit(3)), F.lit("~"))
+    if d.excuse:
+        out = out | F.regexp_like(within(d.around, d.around), F.lit(d.excuse))
+    if d.actors:
+        runs = F.regexp_extract_all(within(d.around, d.around), F.lit(NAMED_ACTOR), F.lit(1))
+        out = out | F.exists(F.split(F.array_join(runs, " "), r"\s+"), lambda w: (w != "") & ~w.isin(*ACTOR_STOP))
+    return out
 
-def _rule(rule_id: str, signal: str, pattern: str, excuse: str = "", around: int = 0) -> Column:
-    return F.struct(F.lit(rule_id).alias("rule_id"), F.lit(signal).alias("signal"), F.lit(pattern).alias("pattern"), F.lit(excuse or None).cast("string").alias("excuse"), F.lit(around).alias("around"))
+
+def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("doc_id",), fold: bool = True, outer: bool = False) -> DataFrame:
+    """Findings with the columns ``keep`` of their rows; ``outer``: and a row of nulls for each row that has none.
+
+    Texts are cut at the matches of each rule whose words or needles they hold, once, by patterns that are part of the plan; what
+    is exploded is a row for each rule found, then for each match.
+    """
+    masks = sorted({d.mask for d in wanted})
+    prepared = docs.select(*keep, *[F.col("text")] * ("text" not in keep), T.unmarked(T.folded(F.col("text")) if fold else F.col("text")).alias("_folded"))
+    prepared = prepared.withColumns({f"_{m}": MASKS[m](F.col("_folded")) for m in masks if m} | {"_lower": F.lower("_folded")})
+    names = {m: f"_{m}" if m else "_folded" for m in masks}
+    subject = {m: F.col(name) for m, name in names.items()}
+    listed = lambda values: "array(" + ", ".join(map(T.literal, values)) + ")"
+    # Words are looked up once in a set of all that any rule waits for; what is left of them is a few
+    waited = sorted({w for d in wanted for w in d.words})
+    prepared = prepared.withColumn("_held", F.expr(f"array_intersect(split(_lower, '[^a-z0-9_]+'), {listed(waited)})" if waited else "array('')"))
+    cut = []
+    for i, d in enumerate(wanted):
+        likely = " OR ".join([f"arrays_overlap(_held, {listed(d.words)})"] * bool(d.words) + [f"contains(_lower, {T.literal(n)})" for n in d.needles]) or "true"
+        cut.append(f"CASE WHEN {likely} THEN named_struct('rule', {i}, 'lens', {T.lengths_sql(names[d.mask], d.pattern)}) END")
+    # An outer explode is not preceded by a filter that would work the matches out once more
+    ruled = prepared.withColumn("_r", F.explode_outer(F.expr(f"filter(array({', '.join(cut)}), r -> size(r.lens) > 1)")))
+    spans = (ruled if outer else ruled.where("_r is not null")).withColumn("_s", F.explode_outer(T.placed(F.col("_r.lens"))))
+    start, end, rule = F.col("_s.start"), F.col("_s.end"), F.col("_r.rule")
+    excuse = F.lit(False)
+    for d in {(d.mask, *d[6:]): d for d in wanted if any(d[6:])}.values():
+        alike = [i for i, x in enumerate(wanted) if (x.mask, *x[6:]) == (d.mask, *d[6:])]
+        excuse = F.when(rule.isin(*alike), excused(d, subject[d.mask], start, end)).otherwise(excuse)
+    told = spans.withColumn("_gone", F.coalesce(excuse, F.lit(False)))
+    told = told if outer else told.where(~F.col("_gone"))
+    of = lambda values: F.get(F.array(*map(F.lit, values)), rule)
+    finding = {
+        "rule_id": of([RULE_OF.get(d.key, d.key) for d in wanted]),
+        "signal": of([d.signal for d in wanted]),
+        "evidence": F.when(rule.isNotNull(), "span"),
+        "start_pos": start.cast("long"),
+        "end_pos": end.cast("long"),
+        "value": F.substring("text", start + 1, end - start),
+    }
+    return told.select(*keep, *[(F.when(~F.col("_gone"), c) if outer else c).alias(name) for name, c in finding.items()])
+
+
+def lexical(profile: str = "general") -> list[Detector]:
+    return [Detector(r.rule_id, p, "", r.signal, words=tuple(rules.waits_for(r))) for r in rules.active(profile) if (p := rules.pattern(r))]
+
+
+def patterns_of(profile: str = "general") -> list[Detector]:
+    return [d for d in DETECTORS if PROFILE_ONLY.get(d.key, profile) == profile]
 
 
 def lexical_findings(docs: DataFrame, profile: str = "general") -> DataFrame:
-    """Exact and phrase matches of a profile's lexical rules. Only rules of which a text holds a needle are matched."""
-    known = [(r, p) for r in rules.active(profile) if (p := rules.pattern(r))]
-    table = F.array(*[F.struct(F.array(*map(F.lit, rules.needles(r))).alias("needles"), _rule(r.rule_id, r.signal, p).alias("rule")) for r, p in known])
-    prepared = docs.select("doc_id", "text", T.folded(F.col("text")).alias("subject")).withColumn("lowered", F.lower("subject"))
-    held = F.filter(table, lambda r: F.exists(r["needles"], lambda n: F.contains(F.col("lowered"), n)))
-    return _located(prepared.select("doc_id", "text", "subject", F.explode(held).alias("r")).select("doc_id", "text", "subject", "r.rule"))
+    """Exact and phrase matches of a profile's lexical rules."""
+    return found_in(docs, lexical(profile))
 
 
 def pattern_findings(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Matches of registered pattern detectors, all or those of ``keys``."""
-    wanted = [BY_KEY[k] for k in keys or BY_KEY]
-    prepared = docs.select("doc_id", "text", T.folded(F.col("text")).alias("folded"))
-    masks = sorted({d.mask for d in wanted})
-    for mask in masks:
-        prepared = prepared.withColumn(f"masked_{mask}", masked_text(mask, F.col("folded")))
-    subjects = {mask: F.col(f"masked_{mask}") for mask in masks}
-    likely = [F.when(F.regexp_like(subjects[d.mask], F.lit(d.pattern)), F.struct(F.lit(masks.index(d.mask)).alias("at"), _rule(RULE_OF.get(d.key, d.key), d.signal, d.pattern, d.excuse, d.around).alias("rule"))) for d in wanted]
-    exploded = prepared.withColumn("r", F.explode(F.filter(F.array(*likely), lambda r: r.isNotNull())))
-    subject = subjects[masks[-1]]
-    for n, mask in enumerate(masks[:-1]):
-        subject = F.when(F.col("r.at") == n, subjects[mask]).otherwise(subject)
-    return _located(exploded.select("doc_id", "text", subject.alias("subject"), "r.rule"))
-
-
-def all_findings(docs: DataFrame, profile: str = "general") -> DataFrame:
-    return lexical_findings(docs, profile).unionByName(pattern_findings(docs))
+    return found_in(docs, [BY_KEY[k] for k in keys or BY_KEY])
+
+
+def all_findings(docs: DataFrame, profile: str = "general", keep: tuple[str, ...] = ("doc_id",), outer: bool = False) -> DataFrame:
+    """Lexical and pattern findings of a profile, in one pass over the rows."""
+    return found_in(docs, lexical(profile) + patterns_of(profile), keep, outer=outer)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .detect import _located, _rule
+from .detect import Detector, found_in
 
 # Patterns of the integrity kinds, tracking parameters, hidden characters, look-alike letters
 CITATION = r"(?i)\[(?:source|sources|citation|reference)(?:\s+(?:needed|required|resolved))?[\s:=-]*[^\]]*\]|\((?:source|sources|citation|reference)(?:\s+(?:needed|required|resolved))?[\s:=-]*[^)]*\)"
@@ -19,6 +19,7 @@ PROMPT_TOKEN = r"(?i)<\|(?:im_start|im_end|im_sep|system|user|assistant|model)\|
 MARKUP = r'(?i)</?[a-z][a-z0-9]*(?:\s+[a-z][a-z0-9\-]*\s*=\s*"[^"]*")*\s*/?>|\*\*|__|~~'
 HIDDEN = r"[\x{00AD}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{3164}\x{FEFF}\x{FFA0}]"
 LETTER_RUN = r"[A-Za-z\x{0080}-\x{FFFD}]+"
+LOOKALIKES = "\u0410\u0415\u041E\u0420\u0421\u0425\u0430\u0435\u043E\u0440\u0441\u0445\u0456\u039F\u03BF"
 LOOKALIKE = r"[\x{0410}\x{0415}\x{041E}\x{0420}\x{0421}\x{0425}\x{0430}\x{0435}\x{043E}\x{0440}\x{0441}\x{0445}\x{0456}\x{039F}\x{03BF}]"
 TRACKING = (
     "utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_source_platform utm_creative_format utm_marketing_tactic gclid dclid fbclid igshid twclid li_fat_id mc_cid mc_eid ref_src ref_url wt_mc "
@@ -44,31 +45,46 @@ def is_tracking(url: Column) -> Column:
     return (F.size(keys) > 0) & F.forall(keys, lambda k: F.array_contains(known, k))
 
 
-def _spans_of(docs: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    prepared = docs.select("doc_id", "text", T.mask_code_and_quotes(F.col("text")).alias("subject"))
-    likely = F.array(*[F.when(F.regexp_like("subject", F.lit(p)), _rule(kind, "strict", p)) for kind, p in kinds.items()])
-    return _located(prepared.withColumn("rule", F.explode(F.filter(likely, lambda r: r.isNotNull()))))
+#: Cheap tests before the patterns: strings of which a lowered text must hold one.
+NEEDLES = {
+    "provider_citation": ("source", "citation", "reference"),
+    "placeholder": ("[insert", "[todo", "[your text here", "[add", "[placeholder", "[tk", "lorem"),
+    "leaked_reasoning": ("let me", "let's think", "here", "as an ai", "<thought", "<thinking", "<reasoning"),
+    "leaked_prompt_token": ("<|", "inst]", "system>", "user>", "assistant>", "<?xml", "ignore"),
+    "leaked_markup": ("<", "**", "__", "~~"),
+}
+
+
+def _looks(kinds: dict[str, str]) -> list[Detector]:
+    return [Detector(kind, p, "code_quotes", "strict", NEEDLES.get(kind, ())) for kind, p in kinds.items()]
 
 
 def integrity_findings(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, finding_id, start_pos, end_pos, value, confidence) outside code and quotes; ids count a kind in order."""
-    prepared = docs.select("doc_id", "text", T.mask_code_and_quotes(F.col("text")).alias("subject"))
-    urls = _located(prepared.withColumn("rule", _rule("tracking_parameter", "strict", URL))).where(is_tracking(F.col("value")))
-    mixed = _located(prepared.where(F.regexp_like("subject", F.lit(LOOKALIKE))).withColumn("rule", _rule("homoglyph", "strict", LETTER_RUN)))
-    mixed = mixed.where(F.regexp_like("value", F.lit("[A-Za-z]")) & F.regexp_like("value", F.lit(LOOKALIKE)))
-    found = _spans_of(docs, SPAN_KINDS).unionByName(urls).unionByName(mixed)
-    counted = found.join(docs.select("doc_id", T.word_count(F.col("text")).alias("words")), "doc_id")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "rule_id").orderBy("start_pos", "end_pos"))
+    """(doc_id, kind, finding_id, start_pos, end_pos, value, confidence) outside code and quotes; ids count a kind in order.
+
+    Each row is told on its own: rows of one id share no finding and no count.
+    """
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), T.word_count(F.col("text")).alias("words"))
+    looks = [*_looks(SPAN_KINDS), Detector("tracking_parameter", URL, "code_quotes", "strict", ("http",)), Detector("homoglyph", LETTER_RUN, "code_quotes", "strict", tuple(map(str.lower, LOOKALIKES)))]
+    found = found_in(rows, looks, ("doc_id", "row", "words"), fold=False)
+    mixed = F.regexp_like("value", F.lit("[A-Za-z]")) & F.regexp_like("value", F.lit(LOOKALIKE))
+    found = found.where(F.when(F.col("rule_id") == "tracking_parameter", is_tracking(F.col("value"))).when(F.col("rule_id") == "homoglyph", mixed).otherwise(True))
+    nth = F.row_number().over(Window.partitionBy("row", "rule_id").orderBy("start_pos", "end_pos"))
     confidence = F.when(F.col("words") < SHORT_SAMPLE, "uncertain").otherwise("confident")
-    return counted.select("doc_id", F.col("rule_id").alias("kind"), F.concat(F.lit("oi-"), "rule_id", F.lit("-"), nth).alias("finding_id"), "start_pos", "end_pos", "value", confidence.alias("confidence"))
+    return found.select("doc_id", F.col("rule_id").alias("kind"), F.concat(F.lit("oi-"), "rule_id", F.lit("-"), nth).alias("finding_id"), "start_pos", "end_pos", "value", confidence.alias("confidence"))
 
 
 def edit_defects(docs: DataFrame) -> DataFrame:
-    """Placeholders, leaked markup, prompt tokens and hidden characters; markup that overlaps a prompt token is dropped."""
-    found = _spans_of(docs, EDIT_KINDS)
-    tokens = found.where("rule_id = 'leaked_prompt_token'").select("doc_id", F.col("start_pos").alias("a"), F.col("end_pos").alias("b"))
-    hit = (found.doc_id == tokens.doc_id) & (found.rule_id == "leaked_markup") & (found.start_pos < tokens.b) & (tokens.a < found.end_pos)
-    return found.join(tokens, hit, "left_anti").select("doc_id", F.col("rule_id").alias("kind"), "start_pos", "end_pos", "value")
+    """Placeholders, leaked markup, prompt tokens and hidden characters; markup that overlaps a prompt token of its row is dropped."""
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    found = found_in(rows, _looks(EDIT_KINDS), ("doc_id", "row"), fold=False)
+    # Tokens do not overlap each other, so of those that start before a finding's end the last one reaches furthest
+    before = Window.partitionBy("row").orderBy("start_pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    token = F.col("rule_id") == "leaked_prompt_token"
+    reach = F.max(F.when(token, F.col("end_pos"))).over(before)
+    next_token = F.min(F.when(token, F.col("start_pos"))).over(Window.partitionBy("row").orderBy("start_pos").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    hit = (F.col("rule_id") == "leaked_markup") & (F.coalesce(reach > F.col("start_pos"), F.lit(False)) | F.coalesce(next_token < F.col("end_pos"), F.lit(False)))
+    return found.withColumn("hit", hit).where("not hit").select("doc_id", F.col("rule_id").alias("kind"), "start_pos", "end_pos", "value")
 
 
 def kind_counts(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from . import detect
 
 # Literal and anchor patterns, marker terms
 LITERALS = {
@@ -54,26 +55,56 @@ def canonical_value(category: Column, value: Column) -> Column:
     return F.when(category == "number", F.regexp_replace(value, "[%,]", "")).when(category == "date", F.regexp_replace(value, "[/ ]", "-")).otherwise(value)
 
 
+def value_counts(pairs: DataFrame, patterns: dict[str, str], outer: bool = False) -> DataFrame:
+    """(row, pair_id, category, value, n) of the values that source and candidate of a row hold an unequal number of times.
+
+    Both sides are exploded in one row and counted with one shuffle: a value adds one for the source, takes one for the
+    candidate. ``outer``: and a row of nulls for each pair without values.
+    """
+    explode = F.explode_outer if outer else F.explode
+    keyed = pairs.select("pair_id", "source", "candidate", F.monotonically_increasing_id().alias("row"))
+    sides = keyed.select("pair_id", "row", explode(F.concat(
+        F.transform(_values(F.coalesce("source", F.lit("")), patterns), lambda v: F.struct(v["category"].alias("category"), v["value"].alias("value"), F.lit(1).alias("n"))),
+        F.transform(_values(F.coalesce("candidate", F.lit("")), patterns), lambda v: F.struct(v["category"].alias("category"), v["value"].alias("value"), F.lit(-1).alias("n"))),
+    )).alias("v"))
+    return sides.groupBy("row", "pair_id", "v.category", canonical_value(F.col("v.category"), F.col("v.value")).alias("value")).agg(F.coalesce(F.sum("v.n"), F.lit(0)).alias("n"))
+
+
 def multiset_changes(pairs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """(pair_id, category, value, lost, gained) where source and candidate hold a value an unequal number of times.
 
-    Both sides are exploded in one row and counted with one shuffle: a value adds one for the source, takes one for the candidate.
+    A null side is the empty text. Each row is a pair of its own: rows of one pair_id are told apart.
     """
-    sides = pairs.select("pair_id", F.explode(F.concat(
-        F.transform(_values(F.col("source"), patterns), lambda v: F.struct(v["category"].alias("category"), v["value"].alias("value"), F.lit(1).alias("n"))),
-        F.transform(_values(F.col("candidate"), patterns), lambda v: F.struct(v["category"].alias("category"), v["value"].alias("value"), F.lit(-1).alias("n"))),
-    )).alias("v"))
-    counted = sides.groupBy("pair_id", "v.category", canonical_value(F.col("v.category"), F.col("v.value")).alias("value")).agg(F.sum("v.n").alias("n")).where("n <> 0")
+    counted = value_counts(pairs, patterns).where("n <> 0")
     return counted.select("pair_id", "category", "value", F.greatest("n", F.lit(0)).cast("long").alias("lost"), F.greatest(-F.col("n"), F.lit(0)).cast("long").alias("gained"))
 
 
+def _present(text: Column, terms: list[str]) -> Column:
+    """Which terms a lower-cased text holds as whole words. Plain words are looked up in the set of the text's words; a term
+    of several words is matched only in a text that has its longest one."""
+    plain = [t for t in terms if rules.words_in(t) == [t]]
+    rest = [t for t in terms if t not in plain]
+    waited = sorted({*plain, *(max(rules.words_in(t), key=len) for t in rest)})
+
+    def found(held: Column) -> Column:
+        longer = [F.when(F.array_contains(held, max(rules.words_in(t), key=len)) & F.regexp_like(text, F.lit(rf"\b{t}\b")), F.lit(t)) for t in rest]
+        return F.concat(held, F.filter(F.array(*longer), lambda t: t.isNotNull())) if longer else held
+
+    held = F.array_intersect(F.split(text, "[^a-z0-9_]+"), F.array(*map(F.lit, waited)))
+    return F.array_intersect(T.let(held, found), F.array(*map(F.lit, terms)))
+
+
 def marker_changes(pairs: DataFrame) -> DataFrame:
-    """Terms of each marker dimension that only the source (missing) or only the candidate (added) has."""
-    lower = {side: F.lower(T.folded(F.col(side))) for side in ("source", "candidate")}
-    rows = pairs.select("pair_id", lower["source"].alias("s"), lower["candidate"].alias("c"), F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.array(*map(F.lit, terms)).alias("terms")) for k, terms in MARKERS.items()])).alias("d"))
-    held = lambda side: F.filter(F.col("d.terms"), lambda t: F.contains(F.col(side), t) & F.regexp_like(F.col(side), F.concat(F.lit(r"\b"), t, F.lit(r"\b"))))
-    told = rows.select("pair_id", "d.dimension", held("s").alias("a"), held("c").alias("b"))
-    told = told.select("pair_id", "dimension", F.array_join(F.array_except("a", "b"), ",").alias("missing"), F.array_join(F.array_except("b", "a"), ",").alias("added"), F.size("a").cast("long").alias("in_source"))
+    """Terms of each marker dimension that only the source (missing) or only the candidate (added) has.
+
+    Sides that are equal cannot differ and are left out first. A null side is the empty text. Each row is told by itself.
+    """
+    terms = sorted({t for own in MARKERS.values() for t in own})
+    unequal = pairs.select("pair_id", *[F.coalesce(side, F.lit("")).alias(side) for side in ("source", "candidate")]).where("source <> candidate")
+    sides = unequal.select("pair_id", *[_present(F.lower(T.folded(F.col(side))), terms).alias(x) for side, x in (("source", "s"), ("candidate", "c"))])
+    held = lambda side, own: F.filter(F.array(*map(F.lit, own)), lambda t: F.array_contains(F.col(side), t))
+    rows = sides.select("pair_id", F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), held("s", own).alias("a"), held("c", own).alias("b")) for k, own in MARKERS.items()])).alias("d")).select("pair_id", "d.*")
+    told = rows.select("pair_id", "dimension", F.array_join(F.array_except("a", "b"), ",").alias("missing"), F.array_join(F.array_except("b", "a"), ",").alias("added"), F.size("a").cast("long").alias("in_source"))
     return told.where("missing <> '' or added <> ''")
 
 
@@ -83,25 +114,41 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.sha2(body, 256).alias("body_digest"), F.sha2(F.concat_ws("\n", F.col("doc_id").cast("string"), body), 256).alias("record_digest"))
 
 
+def _corrections() -> detect.Detector:
+    pattern = r"(?i)\b(?:" + "|".join(sorted(rules.CORRECTIONS, key=len, reverse=True)) + r")\b"
+    return detect.Detector("correction", pattern, "code_quotes", "strict", tuple(rules.CORRECTIONS))
+
+
+def _replacement() -> Column:
+    return F.create_map(*[F.lit(x) for pair in rules.CORRECTIONS.items() for x in pair])[F.lower("value")]
+
+
 def repairs(docs: DataFrame) -> DataFrame:
     """Literal corrections outside code and quotes: (doc_id, original, replacement, start_pos), and how texts read after them.
 
     A correction applies where the masked text has it, so offsets hold; edits of a text do not overlap.
     """
-    from .detect import _located, _rule
+    return detect.found_in(docs, [_corrections()]).select("doc_id", F.col("value").alias("original"), _replacement().alias("replacement"), "start_pos", "end_pos")
 
-    prepared = docs.select("doc_id", "text", T.mask_code_and_quotes(T.folded(F.col("text"))).alias("subject"))
-    pattern = r"(?i)\b(?:" + "|".join(sorted(rules.CORRECTIONS, key=len, reverse=True)) + r")\b"
-    found = _located(prepared.where(F.regexp_like("subject", F.lit(pattern))).withColumn("rule", _rule("correction", "strict", pattern)))
+
+def repaired_text(text: Column) -> tuple[Column, Column]:
+    """How many corrections a text has, and the text with them made. The original is cut by the lengths of its masked pieces."""
+    d = _corrections()
     table = F.create_map(*[F.lit(x) for pair in rules.CORRECTIONS.items() for x in pair])
-    return found.select("doc_id", F.col("value").alias("original"), table[F.lower("value")].alias("replacement"), "start_pos", "end_pos")
+    found = T.spans(T.mask_code_and_quotes(T.folded(text)), d.pattern)
+
+    def out(spans: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+        parts = F.zip_with(spans, F.slice(ends, F.lit(1), F.size(spans)), lambda s, done: F.concat(F.substring(text, done + 1, s["start"] - done), table[F.lower(s["value"])]))
+        return F.struct(F.size(spans).cast("long").alias("edits"), F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text))).alias("fixed"))
+
+    done = T.let(found, out)
+    return done["edits"], done["fixed"]
 
 
 def repaired(docs: DataFrame) -> DataFrame:
-    """Texts after their repairs: digest and the change of length. Pieces between edits are put together in order."""
-    edits = repairs(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "replacement"))).alias("e"))
-    start = F.struct(F.lit(0).cast("long").alias("done"), F.lit("").alias("out"))
-    step = lambda acc, e: F.struct(e["end_pos"].alias("done"), F.concat(acc["out"], F.substring(F.col("text"), (acc["done"] + 1).cast("int"), (e["start_pos"] - acc["done"]).cast("int")), e["replacement"]).alias("out"))
-    text = F.aggregate("e", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["done"] + 1).cast("int"), F.length("text"))))
-    told = docs.join(edits, "doc_id").select("doc_id", "text", F.size("e").cast("long").alias("edits"), text.alias("fixed"))
+    """Texts after their repairs: digest and the change of length, of rows that have any. Each row is mended by itself."""
+    likely = docs.where(T.any_in(F.lower("text"), tuple(rules.CORRECTIONS)))
+    edits, fixed = repaired_text(F.col("text"))
+    told = likely.select("doc_id", "text", edits.alias("edits"), fixed.alias("fixed")).where("edits > 0")
     return told.select("doc_id", "edits", (F.length("fixed") - F.length("text")).cast("long").alias("longer_by"), F.sha2("fixed", 256).alias("fixed_sha256"))

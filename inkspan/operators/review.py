@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .score import key_of
+
 # Request patterns, in order of precedence; status weights
 NON_PROSE = (
     r"\b(?:python|bash|shell|javascript|typescript|rust|go)\b.*\b(?:function|script|code)\b",
@@ -54,16 +56,16 @@ def statuses(findings: DataFrame) -> DataFrame:
 
 
 def decisions(findings: DataFrame) -> DataFrame:
-    """Per document the count of each status and the strongest one."""
+    """Per document, or row where findings carry it, the count of each status and the strongest one."""
     weight = F.create_map(*[F.lit(x) for pair in STATUS_WEIGHT.items() for x in pair])
     rows = statuses(findings).withColumn("w", weight[F.col("status")])
     counts = [F.sum((F.col("status") == s).cast("int")).cast("long").alias(s.replace("-", "_")) for s in STATUS_WEIGHT if s != "no-finding"]
-    return rows.groupBy("doc_id").agg(*counts, F.max_by("status", "w").alias("decision"))
+    return rows.groupBy(*dict.fromkeys((key_of(findings), "doc_id"))).agg(*counts, F.max_by("status", "w").alias("decision")).drop("row")
 
 
 def interventions(findings: DataFrame, most: int = 2) -> DataFrame:
     """The first ``most`` findings of each document: strict first, then by weight, then in text order."""
-    order = Window.partitionBy("doc_id").orderBy((F.col("signal") != "strict").cast("int"), F.col("weight").desc(), "start_pos", "end_pos", "rule_id")
+    order = Window.partitionBy(key_of(findings)).orderBy((F.col("signal") != "strict").cast("int"), F.col("weight").desc(), "start_pos", "end_pos", "rule_id")
     return findings.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select("doc_id", "rank", "rule_id", "start_pos", "end_pos")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import detect
 
 HEADING = r"(?m)^#{1,6}\s+[^\n]+\n"
 SKIPPED_LINE = r"^(?:#|\||>|[-*] |[0-9]\.)"
@@ -40,11 +41,12 @@ HAN = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2FA1F}]"
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """doc_id, section (0, 1, ...), body (code blanked) and flat (prose lines joined by spaces) of each section that is not blank."""
-    folded = docs.select("doc_id", T.mask_code(T.folded(F.col("text"))).alias("t"))
-    cut = folded.select("doc_id", F.posexplode(F.split("t", HEADING, -1)).alias("section", "body")).where(F.btrim("body", F.lit(TRIM)) != "")
+    """doc_id, row (the row's own key), section (0, 1, ...), body (code blanked) and flat (prose lines joined by spaces) of each
+    section that is not blank."""
+    folded = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), T.mask_code(T.folded(F.col("text"))).alias("t"))
+    cut = folded.select("doc_id", "row", F.posexplode(F.split("t", HEADING, -1)).alias("section", "body")).where(F.btrim("body", F.lit(TRIM)) != "")
     lines = F.filter(F.transform(F.split("body", "\n", -1), lambda x: F.btrim(x, F.lit(TRIM))), lambda x: (x != "") & ~F.regexp_like(x, F.lit(SKIPPED_LINE)))
-    return cut.select("doc_id", F.col("section").cast("long").alias("section"), "body", F.array_join(lines, " ").alias("flat"))
+    return cut.select("doc_id", "row", F.col("section").cast("long").alias("section"), "body", F.array_join(lines, " ").alias("flat"))
 
 
 def _words(s: Column) -> Column:
@@ -64,9 +66,9 @@ def openers(docs: DataFrame) -> DataFrame:
     """The commonest first word of each section's sentences; the first seen wins a tie."""
     first = F.transform(T.sentences(F.col("flat")), lambda s: F.regexp_extract(F.lower(F.split(s, " ")[0]), "[a-z].*", 0))
     made = sections(docs).withColumn("first", F.filter(first, lambda w: F.length(w) >= 2))
-    rows = made.select("doc_id", "section", F.size("first").alias("n"), F.posexplode("first").alias("at", "opener"))
-    counted = rows.groupBy("doc_id", "section", "opener").agg(F.max("n").cast("long").alias("openings"), F.count(F.lit(1)).alias("times"), F.min("at").alias("at"))
-    best = F.row_number().over(Window.partitionBy("doc_id", "section").orderBy(F.col("times").desc(), "at"))
+    rows = made.select("doc_id", "row", "section", F.size("first").alias("n"), F.posexplode("first").alias("at", "opener"))
+    counted = rows.groupBy("row", "doc_id", "section", "opener").agg(F.max("n").cast("long").alias("openings"), F.count(F.lit(1)).alias("times"), F.min("at").alias("at"))
+    best = F.row_number().over(Window.partitionBy("row", "section").orderBy(F.col("times").desc(), "at"))
     top = counted.withColumn("rank", best).where("rank = 1")
     share = F.col("times") / F.col("openings")
     flagged = (F.col("openings") >= OPENER_SENTENCES) & (F.col("times") >= OPENER_COUNT) & (share > OPENER_SHARE)
@@ -118,11 +120,17 @@ def similar_paragraphs(docs: DataFrame) -> DataFrame:
     return told.select("doc_id", "paragraph", (-F.col("b.i")).cast("long").alias("earlier"), F.col("b.score").alias("jaccard"), (F.col("b.score") > DUPLICATE).alias("duplicate"))
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    """Lines with their row's own key, which is made before a row becomes several."""
+    keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    return keyed.select("doc_id", "row", F.posexplode(F.split(T.mask_code(T.folded(F.col("text"))), "\n", -1)).alias("line", "s"))
+
+
 def headings(docs: DataFrame) -> DataFrame:
     """Headings in order, with level, whether a level is skipped, and whether the heading is in title case."""
-    lines = docs.select("doc_id", F.posexplode(F.split(T.mask_code(T.folded(F.col("text"))), "\n", -1)).alias("line", "s")).where(F.regexp_like("s", F.lit(r"^#{1,6}\s+\S")))
-    told = lines.select("doc_id", F.col("line").cast("long").alias("line"), F.length(F.regexp_extract("s", "^#+", 0)).cast("long").alias("level"), F.filter(F.split(F.regexp_replace("s", r"^#+\s+", ""), r"\s+"), lambda w: w != "").alias("w"))
-    before = F.lag("level").over(Window.partitionBy("doc_id").orderBy("line"))
+    lines = _lines(docs).where(F.regexp_like("s", F.lit(r"^#{1,6}\s+\S")))
+    told = lines.select("doc_id", "row", F.col("line").cast("long").alias("line"), F.length(F.regexp_extract("s", "^#+", 0)).cast("long").alias("level"), F.filter(F.split(F.regexp_replace("s", r"^#+\s+", ""), r"\s+"), lambda w: w != "").alias("w"))
+    before = F.lag("level").over(Window.partitionBy("row").orderBy("line"))
     small = F.array(*map(F.lit, HEADING_SMALL))
     tail = F.filter(F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda x: ~F.array_contains(small, F.lower(x)))
     titled = (F.size("w") >= 2) & (F.size(tail) > 0) & F.forall(tail, lambda x: F.regexp_like(x, F.lit("^[A-Z]")))
@@ -135,9 +143,9 @@ HEADING_SMALL = "a an the and or but for nor so yet on in at to from of with by
 def numbered_runs(docs: DataFrame) -> DataFrame:
     """Runs of five or more list lines that are numbered one after the other."""
     item = r"^\s*([0-9]{1,6})[.)]\s+\S"
-    lines = docs.select("doc_id", F.posexplode(F.split(T.mask_code(T.folded(F.col("text"))), "\n", -1)).alias("line", "s")).where(F.regexp_like("s", F.lit(item)))
-    told = lines.select("doc_id", F.col("line").cast("long").alias("line"), F.regexp_extract("s", item, 1).cast("long").alias("number"))
-    runs = told.groupBy("doc_id", (F.col("line") - F.col("number")).alias("run")).agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("items"))
+    lines = _lines(docs).where(F.regexp_like("s", F.lit(item)))
+    told = lines.select("doc_id", "row", F.col("line").cast("long").alias("line"), F.regexp_extract("s", item, 1).cast("long").alias("number"))
+    runs = told.groupBy("doc_id", "row", (F.col("line") - F.col("number")).alias("run")).agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("items"))
     return runs.where("items >= 5").select("doc_id", "first_line", "items")
 
 
@@ -159,10 +167,11 @@ def stylometrics(docs: DataFrame) -> DataFrame:
     )
 
 
-def passage_density(docs: DataFrame, findings: DataFrame, span: int = 100, least: int = 3) -> DataFrame:
-    """Findings from which on ``least`` distinct rules or more are found within ``span`` words."""
-    texts = docs.select("doc_id", "text")
-    at = findings.join(texts, "doc_id").select("doc_id", "rule_id", "start_pos", T.word_count(F.substring(F.col("text"), F.lit(1), F.col("start_pos").cast("int"))).cast("long").alias("word"))
-    ahead = Window.partitionBy("doc_id").orderBy("word").rangeBetween(0, span - 1)
+def passage_density(docs: DataFrame, span: int = 100, least: int = 3) -> DataFrame:
+    """Findings from which on ``least`` distinct rules or more are found within ``span`` words; of each row that has any."""
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    found = detect.all_findings(rows, keep=("doc_id", "row", "text"))
+    at = found.select("doc_id", "row", "rule_id", "start_pos", T.word_count(F.substring(F.col("text"), F.lit(1), F.col("start_pos").cast("int"))).cast("long").alias("word"))
+    ahead = Window.partitionBy("row").orderBy("word").rangeBetween(0, span - 1)
     counted = at.withColumn("rules", F.size(F.collect_set("rule_id").over(ahead)).cast("long"))
-    return counted.where(F.col("rules") >= least).groupBy("doc_id").agg(F.count(F.lit(1)).alias("places"), F.max("rules").alias("most_rules"), F.min("word").alias("first_word"))
+    return counted.where(F.col("rules") >= least).groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("places"), F.max("rules").alias("most_rules"), F.min("word").alias("first_word")).drop("row")

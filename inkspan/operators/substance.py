@@ -88,8 +88,7 @@ def tricolons(docs: DataFrame) -> DataFrame:
 
 def colon_reveals(docs: DataFrame) -> DataFrame:
     """Capitalised noun phrase, colon, lower-case reveal; not where a label or a clause stands before the colon."""
-    prepared = docs.select("doc_id", "text", T.mask_code_and_quotes(T.folded(F.col("text"))).alias("subject"))
-    found = detect._located(prepared.where(F.regexp_like("subject", F.lit(COLON_REVEAL))).withColumn("rule", detect._rule("struct-colon-reveal", "advisory", COLON_REVEAL)))
+    found = detect.found_in(docs, [detect.Detector("struct-colon-reveal", COLON_REVEAL, "code_quotes", needles=(":",))])
     words = F.regexp_extract_all(F.lower(T.folded(F.regexp_extract("value", "^([^:]*):", 1))), F.lit("[a-z]+"), F.lit(0))
     bears = F.array_contains(F.array(*map(F.lit, LABEL_WORDS)), F.element_at(words, -1)) | F.arrays_overlap(words, F.array(*map(F.lit, CLAUSE_WORDS)))
     return found.where(~bears)
@@ -98,8 +97,8 @@ def colon_reveals(docs: DataFrame) -> DataFrame:
 def gate(source_candidate: DataFrame) -> DataFrame:
     """The decision on each pair (pair_id, source, candidate): reject if a literal is lost or an anchor other than a name or an
     attribution changes, review if only those change, else accept. Literals that are only added never count."""
-    literal = pairs.multiset_changes(source_candidate, pairs.LITERALS).where("lost > 0").select("pair_id", F.lit(2).alias("w"))
-    anchor = pairs.multiset_changes(source_candidate, pairs.ANCHORS).select("pair_id", F.when(F.col("category").isin("attribution", "name"), 1).otherwise(2).alias("w"))
-    worst = literal.unionByName(anchor).groupBy("pair_id").agg(F.max("w").alias("w"), F.count(F.lit(1)).alias("changes"))
-    told = source_candidate.select("pair_id").join(worst, "pair_id", "left")
-    return told.select("pair_id", F.when(F.col("w") == 2, "reject").when(F.col("w") == 1, "review").otherwise("accept").alias("decision"), F.coalesce("changes", F.lit(0)).alias("changes"))
+    counted = pairs.value_counts(source_candidate, pairs.LITERALS | pairs.ANCHORS, outer=True)
+    literal, mild = F.col("category").isin(*pairs.LITERALS), F.col("category").isin("attribution", "name")
+    weight = F.when(literal & (F.col("n") > 0), 2).when(~literal & (F.col("n") != 0), F.when(mild, 1).otherwise(2))
+    worst = counted.groupBy("row", "pair_id").agg(F.max(weight).alias("w"), F.count(weight).alias("changes"))
+    return worst.select("pair_id", F.when(F.col("w") == 2, "reject").when(F.col("w") == 1, "review").otherwise("accept").alias("decision"), "changes")

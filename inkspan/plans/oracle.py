@@ -29,18 +29,34 @@ def masked_text(mask: str, text: str = "folded") -> str:
     if not mask:
         return text
     code = masked(text, T.CODE)
-    return code if mask == "code" else masked(code, T.QUOTED)
-
-
-def spans(name: str, source: str, subject: str, rule_id: str, signal: str, pattern: str, guard: str = "TRUE", excuse: str = "", around: int = 0) -> str:
+    return {"code": code, "code_quotes": masked(code, T.QUOTED), "prose": masked(code, T.NO_PROSE_LINES)}[mask]
+
+
+def excused(d: detect.Detector) -> str:
+    """Whether what stands around a match excuses it."""
+    around = f"substr(subject, greatest(0, start_pos - {d.around}) + 1, end_pos + {d.around} - greatest(0, start_pos - {d.around}))"
+    before = f"substr(subject, greatest(0, start_pos - {detect.ESTIMATE_BEFORE}) + 1, start_pos - greatest(0, start_pos - {detect.ESTIMATE_BEFORE}))"
+    after = f"substr(subject, end_pos + 1, {detect.ESTIMATE_AFTER})"
+    words = lambda t: f"regexp_extract_all({t}, {q(chr(92) + 'S+')}, 0)"
+    parts = ["FALSE"]
+    if d.estimates:
+        parts += [f"regexp_matches(array_to_string(({words(before)})[-{detect.WORDS_BEFORE}:], ' '), {q(detect.ESTIMATED)})", f"regexp_matches(array_to_string(({words(after)})[1:{detect.WORDS_AFTER}], ' '), {q(detect.OR_SO)})", f"contains(right({before}, 3), '~')", f"contains(left({after}, 3), '~')"]
+    if d.excuse:
+        parts.append(f"regexp_matches({around}, {q(d.excuse)})")
+    if d.actors:
+        stop = "[" + ", ".join(map(q, detect.ACTOR_STOP)) + "]"
+        parts.append(f"len(list_filter(string_split_regex(array_to_string(regexp_extract_all({around}, {q(detect.NAMED_ACTOR)}, 1), ' '), {q(chr(92) + 's+')}), lambda w: w <> '' AND NOT list_contains({stop}, w))) > 0")
+    return " OR ".join(parts)
+
+
+def spans(name: str, source: str, subject: str, rule_id: str, signal: str, pattern: str, guard: str = "TRUE", excuse: str = "FALSE") -> str:
     """Common table expressions; the last, called ``name``, has the findings."""
-    keep = f"NOT regexp_matches(substr(subject, greatest(0, start_pos - {around}) + 1, end_pos + {around} - greatest(0, start_pos - {around})), {q(excuse)})" if excuse else "TRUE"
     return f"""{name}_s AS (SELECT doc_id, text, {subject} AS subject FROM {source} WHERE {guard}),
 {name}_h AS (SELECT doc_id, text, subject, string_split_regex(subject, {q(pattern)}) AS g, regexp_extract_all(subject, {q(pattern)}, 0) AS h FROM {name}_s WHERE regexp_matches(subject, {q(pattern)})),
 {name}_e AS (SELECT doc_id, text, subject, g, h, unnest(range(1, len(h) + 1)) AS i FROM {name}_h),
 {name}_p AS (SELECT doc_id, text, subject, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start_pos, CAST(length(h[i]) AS BIGINT) AS n FROM {name}_e),
 {name}_q AS (SELECT doc_id, text, subject, start_pos, start_pos + n AS end_pos FROM {name}_p),
-{name} AS (SELECT doc_id, {q(rule_id)} AS rule_id, {q(signal)} AS signal, 'span' AS evidence, start_pos, end_pos, substr(text, start_pos + 1, end_pos - start_pos) AS value FROM {name}_q WHERE {keep})"""
+{name} AS (SELECT doc_id, {q(rule_id)} AS rule_id, {q(signal)} AS signal, 'span' AS evidence, start_pos, end_pos, substr(text, start_pos + 1, end_pos - start_pos) AS value FROM {name}_q WHERE NOT ({excuse}))"""
 
 
 def lexical(profile: str = "general") -> tuple[str, list[str]]:
@@ -54,10 +70,10 @@ def lexical(profile: str = "general") -> tuple[str, list[str]]:
     return ",\n".join(parts), names
 
 
-def patterns(keys: list[str] | None = None) -> tuple[str, list[str]]:
+def patterns(keys: list[str] | None = None, profile: str = "") -> tuple[str, list[str]]:
     parts, names = [], []
-    for d in (detect.BY_KEY[k] for k in keys or detect.BY_KEY):
-        parts.append(spans(f"d_{d.key}", "prepared", masked_text(d.mask), detect.RULE_OF.get(d.key, d.key), d.signal, d.pattern, "TRUE", d.excuse, d.around))
+    for d in detect.patterns_of(profile) if profile else [detect.BY_KEY[k] for k in keys or detect.BY_KEY]:
+        parts.append(spans(f"d_{d.key}", "prepared", masked_text(d.mask), detect.RULE_OF.get(d.key, d.key), d.signal, d.pattern, "TRUE", excused(d)))
         names.append(f"d_{d.key}")
     return ",\n".join(parts), names
 
@@ -83,7 +99,7 @@ def _registry() -> str:
 
 def findings_ctes(profile: str = "general") -> str:
     a, names_a = lexical(profile)
-    b, names_b = patterns()
+    b, names_b = patterns(profile=profile)
     return f"{FOLDED},\n{a},\n{b},\nfindings AS ({union(names_a + names_b)}),\n{_registry()}"
 
 

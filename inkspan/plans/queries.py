@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.weighed(detect.all_findings(seeded(spark, sf_dir)))
+    return score.weighed(score.findings_of(seeded(spark, sf_dir)))
 
 
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,7 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = seeded(spark, sf_dir)
-    return score.score_documents(docs, detect.all_findings(docs))
+    return score.score_documents(seeded(spark, sf_dir))
 
 
 def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +57,7 @@ def _measure(name: str) -> tuple[Query, str]:
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = seeded(spark, sf_dir)
-    return stats.passage_density(docs, detect.all_findings(docs))
+    return stats.passage_density(seeded(spark, sf_dir))
 
 
 MEASURES = ("rhythm", "openers", "transitions", "passives", "long_sentences", "semicolons", "similar_paragraphs", "headings", "numbered_runs", "stylometrics")

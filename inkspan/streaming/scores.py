@@ -25,6 +25,6 @@ def score_stream(docs: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     document is scored once whatever fails."""
 
     def write(batch: DataFrame, number: int) -> None:
-        score.score_documents(batch, detect.all_findings(batch)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        score.score_documents(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
