@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seeds import documents, seeded
-from ..operators import corpus, detect, integrity, linkage, pairs, review, score, stats, substance
-from . import oracle, oracle_linkage, oracle_more, oracle_stats, oracle_substance
+from ..operators import corpus, detect, integrity, linkage, pairs, preserve, review, score, stats, substance
+from . import oracle, oracle_linkage, oracle_more, oracle_preserve, oracle_stats, oracle_substance
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -129,3 +129,10 @@ def _linkage(name: str) -> tuple[Query, str]:
 
 
 OPERATORS |= {name: _linkage(name) for name in ("treadmill_prose", "paragraph_reshuffle")}
+
+
+def _preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preserve.preservation(seeded(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.col("text").alias("source"), F.expr(oracle_preserve.REWRITE_SQL).alias("candidate")))
+
+
+OPERATORS |= {"preservation": (_preserved, oracle_preserve.preservation())}
