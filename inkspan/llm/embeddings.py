@@ -180,7 +180,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     whatever their number, and count as links of each other; repeated rows count each. An id that stands on different
     vectors stands for all of them. No rows give no rows. Large buckets are compared tile by tile, with no cap.
     """
-    small_batches(vectors.sparkSession, 5000)
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce(F.col("vec_id").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
