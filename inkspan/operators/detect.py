@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from . import measured as M
 
 EMOJI = r"\x{1F000}-\x{1FAFF}\x{2B50}\x{2705}\x{274C}\x{274E}\x{2757}\x{2764}"
 # Signal terms and the evidence that excuses a claim
@@ -122,13 +123,16 @@ def excused(d: Detector, subject: Column, start: Column, end: Column) -> Column:
     return out
 
 
-def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("doc_id",), fold: bool = True, outer: bool = False) -> DataFrame:
+def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("doc_id",), fold: bool = True, outer: bool = False, measures: tuple[M.Measure, ...] = ()) -> DataFrame:
     """Findings with the columns ``keep`` of their rows; ``outer``: and a row of nulls for each row that has none.
 
+    ``measures`` adds the findings of document-level detectors; those of evidence ``document`` carry no value, as it may be the
+    whole text.
+
     Texts are cut at the matches of each rule whose words or needles they hold, once, by patterns that are part of the plan; what
     is exploded is a row for each rule found, then for each match.
     """
-    masks = sorted({d.mask for d in wanted})
+    masks = sorted({d.mask for d in wanted} | ({"code_quotes"} if measures else set()))
     prepared = docs.select(*keep, *[F.col("text")] * ("text" not in keep), T.unmarked(T.folded(F.col("text")) if fold else F.col("text")).alias("_folded"))
     prepared = prepared.withColumns({f"_{m}": MASKS[m](F.col("_folded")) for m in masks if m} | {"_lower": F.lower("_folded")})
     names = {m: f"_{m}" if m else "_folded" for m in masks}
@@ -137,13 +141,22 @@ def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("
     # Words are looked up once in a set of all that any rule waits for; what is left of them is a few
     waited = sorted({w for d in wanted for w in d.words})
     prepared = prepared.withColumn("_held", F.expr(f"array_intersect(split(_lower, '[^a-z0-9_]+'), {listed(waited)})" if waited else "array('')"))
+    none = "CAST(NULL AS ARRAY<STRUCT<`start`: INT, `end`: INT>>)"
+    if measures:
+        prepared = prepared.withColumn("_sections", M.sections(F.col("_folded")))
+        columns = {"text": F.col("text"), "folded": F.col("_folded"), "code_quotes": subject["code_quotes"], "sections": F.col("_sections")}
+        prepared = prepared.withColumn("_measured", F.array(*[F.struct(F.lit(len(wanted) + i).alias("rule"), m.find(columns).cast(M.PLACE).alias("at")) for i, m in enumerate(measures)]))
     cut = []
     for i, d in enumerate(wanted):
         likely = " OR ".join([f"arrays_overlap(_held, {listed(d.words)})"] * bool(d.words) + [f"contains(_lower, {T.literal(n)})" for n in d.needles]) or "true"
-        cut.append(f"CASE WHEN {likely} THEN named_struct('rule', {i}, 'lens', {T.lengths_sql(names[d.mask], d.pattern)}) END")
+        cut.append(f"CASE WHEN {likely} THEN named_struct('rule', {i}, 'lens', {T.lengths_sql(names[d.mask], d.pattern)}, 'at', {none}) END")
+    united = f"array({', '.join(cut)})"
+    if measures:
+        empty = "CAST(NULL AS ARRAY<STRUCT<`h`: INT, `g`: INT>>)"
+        united = f"concat({united}, transform(_measured, m -> named_struct('rule', m.rule, 'lens', {empty}, 'at', m.at)))"
     # An outer explode is not preceded by a filter that would work the matches out once more
-    ruled = prepared.withColumn("_r", F.explode_outer(F.expr(f"filter(array({', '.join(cut)}), r -> size(r.lens) > 1)")))
-    spans = (ruled if outer else ruled.where("_r is not null")).withColumn("_s", F.explode_outer(T.placed(F.col("_r.lens"))))
+    ruled = prepared.withColumn("_r", F.explode_outer(F.expr(f"filter({united}, r -> size(r.lens) > 1 OR size(r.at) > 0)")))
+    spans = (ruled if outer else ruled.where("_r is not null")).withColumn("_s", F.explode_outer(F.coalesce(F.col("_r.at"), T.placed(F.col("_r.lens")))))
     start, end, rule = F.col("_s.start"), F.col("_s.end"), F.col("_r.rule")
     excuse = F.lit(False)
     for d in {(d.mask, *d[6:]): d for d in wanted if any(d[6:])}.values():
@@ -152,13 +165,14 @@ def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("
     told = spans.withColumn("_gone", F.coalesce(excuse, F.lit(False)))
     told = told if outer else told.where(~F.col("_gone"))
     of = lambda values: F.get(F.array(*map(F.lit, values)), rule)
+    evidence = of(["span"] * len(wanted) + [m.evidence for m in measures])
     finding = {
-        "rule_id": of([RULE_OF.get(d.key, d.key) for d in wanted]),
-        "signal": of([d.signal for d in wanted]),
-        "evidence": F.when(rule.isNotNull(), "span"),
+        "rule_id": of([RULE_OF.get(d.key, d.key) for d in (*wanted, *measures)]),
+        "signal": of([d.signal for d in (*wanted, *measures)]),
+        "evidence": evidence,
         "start_pos": start.cast("long"),
         "end_pos": end.cast("long"),
-        "value": F.substring("text", start + 1, end - start),
+        "value": F.when(evidence == "span", F.substring("text", start + 1, end - start)),
     }
     return told.select(*keep, *[(F.when(~F.col("_gone"), c) if outer else c).alias(name) for name, c in finding.items()])
 
@@ -181,6 +195,12 @@ def pattern_findings(docs: DataFrame, keys: list[str] | None = None) -> DataFram
     return found_in(docs, [BY_KEY[k] for k in keys or BY_KEY])
 
 
-def all_findings(docs: DataFrame, profile: str = "general", keep: tuple[str, ...] = ("doc_id",), outer: bool = False) -> DataFrame:
-    """Lexical and pattern findings of a profile, in one pass over the rows."""
-    return found_in(docs, lexical(profile) + patterns_of(profile), keep, outer=outer)
+def measured_findings(docs: DataFrame) -> DataFrame:
+    """Findings of the document-level detectors alone."""
+    return found_in(docs, [], measures=tuple(M.MEASURES))
+
+
+def all_findings(docs: DataFrame, profile: str = "general", keep: tuple[str, ...] = ("doc_id",), outer: bool = False, measured: bool = True) -> DataFrame:
+    """Lexical and pattern findings of a profile, and unless ``measured`` is false those of document-level detectors, in one pass
+    over the rows."""
+    return found_in(docs, lexical(profile) + patterns_of(profile), keep, outer=outer, measures=tuple(M.MEASURES) if measured else ())

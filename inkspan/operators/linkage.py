@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .stats import STOP_WORDS
+from ..functions.limits import STOP_WORDS
 
 BREAK = r"\n{2,}"
 # Content words, what starts no prose, what ties a paragraph to the one before, what stands for code or links, limits
@@ -44,8 +44,8 @@ def _shared(a: Column, b: Column) -> tuple[Column, Column]:
     return shared, F.try_divide(shared.cast("double"), F.least(F.size(a), F.size(b)).cast("double"))
 
 
-def treadmill_prose(docs: DataFrame) -> DataFrame:
-    """Paragraphs that mostly restate the content words of the prose paragraph before."""
+def restating(text: Column) -> Column:
+    """Array of (start_pos, end_pos, shared, overlap) of the paragraphs that restate the prose paragraph before."""
     none = F.array().cast("array<struct<start_pos:int,end_pos:int,shared:int,overlap:double>>")
 
     def step(acc, p):
@@ -55,23 +55,31 @@ def treadmill_prose(docs: DataFrame) -> DataFrame:
         return F.struct(p["words"].alias("words"), found.alias("found"))
 
     start = F.struct(F.array().cast("array<string>").alias("words"), none.alias("found"))
-    found = F.aggregate(prose(F.col("text"), TREADMILL_WORDS), start, step, lambda acc: acc["found"])
-    rows = docs.where("text is not null").select("doc_id", F.inline(found))
+    return F.aggregate(prose(text, TREADMILL_WORDS), start, step, lambda acc: acc["found"])
+
+
+def treadmill_prose(docs: DataFrame) -> DataFrame:
+    """Paragraphs that mostly restate the content words of the prose paragraph before."""
+    rows = docs.where("text is not null").select("doc_id", F.inline(restating(F.col("text"))))
     return rows.select("doc_id", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"), F.col("shared").cast("long").alias("shared"), F.round("overlap", 6).alias("overlap"))
 
 
-def paragraph_reshuffle(docs: DataFrame) -> DataFrame:
-    """The first three prose paragraphs in a row, without code and links, that no heading, connective or shared words tie together."""
+def untied(text: Column) -> Column:
+    """(start_pos, end_pos) of the first three prose paragraphs in a row that nothing ties together, or null."""
     none = F.lit(None).cast("struct<start_pos:int,end_pos:int>")
 
     def step(acc, p):
-        between = F.substring(F.col("text"), acc["end"] + 1, p["start"] - acc["end"])
+        between = F.substring(text, acc["end"] + 1, p["start"] - acc["end"])
         tied = F.regexp_like(between, F.lit(HEADING_LINE)) | F.regexp_like(p["body"], F.lit(CONNECTIVE)) | (_shared(acc["words"], p["words"])[1] >= ISLAND_OVERLAP)
         run = F.when(F.regexp_like(p["body"], F.lit(LITERAL)), F.lit(0)).when((acc["run"] > 0) & ~tied, acc["run"] + 1).otherwise(F.lit(1))
         hit = F.when(run >= ISLAND_RUN, F.struct(acc["before"].alias("start_pos"), p["end"].alias("end_pos")))
         return F.struct(acc["start"].alias("before"), p["start"].alias("start"), p["end"].alias("end"), p["words"].alias("words"), run.alias("run"), F.coalesce(acc["found"], hit).alias("found"))
 
     start = F.struct(F.lit(0).alias("before"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.array().cast("array<string>").alias("words"), F.lit(0).alias("run"), none.alias("found"))
-    found = F.aggregate(prose(F.col("text"), ISLAND_WORDS), start, step, lambda acc: acc["found"])
-    rows = docs.select("doc_id", found.alias("f")).where("f is not null")
+    return F.aggregate(prose(text, ISLAND_WORDS), start, step, lambda acc: acc["found"])
+
+
+def paragraph_reshuffle(docs: DataFrame) -> DataFrame:
+    """The first three prose paragraphs in a row, without code and links, that no heading, connective or shared words tie together."""
+    rows = docs.select("doc_id", untied(F.col("text")).alias("f")).where("f is not null")
     return rows.select("doc_id", F.col("f.start_pos").cast("long").alias("start_pos"), F.col("f.end_pos").cast("long").alias("end_pos"))

@@ -10,32 +10,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.limits import (  # noqa: F401
+    ADJECTIVES,
+    DUPLICATE,
+    HEADING,
+    HEADING_SMALL,
+    MEAN_MIN,
+    OPENER_COUNT,
+    OPENER_SENTENCES,
+    OPENER_SHARE,
+    PARAGRAPH_CV,
+    PARAGRAPH_MIN,
+    PARAGRAPH_MIN_WORDS,
+    PASSIVE,
+    PASSIVE_COUNT,
+    PASSIVE_SENTENCES,
+    PASSIVE_SHARE,
+    SENTENCE_CV,
+    SENTENCE_MIN,
+    SENTENCE_MIN_WORDS,
+    SIMILAR,
+    SIMILAR_SHARED,
+    SIMILAR_WORDS,
+    STOP_WORDS,
+    TRANSITIONS,
+    TRANSITION_COUNT,
+)
 from . import detect
 
-HEADING = r"(?m)^#{1,6}\s+[^\n]+\n"
 SKIPPED_LINE = r"^(?:#|\||>|[-*] |[0-9]\.)"
-# Limits of the measures, transitions, passive forms and adjectives that are none
-SENTENCE_MIN_WORDS, SENTENCE_MIN, MEAN_MIN, SENTENCE_CV = 3, 5, 12.0, 0.30
-PARAGRAPH_MIN_WORDS, PARAGRAPH_MIN, PARAGRAPH_CV = 30, 4, 0.25
-OPENER_SENTENCES, OPENER_COUNT, OPENER_SHARE = 6, 3, 0.30
-SIMILAR_WORDS, SIMILAR, SIMILAR_SHARED, DUPLICATE = 8, 0.60, 6, 0.90
-TRANSITION_COUNT = 3
-TRANSITIONS = (
-    "in addition", "for instance", "for example", "in particular", "moreover", "furthermore", "additionally", "consequently", "subsequently", "nevertheless",
-    "conversely", "accordingly", "hence", "thus", "therefore", "specifically", "notably", "importantly", "crucially", "essentially",
-)
-PASSIVE = (
-    r"(?i)\b(?:am|is|are|was|were|be|been|being)(?:\s+(?:not|never|[a-z]+ly))?\s+([a-z][a-z]+ed|done|made|given|taken|seen|known|shown|found|held|kept|left|lost|meant|put|read|run|said|sent|set|told|thought|"
-    r"understood|written|built|brought|bought|caught|chosen|drawn|driven|eaten|fallen|felt|gotten|gone|grown|heard|hidden|hit|led|paid|proven|sold|spent|spoken|spread|stolen|taught|thrown|won|broken|begun|cut)\b"
-)
-ADJECTIVES = (
-    "mixed tired excited interested bored surprised worried concerned prepared involved related located connected designed expected required based limited combined committed dedicated focused satisfied pleased "
-    "confused disappointed exhausted overwhelmed annoyed scared frightened alarmed fascinated puzzled shocked embarrassed accustomed crowded qualified specialized educated skilled trained organized established "
-    "united blessed alleged designated determined documented entitled intended marked noted painted reserved situated stated supposed"
-).split()
-PASSIVE_SENTENCES, PASSIVE_COUNT, PASSIVE_SHARE = 6, 3, 0.35
+# Limits of long sentences
 COMMAS, LONG_WORDS = 5, 10
-STOP_WORDS = "a an and are as at be because but by for from has have in into is it of on or that the their this to was were will with".split()
 TRIM = " \t\n\r"
 HAN = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2FA1F}]"
 
@@ -137,9 +142,6 @@ def headings(docs: DataFrame) -> DataFrame:
     return told.select("doc_id", "line", "level", F.coalesce(F.col("level") > before + 1, F.lit(False)).alias("skips"), titled.alias("title_case"))
 
 
-HEADING_SMALL = "a an the and or but for nor so yet on in at to from of with by as is are was were be been it its this that these those".split()
-
-
 def numbered_runs(docs: DataFrame) -> DataFrame:
     """Runs of five or more list lines that are numbered one after the other."""
     item = r"^\s*([0-9]{1,6})[.)]\s+\S"
@@ -168,9 +170,9 @@ def stylometrics(docs: DataFrame) -> DataFrame:
 
 
 def passage_density(docs: DataFrame, span: int = 100, least: int = 3) -> DataFrame:
-    """Findings from which on ``least`` distinct rules or more are found within ``span`` words; of each row that has any."""
+    """Pattern findings from which on ``least`` distinct rules or more are found within ``span`` words; of each row that has any."""
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    found = detect.all_findings(rows, keep=("doc_id", "row", "text"))
+    found = detect.all_findings(rows, keep=("doc_id", "row", "text"), measured=False)
     at = found.select("doc_id", "row", "rule_id", "start_pos", T.word_count(F.substring(F.col("text"), F.lit(1), F.col("start_pos").cast("int"))).cast("long").alias("word"))
     ahead = Window.partitionBy("row").orderBy("word").rangeBetween(0, span - 1)
     counted = at.withColumn("rules", F.size(F.collect_set("rule_id").over(ahead)).cast("long"))

@@ -6,10 +6,8 @@ from ..functions import rules
 from ..functions import text as T
 from ..functions.seeds import seeded_sql
 from ..operators import detect
-
-
-def q(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
+from . import oracle_measured
+from .oracle_measured import q
 
 
 def folded(text: str) -> str:
@@ -97,14 +95,25 @@ def _registry() -> str:
     return f"registry(rule_id, category, severity, review, rule_signal, detector, weight, ordinal) AS (VALUES {rows})"
 
 
-def findings_ctes(profile: str = "general") -> str:
+def findings_ctes(profile: str = "general", measured: bool = True) -> str:
+    from . import oracle_linkage
+
     a, names_a = lexical(profile)
     b, names_b = patterns(profile=profile)
-    return f"{FOLDED},\n{a},\n{b},\nfindings AS ({union(names_a + names_b)}),\n{_registry()}"
+    c, names_c = oracle_measured.ctes(masked_text("code_quotes"), {"treadmill_prose": oracle_linkage.treadmill_prose(), "paragraph_reshuffle": oracle_linkage.paragraph_reshuffle()})
+    if not measured:
+        c, names_c = "no_measures AS (SELECT 1)", []
+    return f"{FOLDED},\n{a},\n{b},\n{c},\nfindings AS ({union(names_a + names_b + names_c)}),\n{_registry()}"
+
+
+def measured_findings() -> str:
+    return f"WITH {findings_ctes()} SELECT * FROM findings WHERE evidence = 'document' OR rule_id IN ({', '.join(q(detect.RULE_OF[m.key]) for m in detect.M.MEASURES)})"
 
 
 GROUPED = """rated AS (SELECT f.*, coalesce(r.category, 'structural') AS category, coalesce(r.severity, 'medium') AS severity, coalesce(r.weight, 4) AS weight, coalesce(r.ordinal, 185) AS ordinal FROM findings f LEFT JOIN registry r USING (rule_id)),
-reached AS (SELECT *, max(end_pos) OVER (PARTITION BY doc_id, evidence ORDER BY start_pos, end_pos, ordinal, rule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM rated),
+turned AS (SELECT *, CASE WHEN evidence <> lag(evidence) OVER (PARTITION BY doc_id ORDER BY start_pos, end_pos, ordinal, rule_id) THEN 1 ELSE 0 END AS turn FROM rated),
+kinds AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id ORDER BY start_pos, end_pos, ordinal, rule_id ROWS UNBOUNDED PRECEDING) AS kind_run FROM turned),
+reached AS (SELECT *, max(end_pos) OVER (PARTITION BY doc_id, kind_run ORDER BY start_pos, end_pos, ordinal, rule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM kinds),
 islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_pos >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start_pos, end_pos, ordinal, rule_id ROWS UNBOUNDED PRECEDING) AS island FROM reached),
 grouped AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY CASE signal WHEN 'strict' THEN 0 ELSE 1 END, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, length(rule_id) DESC, start_pos, end_pos, ordinal, rule_id) = 1 AS is_primary FROM islands),
 nth AS (SELECT *, is_primary AND signal = 'strict' AS scored, row_number() OVER (PARTITION BY doc_id, rule_id, is_primary AND signal = 'strict' ORDER BY start_pos, end_pos, ordinal) AS n FROM grouped),

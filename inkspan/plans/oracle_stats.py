@@ -116,7 +116,7 @@ SELECT doc_id, words, sentences, CASE WHEN sentences > 0 THEN round(words::DOUBL
 
 
 def passage_density() -> str:
-    return f"""WITH {findings_ctes()},
+    return f"""WITH {findings_ctes(measured=False)},
 pos AS (SELECT f.doc_id, rule_id, start_pos, CAST(len(regexp_extract_all(substr(s.text, 1, start_pos), {q(r'[^\s]+')})) AS BIGINT) AS word FROM findings f JOIN seeded s USING (doc_id)),
 counted AS (SELECT a.doc_id, a.rule_id, a.start_pos, a.word, count(DISTINCT b.rule_id) AS rules FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND b.word BETWEEN a.word AND a.word + 99 GROUP BY ALL)
 SELECT doc_id, count(*) AS places, max(rules) AS most_rules, min(word) AS first_word FROM counted WHERE rules >= 3 GROUP BY doc_id"""

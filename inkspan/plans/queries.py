@@ -45,6 +45,7 @@ OPERATORS: dict[str, tuple[Query, str | None]] = {
     "lexical_findings": (lambda spark, sf_dir: detect.lexical_findings(seeded(spark, sf_dir)), oracle.lexical_findings()),
     "lexical_findings_technical": (lambda spark, sf_dir: detect.lexical_findings(seeded(spark, sf_dir), "technical"), oracle.lexical_findings("technical")),
     "pattern_findings": (lambda spark, sf_dir: detect.pattern_findings(seeded(spark, sf_dir)), oracle.pattern_findings()),
+    "measured_findings": (lambda spark, sf_dir: detect.measured_findings(seeded(spark, sf_dir)), oracle.measured_findings()),
     "grouped_findings": (_grouped, oracle.grouped_findings()),
     "risk_score": (_scores, oracle.risk_score()),
     "band_counts": (_bands, oracle.band_counts()),
