@@ -143,9 +143,8 @@ def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("
     prepared = prepared.withColumn("_held", F.expr(f"array_intersect(split(_lower, '[^a-z0-9_]+'), {listed(waited)})" if waited else "array('')"))
     none = "CAST(NULL AS ARRAY<STRUCT<`start`: INT, `end`: INT>>)"
     if measures:
-        prepared = prepared.withColumn("_sections", M.sections(F.col("_folded")))
-        columns = {"text": F.col("text"), "folded": F.col("_folded"), "code_quotes": subject["code_quotes"], "sections": F.col("_sections")}
-        prepared = prepared.withColumn("_measured", F.array(*[F.struct(F.lit(len(wanted) + i).alias("rule"), m.find(columns).cast(M.PLACE).alias("at")) for i, m in enumerate(measures)]))
+        cut_up, found = M.united(measures, len(wanted))
+        prepared = prepared.withColumn("_sections", cut_up).withColumn("_measured", found)
     cut = []
     for i, d in enumerate(wanted):
         likely = " OR ".join([f"arrays_overlap(_held, {listed(d.words)})"] * bool(d.words) + [f"contains(_lower, {T.literal(n)})" for n in d.needles]) or "true"

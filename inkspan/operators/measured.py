@@ -9,8 +9,10 @@ of their section, so the work for a text grows with the square of its paragraphs
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 from typing import NamedTuple
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ class Measure(NamedTuple):
     key: str
     signal: str
     evidence: str
-    find: Callable[[dict[str, Column]], Column]  # of the columns text, folded, code, code_quotes and sections
+    find: Callable[[dict[str, Column]], Column]  # of the columns text, folded, code_quotes and sections
 
 
 def trimmed(text: Column) -> Column:
@@ -223,3 +225,16 @@ MEASURES = [
     Measure("treadmill_prose", "advisory", "span", _treadmill),
     Measure("paragraph_reshuffle", "advisory", "span", _reshuffle),
 ]
+
+
+@cache
+def _united(gateway: object, measures: tuple[Measure, ...], first: int) -> tuple[Column, Column]:
+    columns = {"text": F.col("text"), "folded": F.col("_folded"), "code_quotes": F.col("_code_quotes"), "sections": F.col("_sections")}
+    found = [F.struct(F.lit(first + i).alias("rule"), m.find(columns).cast(PLACE).alias("at")) for i, m in enumerate(measures)]
+    return sections(F.col("_folded")), F.array(*found)
+
+
+def united(measures: tuple[Measure, ...], first: int) -> tuple[Column, Column]:
+    """Sections of the column ``_folded``, and the array of (rule, at) made from them as ``_sections``, from ``text``, ``_folded``
+    and ``_code_quotes``; rules are numbered from ``first``. The expressions take seconds to make, so they are made once."""
+    return _united(SparkContext._gateway, measures, first)
