@@ -143,7 +143,7 @@ def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("
     prepared = prepared.withColumn("_held", F.expr(f"array_intersect(split(_lower, '[^a-z0-9_]+'), {listed(waited)})" if waited else "array('')"))
     none = "CAST(NULL AS ARRAY<STRUCT<`start`: INT, `end`: INT>>)"
     if measures:
-        cut_up, found = M.united(measures, len(wanted))
+        cut_up, found = M.united(measures)
         prepared = prepared.withColumn("_sections", cut_up).withColumn("_measured", found)
     cut = []
     for i, d in enumerate(wanted):
@@ -152,7 +152,7 @@ def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("
     united = f"array({', '.join(cut)})"
     if measures:
         empty = "CAST(NULL AS ARRAY<STRUCT<`h`: INT, `g`: INT>>)"
-        united = f"concat({united}, transform(_measured, m -> named_struct('rule', m.rule, 'lens', {empty}, 'at', m.at)))"
+        united = f"concat({united}, transform(_measured, m -> named_struct('rule', m.rule + {len(wanted)}, 'lens', {empty}, 'at', m.at)))"
     # An outer explode is not preceded by a filter that would work the matches out once more
     ruled = prepared.withColumn("_r", F.explode_outer(F.expr(f"filter({united}, r -> size(r.lens) > 1 OR size(r.at) > 0)")))
     spans = (ruled if outer else ruled.where("_r is not null")).withColumn("_s", F.explode_outer(F.coalesce(F.col("_r.at"), T.placed(F.col("_r.lens")))))

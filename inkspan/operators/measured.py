@@ -228,13 +228,13 @@ MEASURES = [
 
 
 @cache
-def _united(gateway: object, measures: tuple[Measure, ...], first: int) -> tuple[Column, Column]:
+def _united(gateway: object, measures: tuple[Measure, ...]) -> tuple[Column, Column]:
     columns = {"text": F.col("text"), "folded": F.col("_folded"), "code_quotes": F.col("_code_quotes"), "sections": F.col("_sections")}
-    found = [F.struct(F.lit(first + i).alias("rule"), m.find(columns).cast(PLACE).alias("at")) for i, m in enumerate(measures)]
+    found = [F.struct(F.lit(i).alias("rule"), m.find(columns).cast(PLACE).alias("at")) for i, m in enumerate(measures)]
     return sections(F.col("_folded")), F.array(*found)
 
 
-def united(measures: tuple[Measure, ...], first: int) -> tuple[Column, Column]:
+def united(measures: tuple[Measure, ...]) -> tuple[Column, Column]:
     """Sections of the column ``_folded``, and the array of (rule, at) made from them as ``_sections``, from ``text``, ``_folded``
-    and ``_code_quotes``; rules are numbered from ``first``. The expressions take seconds to make, so they are made once."""
-    return _united(SparkContext._gateway, measures, first)
+    and ``_code_quotes``. The expressions take seconds to make, so they are made once."""
+    return _united(SparkContext._gateway, measures)
