@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from . import divergence, mixing
 from .byte_bpe import op7_byte_bpe
 from .embeddings import op1_embedding_dedup
 from .fingerprint import op2_fingerprint
 from .html_text import op9_html_text
 from .packing import op3_packing
 from .quality import op8_quality
+from .runs import op11_periodic_runs
 from .sharding import op5_sharding
 from .simhash import op6_simhash
 from .toxicity import op4_toxicity
@@ -24,6 +26,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_html_text": op9_html_text,
     "op10_warc": op10_warc,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_mixing": mixing.op13_mixing,
 }
 
 ORACLE: dict[str, str] = {
@@ -61,4 +66,6 @@ ORACLE: dict[str, str] = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN kept IS DISTINCT FROM page_id THEN kept END AS refers_to
         FROM placed
     """,
+    "op12_divergence": divergence.ORACLE,
+    "op13_mixing": mixing.ORACLE,
 }
