@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,7 +46,8 @@ WALLS = frozenset({"td", "th", "caption", "table"})
 # A quote delimits a value only right after the equals sign; an attribute's name may hold quotes.
 _NAME, _VALUE = r"[^\s/>][^\s/>=]*+", r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)"""
 _ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE})?+)?+")
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE}?+)?+)*+)(>|\Z)", re.S)
+# A comment ends at --> or --!>; right after its start > and -> end it too.
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE}?+)?+)*+)(>|\Z)", re.S)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 
@@ -147,7 +149,9 @@ class Grid:
             widths += [0] * (len(row) - len(widths))
             for i, cell in enumerate(row):
                 widths[i] = max([widths[i], *(min(len(x), COLUMN_WIDTH) for x in cell)])
-        return [" | ".join((cell[k] if k < len(cell) else "").ljust(w) for cell, w in zip(row, widths, strict=False)).rstrip() for row in self.rows for k in range(max([1, *map(len, row)]))]
+        # Columns that no row fills are left out, so that a cell over very many columns costs no text
+        filled = [i for i, w in enumerate(widths) if w]
+        return [" | ".join((row[i][k] if k < len(row[i]) else "").ljust(widths[i]) for i in filled if i < len(row)).rstrip() for row in self.rows for k in range(max([1, *map(len, row)]))]
 
 
 class Page:
@@ -159,6 +163,10 @@ class Page:
         self.sheets, self.grids, self.counters = [Sheet()], [], []
         #: What the content of each open element is: "" for HTML, else "svg", "text" (of svg) or "math".
         self.kinds: list[str] = []
+        #: Where in ``open`` each name stands, and each element that ends a search: those of svg and math that hold HTML, and all of HTML.
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.holders: list[int] = []
+        self.plain: list[int] = []
         self.pre, self.headed = 0, False
 
     @property
@@ -180,18 +188,35 @@ class Page:
         wanted = style.get("visibility", "inherit")
         return shown, self.visible if wanted in ("inherit", "unset") else wanted not in ("hidden", "collapse")
 
+    def push(self, name: str, seen: bool, visible: bool, kind: str) -> None:
+        at = len(self.open)
+        self.open.append((name, seen, visible, self.sheets[-1].indent))
+        self.kinds.append(kind)
+        self.places[name].append(at)
+        if not kind and ":" in name:
+            self.holders.append(at)
+        if not foreign(name):
+            self.plain.append(at)
+
+    def last(self, tag: str) -> int:
+        """Where the last open element of a name stands, -1 without one."""
+        held = self.places.get(tag)
+        return held[-1] if held else -1
+
     def has(self, tag: str) -> bool:
-        return any(x[0] == tag for x in self.open)
+        return self.last(tag) >= 0
+
+    def close(self, at: int) -> None:
+        while len(self.open) > at:
+            self.end_last()
 
     def end_to(self, tags, walls) -> bool:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
-                while len(self.open) > i:
-                    self.end_last()
-                return True
-            if self.open[i][0] in walls or not self.kinds[i] and ":" in self.open[i][0]:
-                return False
-        return False
+        """Ends the last open element of some names, unless a wall stands above it; no walk over what is open."""
+        at = max(map(self.last, tags))
+        if at < 0 or at < max([*map(self.last, walls), *self.holders[-1:]], default=-1):
+            return False
+        self.close(at)
+        return True
 
     def end_head(self) -> None:
         """What is no part of a head ends the one that is open."""
@@ -218,8 +243,7 @@ class Page:
             name, kind = f"{root}:{tag}", ""
         else:
             name, kind = f"{root}:{tag}", "text" if root == "svg" and tag == "text" else self.kind
-        self.open.append((name, seen, visible, sheet.indent))
-        self.kinds.append(kind)
+        self.push(name, seen, visible, kind)
 
     def start(self, tag: str, attributes: str) -> None:
         if tag == "head" and self.headed:
@@ -238,10 +262,10 @@ class Page:
                 pass
         if tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") and not self.has("table"):
             return
-        if tag in ("td", "th") and not any(x[0] == "tr" for x in self.open[self.last("table") :]):
+        if tag in ("td", "th") and self.last("tr") < self.last("table"):
             self.start("tr", "")
         told = attributes_of(attributes) if attributes.strip(" /\n\t\r\f") else {}
-        seen, visible = self.looks(told, tag in UNSEEN)
+        seen, visible = self.looks(told, tag in UNSEEN or tag == "dialog" and "open" not in told)
         sheet = self.sheets[-1]
         if seen:
             if tag == "br":
@@ -254,13 +278,14 @@ class Page:
                 sheet.apart(2 if tag in APART and not (tag in ("ul", "ol") and self.counters) else 1)
         if tag in VOID:
             return
-        self.open.append((tag.replace(":", "-"), seen, visible, sheet.indent))
-        self.kinds.append("")
+        self.push(tag.replace(":", "-"), seen, visible, "")
         if tag in ("ul", "ol", "menu", "dir"):
             start = told.get("start", "")
             self.counters.append((int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1) if tag == "ol" else None)
         elif tag == "li" and seen:
             number = self.counters[-1] if self.counters else None
+            if number is not None and re.fullmatch(r"-?[0-9]{1,9}", told.get("value", "")):
+                number = self.counters[-1] = int(told["value"])
             mark = "- " if number is None else f"{number}. "
             if number is not None:
                 self.counters[-1] += 1
@@ -279,12 +304,13 @@ class Page:
             # The most columns and rows of a cell; 0 rows are all that are left of the group
             self.grids[-1].start_cell(min(number_of(told.get("colspan")) or 1, 1000), min(number_of(told.get("rowspan"), 1) or 65534, 65534))
 
-    def last(self, tag: str) -> int:
-        return next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), 0)
-
     def end_last(self) -> None:
         tag, seen, _, indent = self.open.pop()
         self.kinds.pop()
+        self.places[tag].pop()
+        for held in (self.holders, self.plain):
+            if held and held[-1] == len(self.open):
+                held.pop()
         if tag in ("td", "th"):
             row, cell = self.grids[-1].rows[-1], self.sheets.pop().done()
             first = len(row) - 1
@@ -313,15 +339,11 @@ class Page:
 
     def end_foreign(self, tag: str) -> bool:
         """Ends the element of svg or math that is meant, if the innermost open element is of these."""
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if not foreign(name):
-                return False
-            if name.split(":", 1)[-1] == tag:
-                while len(self.open) > i:
-                    self.end_last()
-                return True
-        return False
+        at = max(self.last(f"svg:{tag}"), self.last(f"math:{tag}"), self.last(tag) if tag in ("svg", "math") else -1)
+        if at < 0 or self.plain and self.plain[-1] > at:
+            return False
+        self.close(at)
+        return True
 
     def end(self, tag: str) -> None:
         if self.end_foreign(tag):
