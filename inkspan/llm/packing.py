@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,13 +30,17 @@ _SPACE = re.compile(r"[ \t\n\r]+")
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizers file that drops white space; a distinct word is encoded once and then looked up."""
+    """Ids of whole texts by a tokenizers file that drops white space; a distinct word is encoded once and then looked up.
+
+    A text that holds an added token of the file (a special token's string) goes to the tokenizer whole, which cuts it there.
+    """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that the tokenizer finds in a text before all else, such as special tokens.
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.model, self.as_bytes = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.limit = cache_words
         self.known: dict[str, bytes] = {}
@@ -58,6 +63,10 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = []
         for text in texts:
+            if any(a in text for a in self.added):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                out.append(np.array(ids, "<u4").tobytes())
+                continue
             units = self.units(text)
             fresh = set(units).difference(self.known)
             if len(self.known) + len(fresh) > self.limit:

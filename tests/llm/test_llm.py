@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 import public_tokenizers as vocabularies
+import tokenizers
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -77,6 +78,18 @@ def test_embedding_edges(spark):
     assert sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in got) == [(-1, 0, None, False), (4, 1, 4, True), (4, 1, 4, True)]
 
 
+def test_rows_of_one_id_on_different_vectors(spark):
+    """Each row is linked by its own vector, as the query's SQL tells."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (5, [1.0, 0.05]), (5, [-1.0, 0.0]), (0, [-1.0, 0.01])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    want = sorted(con.execute(queries.ORACLE["op1_embedding_dedup"]).fetchall())
+    assert sorted(tuple(r[c] for c in ("vec_id", "n_links", "component_id", "kept")) for r in embeddings.near_duplicates(df).collect()) == want
+    assert [r[1] for r in want if r[0] in (1, 3)] == [2, 2, 2, 2] and (0, 1, 0, True) in want
+
+
 def test_hashing_recall():
     """Of pairs at a cosine of just 0.95, at least 99 % share a bucket."""
     rng = np.random.default_rng(0)
@@ -132,7 +145,9 @@ def test_word_ids_are_the_tokenizers():
     rnd = random.Random(1)
     alphabet = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 　'sStTredDlLmv09²ⅧééßİΣςσA!?.,-_|漢🙂​"
     cases = ODD + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(2000)]
-    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(cases, add_special_tokens=False)]
+    cases += ["hello <|endoftext|> world", "<|endoftext|>", "A<|startoftext|>é<|endoftext|><|endoftext|>'s", "<|ENDOFTEXT|> <|endoftext", "w " * 60000 + "<|endoftext|>x", "é" * 120000]
+    own = tokenizers.Tokenizer.from_file(vocabularies.path("word_bpe_49k.json"))
+    want = [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch(cases, add_special_tokens=False)]
     assert encoder.encode(cases) == want
 
 
@@ -141,7 +156,7 @@ def test_packing(spark, texts):
     df = spark.createDataFrame(rows, DOCS).withColumn("length", F.lit(7)).withColumn("offset", F.lit(7))
     path = vocabularies.path("word_bpe_49k.json")
     got = packing.pack(df, path, seq_len=256).collect()
-    tokenizer, by_doc, by_sequence = packing.WordEncoder(path).tokenizer, {}, {}
+    tokenizer, by_doc, by_sequence = tokenizers.Tokenizer.from_file(path), {}, {}
     for r in got:
         by_doc.setdefault(r.doc_id, []).append(r)
         by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
