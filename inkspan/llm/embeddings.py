@@ -20,6 +20,8 @@ TABLES, ROUNDS, SEED = 12, 3, 11
 TILE = 512
 #: Rows that one call of Python compares, about; groups are dealt over as many lots.
 LOT_ROWS = 2048
+#: Parts that the name of a component is told in.
+SALTS = 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -166,7 +168,7 @@ def links_of(classes: DataFrame, threshold: float, tables: int, tile: int) -> Da
     keys = held.groupBy("rep").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     tiled = held.withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", "rep", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    placed = tiled.join(classes.join(keys, "rep"), "rep").select("key", "i", "j", "own", "rep", "mult", "keys", "embedding")
+    placed = tiled.join(classes.drop("least").join(keys, "rep"), "rep").select("key", "i", "j", "own", "rep", "mult", "keys", "embedding")
     replicas = held.agg(F.coalesce(F.sum(F.ceil(F.col("n") / tile)), F.lit(0))).first()[0]
     return compare_tiles(placed, threshold, max(1, int(replicas) // LOT_ROWS))
 
@@ -177,20 +179,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     Vectors are linked if their cosine, in double precision, is ``threshold`` or more; only verified pairs link. Vectors
     that are null, empty, zero or hold null or non-finite components link with nothing, and so do vectors of unequal length;
     a row without a vec_id links with nothing, its component is null and it is not kept. Equal vectors are one class,
-    whatever their number, and count as links of each other; repeated rows count each. An id that stands on different
-    vectors stands for all of them. No rows give no rows. Large buckets are compared tile by tile, with no cap.
+    whatever their number, and count as links of each other; repeated rows count each. Rows of one id on different vectors
+    are each linked by their own vector, and kept where that is the least id of its component. A vector has as many numbers
+    as it has, however many. No rows give no rows. Large buckets are compared tile by tile, with no cap.
     """
     small_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce(F.col("vec_id").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     valid = rows.where(good)
-    classes = cut(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")))
+    # A class has a number of its own, fixed by being written; its least id may stand on other vectors too
+    classes = cut(valid.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("mult")).withColumn("rep", F.monotonically_increasing_id()))
     found = cut(links_of(classes, threshold, tables, tile))
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    told = classes.join(counts, "rep", "left").join(roots, "rep", "left")
-    told = told.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    told = cut(classes.join(counts, "rep", "left").join(roots, "rep", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("mult") - 1))
+    # The least id of a component is told to its classes in SALTS parts, so that a large one is no single task's
+    dealt = told.where("component is not null").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    names = dealt.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    told = told.where("component is null").select("embedding", "n_links", F.col("least").alias("component_id")).unionAll(dealt.join(names, ["component", "salt"]).select("embedding", "n_links", "component_id"))
     linked = valid.join(told, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
