@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seeds import documents, seeded
 from ..operators import corpus, detect, integrity, linkage, pairs, preserve, review, score, stats, substance
-from . import oracle, oracle_linkage, oracle_more, oracle_preserve, oracle_stats, oracle_substance
+from . import edits, oracle, oracle_linkage, oracle_more, oracle_preserve, oracle_stats, oracle_substance
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,7 +76,7 @@ def _baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.compare_to_baseline(integrity.kind_counts(seeded(spark, sf_dir)), before, enabled)
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def seeded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeded(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.col("text").alias("source"), F.expr(pairs.CANDIDATE_SQL).alias("candidate"))
 
 
@@ -101,9 +101,9 @@ OPERATORS |= {
     "edit_defects": _over_seeded(integrity, "edit_defects"),
     "baseline_states": (_baseline, oracle_more.baseline()),
     "tracking_pages": (lambda spark, sf_dir: integrity.tracking_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")), oracle_more.tracking_pages()),
-    "literal_changes": (lambda spark, sf_dir: pairs.multiset_changes(_pairs(spark, sf_dir), pairs.LITERALS), oracle_more.literal_changes()),
-    "anchor_changes": (lambda spark, sf_dir: pairs.multiset_changes(_pairs(spark, sf_dir), pairs.ANCHORS), oracle_more.anchor_changes()),
-    "marker_changes": (lambda spark, sf_dir: pairs.marker_changes(_pairs(spark, sf_dir)), oracle_more.marker_changes()),
+    "literal_changes": (lambda spark, sf_dir: pairs.multiset_changes(seeded_pairs(spark, sf_dir), pairs.LITERALS), oracle_more.literal_changes()),
+    "anchor_changes": (lambda spark, sf_dir: pairs.multiset_changes(seeded_pairs(spark, sf_dir), pairs.ANCHORS), oracle_more.anchor_changes()),
+    "marker_changes": (lambda spark, sf_dir: pairs.marker_changes(seeded_pairs(spark, sf_dir)), oracle_more.marker_changes()),
     "digests": _over_seeded(pairs, "digests"),
     "repairs": _over_seeded(pairs, "repairs"),
     "repaired": _over_seeded(pairs, "repaired"),
@@ -122,7 +122,7 @@ def _substance(name: str) -> tuple[Query, str]:
     return (lambda spark, sf_dir: getattr(substance, name)(seeded(spark, sf_dir))), getattr(oracle_substance, name)()
 
 
-OPERATORS |= {name: _substance(name) for name in ("dimensions", "venue_features", "paragraph_order", "tricolons", "colon_reveals")} | {"gate": (lambda spark, sf_dir: substance.gate(_pairs(spark, sf_dir)), oracle_substance.gate())}
+OPERATORS |= {name: _substance(name) for name in ("dimensions", "venue_features", "paragraph_order", "tricolons", "colon_reveals")} | {"gate": (lambda spark, sf_dir: substance.gate(seeded_pairs(spark, sf_dir)), oracle_substance.gate())}
 
 
 def _linkage(name: str) -> tuple[Query, str]:
@@ -137,3 +137,5 @@ def _preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS |= {"preservation": (_preserved, oracle_preserve.preservation())}
+
+OPERATORS |= edits.OPERATORS
