@@ -113,6 +113,22 @@ def spans_sql(text: str, pattern: str) -> str:
     return _SPANS % f"regexp_replace({text}, {literal(pattern)}, '{OPEN}$0{CLOSE}')"
 
 
+#: Characters of a part of a text that values are cut from.
+PART = 1024
+
+
+def parts(text: Column) -> Column:
+    """A text in parts of PART characters, so that a value is cut without counting from the text's start."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PART).cast("int")), lambda i: F.substring(text, i * PART + 1, F.lit(PART)))
+
+
+def taken(held: Column, start: Column, n: Column) -> Column:
+    """``n`` characters from ``start`` on of a text that is held in ``parts``."""
+    first = F.floor(start / PART).cast("int")
+    last = F.floor((start + F.greatest(n, F.lit(1)) - 1) / PART).cast("int")
+    return F.substring(F.array_join(F.slice(held, first + 1, last - first + 1), ""), start - first * PART + 1, n)
+
+
 def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 

@@ -100,17 +100,17 @@ MASKS = {"": lambda t: t, "code": T.mask_code, "code_quotes": T.mask_code_and_qu
 PROFILE_ONLY = {"social_reach_promise": "social"}
 
 
-def excused(d: Detector, subject: Column, start: Column, end: Column) -> Column:
-    """Whether what stands around a match excuses it."""
+def excused(d: Detector, held: Column, start: Column, end: Column) -> Column:
+    """Whether what stands around a match excuses it; ``held`` is the text in parts."""
 
     def within(before: int, after: int) -> Column:
         first = F.greatest(F.lit(0), start - before)
-        return F.substring(subject, first + 1, end + after - first)
+        return T.taken(held, first, end + after - first)
 
     out = F.lit(False)
     if d.estimates:
         first = F.greatest(F.lit(0), start - ESTIMATE_BEFORE)
-        before, after = F.substring(subject, first + 1, start - first), F.substring(subject, end + 1, F.lit(ESTIMATE_AFTER))
+        before, after = T.taken(held, first, start - first), T.taken(held, end, F.lit(ESTIMATE_AFTER))
         words, then = (F.regexp_extract_all(x, F.lit(r"\S+"), F.lit(0)) for x in (before, after))
         tail = F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - WORDS_BEFORE + 1), F.lit(WORDS_BEFORE)), " ")
         head = F.array_join(F.slice(then, 1, WORDS_AFTER), " ")
@@ -130,13 +130,15 @@ def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("
     whole text.
 
     Texts are cut at the matches of each rule whose words or needles they hold, once, by patterns that are part of the plan; what
-    is exploded is a row for each rule found, then for each match.
+    is exploded is a row for each rule found, then its finished findings. Values are cut from parts of the text, so that many
+    matches of a long text take time in proportion to their number.
     """
     masks = sorted({d.mask for d in wanted} | ({"code_quotes"} if measures else set()))
     prepared = docs.select(*keep, *[F.col("text")] * ("text" not in keep), T.unmarked(T.folded(F.col("text")) if fold else F.col("text")).alias("_folded"))
     prepared = prepared.withColumns({f"_{m}": MASKS[m](F.col("_folded")) for m in masks if m} | {"_lower": F.lower("_folded")})
     names = {m: f"_{m}" if m else "_folded" for m in masks}
-    subject = {m: F.col(name) for m, name in names.items()}
+    around = sorted({names[d.mask] for d in wanted if any(d[6:])})
+    prepared = prepared.withColumns({"_parts": T.parts(F.col("text"))} | {f"_parts{name}": T.parts(F.col(name)) for name in around})
     listed = lambda values: "array(" + ", ".join(map(T.literal, values)) + ")"
     # Words are looked up once in a set of all that any rule waits for; what is left of them is a few
     waited = sorted({w for d in wanted for w in d.words})
@@ -155,25 +157,30 @@ def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("
         united = f"concat({united}, transform(_measured, m -> named_struct('rule', m.rule + {len(wanted)}, 'lens', {empty}, 'at', m.at)))"
     # An outer explode is not preceded by a filter that would work the matches out once more
     ruled = prepared.withColumn("_r", F.explode_outer(F.expr(f"filter({united}, r -> size(r.lens) > 1 OR size(r.at) > 0)")))
-    spans = (ruled if outer else ruled.where("_r is not null")).withColumn("_s", F.explode_outer(F.coalesce(F.col("_r.at"), T.placed(F.col("_r.lens")))))
-    start, end, rule = F.col("_s.start"), F.col("_s.end"), F.col("_r.rule")
-    excuse = F.lit(False)
-    for d in {(d.mask, *d[6:]): d for d in wanted if any(d[6:])}.values():
-        alike = [i for i, x in enumerate(wanted) if (x.mask, *x[6:]) == (d.mask, *d[6:])]
-        excuse = F.when(rule.isin(*alike), excused(d, subject[d.mask], start, end)).otherwise(excuse)
-    told = spans.withColumn("_gone", F.coalesce(excuse, F.lit(False)))
-    told = told if outer else told.where(~F.col("_gone"))
-    of = lambda values: F.get(F.array(*map(F.lit, values)), rule)
+    rule, of = F.col("_r.rule"), lambda values: F.get(F.array(*map(F.lit, values)), rule)
     evidence = of(["span"] * len(wanted) + [m.evidence for m in measures])
+
+    def told(s: Column) -> Column:
+        """A finding with its value; null if what stands around it excuses it."""
+        start, end, excuse = s["start"], s["end"], F.lit(False)
+        for d in {(d.mask, *d[6:]): d for d in wanted if any(d[6:])}.values():
+            alike = [i for i, x in enumerate(wanted) if (x.mask, *x[6:]) == (d.mask, *d[6:])]
+            excuse = F.when(rule.isin(*alike), excused(d, F.col(f"_parts{names[d.mask]}"), start, end)).otherwise(excuse)
+        value = F.when(evidence == "span", T.taken(F.col("_parts"), start, end - start))
+        return F.when(~F.coalesce(excuse, F.lit(False)), F.struct(start.cast("long").alias("start_pos"), end.cast("long").alias("end_pos"), value.alias("value")))
+
+    # Findings are finished inside the row of their rule: what is exploded holds no text
+    found = F.filter(F.transform(F.coalesce(F.col("_r.at"), T.placed(F.col("_r.lens"))), told), lambda f: f.isNotNull())
+    rows = (ruled if outer else ruled.where("_r is not null")).select(*keep, rule.alias("_rule"), found.alias("_found"))
+    rule = F.col("_rule")
+    spans = rows.select(*keep, "_rule", (F.explode_outer if outer else F.explode)("_found").alias("_f"))
     finding = {
         "rule_id": of([RULE_OF.get(d.key, d.key) for d in (*wanted, *measures)]),
         "signal": of([d.signal for d in (*wanted, *measures)]),
-        "evidence": evidence,
-        "start_pos": start.cast("long"),
-        "end_pos": end.cast("long"),
-        "value": F.when(evidence == "span", F.substring("text", start + 1, end - start)),
+        "evidence": of(["span"] * len(wanted) + [m.evidence for m in measures]),
     }
-    return told.select(*keep, *[(F.when(~F.col("_gone"), c) if outer else c).alias(name) for name, c in finding.items()])
+    held = F.col("_f").isNotNull()
+    return spans.select(*keep, *[(F.when(held, c) if outer else c).alias(name) for name, c in finding.items()], "_f.start_pos", "_f.end_pos", "_f.value")
 
 
 def lexical(profile: str = "general") -> list[Detector]:

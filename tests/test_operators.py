@@ -104,3 +104,15 @@ def test_convergence_by_brute_force(spark):
 def test_routing(spark):
     turns = spark.createDataFrame([(1, 0, "user", "scan my draft"), (1, 1, "user", "write a python script"), (1, 2, "user", "fix and clean a.md, rewrite"), (2, 0, "user", None)], "conv_id long, turn long, role string, text string")
     assert [r.mode for r in review.routed(turns).orderBy("conv_id", "turn").collect()] == ["detect", "none", "edit", "none"]
+
+
+def test_many_matches_of_one_text(spark):
+    """80,000 matches in one text of half a million characters: each with its place and value, in time that grows with the matches."""
+    import time
+
+    docs = spark.createDataFrame([(1, "hello! " * 80_000 + "é now!")], "doc_id long, text string")
+    found = detect.pattern_findings(docs, ["fmt_exclamation"])
+    found.limit(1).collect()
+    began = time.time()
+    told = found.selectExpr("count(*) AS n", "max(end_pos) AS last", "count_if(value = '!') AS right", "count_if(start_pos % 7 = 5) AS placed").collect()[0]
+    assert tuple(told) == (80_001, 560_006, 80_001, 80_001) and time.time() - began < 30
