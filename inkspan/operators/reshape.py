@@ -129,12 +129,11 @@ def mended(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def _written(rows: DataFrame) -> DataFrame:
-    """``rows`` from the folder that the session names in spark.checkpoint.dir."""
-    context, folder = rows.sparkSession.sparkContext, rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not folder:
-            raise ValueError("spark.checkpoint.dir names no folder")
-        context.setCheckpointDir(folder)
+    """``rows`` from the folder that the session names in spark.checkpoint.dir; where none is named, one in the warehouse."""
+    session = rows.sparkSession
+    if not session.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        folder = session.conf.get("spark.checkpoint.dir", None) or f"{session.conf.get('spark.sql.warehouse.dir').rstrip('/')}/inkspan-scratch"
+        session.sparkContext.setCheckpointDir(folder)
     return rows.checkpoint()
 
 
