@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_json, record_digest
 from ..functions.seeds import seeded
 from ..operators import calibration, fidelity, reshape, score
 from . import oracle
@@ -120,6 +121,17 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fidelity.gate(seeded_pairs(spark, sf_dir), zones, allowed, ("vault",))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each document's record, with a list of its first words nested in it."""
+    text = F.coalesce("text", F.lit(""))
+    record = F.struct(F.col("source"), F.col("doc_id"), F.struct(F.length(text).alias("chars"), F.slice(F.split(text, " ", -1), 1, 5).alias("begins")).alias("body"), F.col("lang"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", record.alias("record"))
+    return rows.select("doc_id", F.length(canonical_json(rows, "record", True)).cast("long").alias("n_chars"), record_digest(rows, "record", "document-1").alias("digest"))
+
+
+_JSON = """'{"body":{"begins":' || to_json(string_split(regexp_replace(coalesce(text, ''), '\\r\\n|\\r', chr(10), 'g'), ' ')[1:5]) || ',"chars":' || length(coalesce(text, '')) || '},"doc_id":' || doc_id || ',"lang":' || coalesce(to_json(lang), 'null') || ',"source":' || coalesce(to_json(source), 'null') || '}'"""
+
+
 def _of_pairs(operator):
     from .queries import seeded_pairs
 
@@ -141,4 +153,5 @@ OPERATORS = {
     "carried_offsets": (_carried, f"{_FOUND} SELECT c.doc_id, c.start_pos AS pos, CAST(c.start_pos + coalesce(sum(3 - (g.end_pos - g.start_pos)), 0) AS BIGINT) AS candidate_pos FROM grid c LEFT JOIN grouped g ON g.doc_id = c.doc_id AND g.is_primary AND g.end_pos <= c.start_pos GROUP BY c.doc_id, c.start_pos"),
     "mended": (_mended, None),
     "delivery": (_delivered, _DELIVERY),
+    "record_digests": (_records, f"""SELECT doc_id, CAST(length({_JSON}) AS BIGINT) AS n_chars, sha256('{{"record":' || {_JSON} || ',"schema":"document-1"}}') AS digest FROM documents"""),
 }
