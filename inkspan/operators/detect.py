@@ -56,11 +56,14 @@ class Detector(NamedTuple):
     around: int = 0
     actors: bool = False  # nor if an actor is named there
     estimates: bool = False  # nor if the words next to it mark an estimate
+    restated: bool = False  # nor unless the line after it says half of its words again
 
 
 #: Characters and words before and after a figure in which an estimate is looked for.
 ESTIMATE_BEFORE, ESTIMATE_AFTER, WORDS_BEFORE, WORDS_AFTER = 40, 16, 4, 3
 OR_SO = r"(?i)^(?:or so|give or take)\b"
+#: Characters after a heading that are looked at, those of its first line that count, and the least letters of a word said again.
+RESTATED_WITHIN, RESTATED_LINE, RESTATED_WORD = 200, 140, 4
 
 
 def _signal(name: str) -> Detector:
@@ -100,6 +103,18 @@ MASKS = {"": lambda t: t, "code": T.mask_code, "code_quotes": T.mask_code_and_qu
 PROFILE_ONLY = {"social_reach_promise": "social"}
 
 
+def restates(heading: Column, after: Column) -> Column:
+    """Whether half of a heading's words or more, of four letters at least, begin a word of the line after it or begin with one."""
+    words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(T.WORD), F.lit(0)))
+    line = F.substring(F.substring_index(F.regexp_replace(after, r"^\n+", ""), "\n\n", 1), 1, RESTATED_LINE)
+
+    def told(said: Column, again: Column) -> Column:
+        shared = F.size(F.filter(said, lambda w: (F.length(w) >= RESTATED_WORD) & F.exists(again, lambda c: F.startswith(c, w) | F.startswith(w, c))))
+        return (shared > 0) & (2 * shared >= F.size(said))
+
+    return T.let(F.struct(words(F.regexp_replace(heading, r"^#{1,6}\s*", "")).alias("said"), words(line).alias("again")), lambda x: told(x["said"], x["again"]))
+
+
 def excused(d: Detector, held: Column, start: Column, end: Column) -> Column:
     """Whether what stands around a match excuses it; ``held`` is the text in parts."""
 
@@ -120,6 +135,8 @@ def excused(d: Detector, held: Column, start: Column, end: Column) -> Column:
     if d.actors:
         runs = F.regexp_extract_all(within(d.around, d.around), F.lit(NAMED_ACTOR), F.lit(1))
         out = out | F.exists(F.split(F.array_join(runs, " "), r"\s+"), lambda w: (w != "") & ~w.isin(*ACTOR_STOP))
+    if d.restated:
+        out = out | ~restates(T.taken(held, start, end - start), T.taken(held, end, F.lit(RESTATED_WITHIN)))
     return out
 
 
@@ -165,7 +182,7 @@ def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("
         start, end, excuse = s["start"], s["end"], F.lit(False)
         for d in {(d.mask, *d[6:]): d for d in wanted if any(d[6:])}.values():
             alike = [i for i, x in enumerate(wanted) if (x.mask, *x[6:]) == (d.mask, *d[6:])]
-            excuse = F.when(rule.isin(*alike), excused(d, F.col(f"_parts{names[d.mask]}"), start, end)).otherwise(excuse)
+            excuse = F.when(rule.isin(*alike), excused(d, F.col("_parts" if d.restated else f"_parts{names[d.mask]}"), start, end)).otherwise(excuse)
         value = F.when(evidence == "span", T.taken(F.col("_parts"), start, end - start))
         return F.when(~F.coalesce(excuse, F.lit(False)), F.struct(start.cast("long").alias("start_pos"), end.cast("long").alias("end_pos"), value.alias("value")))
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.seeds import documents, seeded
-from ..operators import corpus, detect, integrity, linkage, pairs, preserve, review, score, stats, substance
-from . import edits, oracle, oracle_linkage, oracle_more, oracle_preserve, oracle_stats, oracle_substance
+from ..functions.seeds import documents, seeded, spread
+from ..operators import clarity, corpus, detect, integrity, linkage, pairs, preserve, review, score, stats, substance
+from . import edits, oracle, oracle_clarity, oracle_linkage, oracle_more, oracle_preserve, oracle_stats, oracle_substance
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -138,4 +138,16 @@ def _preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS |= {"preservation": (_preserved, oracle_preserve.preservation())}
 
+
+
+def _clarity(name: str) -> tuple[Query, str]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = spread(documents(spark, sf_dir).select("doc_id", "text"))
+        return getattr(clarity, name)(docs.select("doc_id", F.expr(oracle_clarity.TEXT).alias("text"), F.expr(oracle_clarity.MEDIUM).alias("medium")))
+
+    return query, getattr(oracle_clarity, name)()
+
+
+OPERATORS |= {name: _clarity(name) for name in ("clarity_findings", "clarity_decisions")}
+
 OPERATORS |= edits.OPERATORS
