@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seeds import documents, seeded, spread
 from ..operators import clarity, corpus, detect, integrity, linkage, pairs, preserve, review, score, stats, substance
-from . import edits, oracle, oracle_clarity, oracle_linkage, oracle_more, oracle_preserve, oracle_stats, oracle_substance
+from . import edits, evidence, oracle, oracle_clarity, oracle_linkage, oracle_more, oracle_preserve, oracle_stats, oracle_substance
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,4 +150,4 @@ def _clarity(name: str) -> tuple[Query, str]:
 
 OPERATORS |= {name: _clarity(name) for name in ("clarity_findings", "clarity_decisions")}
 
-OPERATORS |= edits.OPERATORS
+OPERATORS |= edits.OPERATORS | evidence.OPERATORS
