@@ -301,6 +301,15 @@ def waits_for(rule: Rule) -> list[str]:
     return [max(words_in(part.split("[X]")[0]), key=len) for part in rule.text.split(" / ")]
 
 
+def phrases(rule: Rule) -> list[str]:
+    """Lower-case strings of which a text must hold one to match a rule of phrases; none for rules of single words.
+
+    A phrase is matched sign by sign, so its longest word alone, which may be as common as ``that``, need not send a text to the
+    expression."""
+    single = rule.category == "vocabulary" and "/" not in rule.text
+    return [] if single else [p.split("[X]")[0].strip().lower() for p in rule.text.split(" / ")]
+
+
 def needles(rule: Rule) -> list[str]:
     """Lower-case strings of which a text must hold one to match the rule, for engines without word sets."""
     if rule.category == "vocabulary" and rule.text.isalpha():

@@ -129,6 +129,21 @@ def taken(held: Column, start: Column, n: Column) -> Column:
     return F.substring(F.array_join(F.slice(held, first + 1, last - first + 1), ""), start - first * PART + 1, n)
 
 
+def any_word(words: list[str]) -> str:
+    """A pattern of whole lower-case words (letters, digits, underscores). They branch letter by letter, so that a place where none
+    begins is left at once, however many there are."""
+
+    def branches(rest: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for w in rest:
+            heads.setdefault(w[0], []).append(w[1:])
+        told = [head + (branches([t for t in tails if t]) + "?" * ("" in tails) if any(tails) else "") for head, tails in heads.items()]
+        return "(?:" + "|".join(told) + ")"
+
+    heads = "".join(sorted({w[0] for w in words}))
+    return f"(?=[{heads}])(?<![a-z0-9_]){branches(sorted(set(words)))}(?![a-z0-9_])"
+
+
 def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 

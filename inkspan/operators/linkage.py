@@ -55,7 +55,8 @@ def restating(text: Column) -> Column:
         return F.struct(p["words"].alias("words"), found.alias("found"))
 
     start = F.struct(F.array().cast("array<string>").alias("words"), none.alias("found"))
-    return F.aggregate(prose(text, TREADMILL_WORDS), start, step, lambda acc: acc["found"])
+    # A text without a break is one paragraph, of which no words are looked for
+    return F.when(F.contains(text, F.lit("\n\n")), F.aggregate(prose(text, TREADMILL_WORDS), start, step, lambda acc: acc["found"])).when(text.isNotNull(), none)
 
 
 def treadmill_prose(docs: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def untied(text: Column) -> Column:
         return F.struct(acc["start"].alias("before"), p["start"].alias("start"), p["end"].alias("end"), p["words"].alias("words"), run.alias("run"), F.coalesce(acc["found"], hit).alias("found"))
 
     start = F.struct(F.lit(0).alias("before"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.array().cast("array<string>").alias("words"), F.lit(0).alias("run"), none.alias("found"))
-    return F.aggregate(prose(text, ISLAND_WORDS), start, step, lambda acc: acc["found"])
+    return F.when(F.contains(text, F.lit("\n\n")), F.aggregate(prose(text, ISLAND_WORDS), start, step, lambda acc: acc["found"]))
 
 
 def paragraph_reshuffle(docs: DataFrame) -> DataFrame:

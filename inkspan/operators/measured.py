@@ -45,26 +45,37 @@ def cut_at(text: Column, pattern: str) -> Column:
     """Array of (start, end, body) of what stands between a pattern's matches, empty pieces left out."""
     starts = F.concat(F.array(F.lit(0)), F.transform(T.spans(text, pattern), lambda g: g["end"]))
     pieces = F.zip_with(F.split(text, pattern, -1), starts, lambda p, s: F.struct(s.alias("start"), (s + F.length(p)).alias("end"), p.alias("body")))
-    return F.filter(pieces, lambda p: p["body"] != "")
+    # A text that is not cut, as most are, is looked through once
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("body")))
+    return F.filter(F.when(F.regexp_like(text, F.lit(pattern)), pieces).when(text.isNotNull(), whole), lambda p: p["body"] != "")
 
 
 def flat(body: Column) -> Column:
     """The prose lines of a section, joined by spaces."""
-    bare = F.regexp_replace(F.regexp_replace(body, L.FENCE, " "), L.COMMENT, " ")
+    unfenced = F.when(F.contains(body, F.lit("```")), F.regexp_replace(body, L.FENCE, " ")).otherwise(body)
+    bare = F.when(F.contains(body, F.lit("<!--")), F.regexp_replace(unfenced, L.COMMENT, " ")).otherwise(unfenced)
     lines = F.filter(F.transform(F.split(bare, "\n", -1), trimmed), lambda x: (x != "") & ~F.regexp_like(x, F.lit(L.NO_PROSE_START)))
     return F.array_join(lines, " ")
 
 
 def sections(folded: Column) -> Column:
-    """Array of (start, end, body, flat, sentences, paragraphs); paragraphs are (start, end, t, n) of prose, from the text's start."""
+    """Array of (start, end, body, flat, sentences, paragraphs); paragraphs are (start, end, t, n) of prose, from the text's start.
+
+    Sentences are (s, n). The words n of sentences and paragraphs are counted where there are as many as some detector asks for,
+    else null.
+    """
 
     def paragraph(section: Column) -> Column:
         placed = F.transform(cut_at(section["body"], T.PARAGRAPH_END), lambda p: F.struct((section["start"] + p["start"]).alias("start"), (section["start"] + p["end"]).alias("end"), trimmed(p["body"]).alias("t")))
         prose = F.filter(placed, lambda p: (p["t"] != "") & ~F.regexp_like(p["t"], F.lit(L.NO_PROSE_START)))
-        return F.transform(prose, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["t"].alias("t"), words(p["t"]).alias("n")))
+        return T.let(prose, lambda all_: F.transform(all_, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["t"].alias("t"), F.when(F.size(all_) >= 2, words(p["t"])).alias("n"))))
 
     made = F.transform(cut_at(folded, L.HEADING), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), flat(s["body"]).alias("flat"), paragraph(s).alias("paragraphs")))
-    told = lambda s: F.filter(F.split(s["flat"], T.SENTENCE_END, -1), lambda x: x != "")
+
+    def told(s: Column) -> Column:
+        counted = lambda all_: F.transform(all_, lambda x: F.struct(x.alias("s"), F.when(F.size(all_) >= min(L.SENTENCE_MIN, L.PASSIVE_SENTENCES), words(x)).alias("n")))
+        return T.let(F.filter(F.split(s["flat"], T.SENTENCE_END, -1), lambda x: x != ""), counted)
+
     return F.transform(made, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["flat"].alias("flat"), told(s).alias("sentences"), s["paragraphs"].alias("paragraphs")))
 
 
@@ -89,7 +100,7 @@ def _even(lengths: Column, least: int, mean: float, limit: float) -> Column:
 
 
 def _even_sentences(s: Column) -> Column:
-    return _even(F.filter(F.transform(s["sentences"], words), lambda n: n >= L.SENTENCE_MIN_WORDS), L.SENTENCE_MIN, L.MEAN_MIN, L.SENTENCE_CV)
+    return _even(F.filter(F.transform(s["sentences"], lambda x: x["n"]), lambda n: n >= L.SENTENCE_MIN_WORDS), L.SENTENCE_MIN, L.MEAN_MIN, L.SENTENCE_CV)
 
 
 def _even_paragraphs(s: Column) -> Column:
@@ -97,7 +108,7 @@ def _even_paragraphs(s: Column) -> Column:
 
 
 def _openers(s: Column) -> Column:
-    first = F.transform(s["sentences"], lambda x: F.regexp_extract(F.lower(F.regexp_extract(x, T.WORD, 0)), "[a-z].*", 0))
+    first = F.transform(s["sentences"], lambda x: F.regexp_extract(F.lower(F.regexp_extract(x["s"], T.WORD, 0)), "[a-z].*", 0))
 
     def judged(f: Column) -> Column:
         start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("most"))
@@ -109,7 +120,7 @@ def _openers(s: Column) -> Column:
         most = F.aggregate(F.array_sort(f), start, step, lambda acc: acc["most"])
         return (F.size(f) >= L.OPENER_SENTENCES) & (most >= L.OPENER_COUNT) & (most > F.size(f) * F.lit(L.OPENER_SHARE))
 
-    return T.let(F.filter(first, lambda w: F.length(w) >= 2), judged)
+    return (F.size(s["sentences"]) >= L.OPENER_SENTENCES) & T.let(F.filter(first, lambda w: F.length(w) >= 2), judged)
 
 
 def _transitions(s: Column) -> Column:
@@ -117,20 +128,21 @@ def _transitions(s: Column) -> Column:
         held = F.lit(False)
         for term in L.TRANSITIONS:
             held = held | (F.contains(lower, F.lit(term)) & (T.count_of(lower, rf"\b{term}\b") >= L.TRANSITION_COUNT))
-        return held
+        return F.regexp_like(lower, F.lit(T.any_word(list(L.TRANSITIONS)))) & held
 
     return T.let(F.lower(s["flat"]), judged)
 
 
 def _passive(s: Column) -> Column:
     stop = F.array(*map(F.lit, L.ADJECTIVES))
-    passive = lambda x: F.exists(F.regexp_extract_all(x, F.lit(L.PASSIVE), F.lit(1)), lambda w: ~F.array_contains(stop, F.lower(w)))
+    passive = lambda x: F.exists(F.regexp_extract_all(x["s"], F.lit(L.PASSIVE), F.lit(1)), lambda w: ~F.array_contains(stop, F.lower(w)))
 
     def judged(told: Column) -> Column:
-        n = F.size(F.filter(told, passive))
-        return (F.size(told) >= L.PASSIVE_SENTENCES) & (n >= L.PASSIVE_COUNT) & (n > F.size(told) * F.lit(L.PASSIVE_SHARE))
+        # No match reaches over the end of a sentence, so a section holds at least as many as its sentences
+        likely = (F.size(told) >= L.PASSIVE_SENTENCES) & (T.count_of(s["flat"], L.PASSIVE) >= L.PASSIVE_COUNT)
+        return likely & T.let(F.size(F.filter(told, passive)), lambda n: (n >= L.PASSIVE_COUNT) & (n > F.size(told) * F.lit(L.PASSIVE_SHARE)))
 
-    return T.let(F.filter(s["sentences"], lambda x: words(x) >= L.SENTENCE_MIN_WORDS), judged)
+    return T.let(F.filter(s["sentences"], lambda x: x["n"] >= L.SENTENCE_MIN_WORDS), judged)
 
 
 def _repeating(alike: Callable[[Column, Column], Column]) -> Callable[[dict[str, Column]], Column]:
@@ -138,7 +150,8 @@ def _repeating(alike: Callable[[Column, Column], Column]) -> Callable[[dict[str,
     that is accused accuses none."""
 
     def section(s: Column) -> Column:
-        told = F.transform(F.filter(s["paragraphs"], lambda p: p["n"] >= L.SIMILAR_WORDS), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), T.word_set(p["t"]).alias("w"), F.regexp_replace(F.lower(p["t"]), r"[^a-z0-9\s]", "").alias("plain")))
+        long = F.filter(s["paragraphs"], lambda p: p["n"] >= L.SIMILAR_WORDS)
+        told = lambda ps: F.transform(ps, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), T.word_set(p["t"]).alias("w"), F.regexp_replace(F.lower(p["t"]), r"[^a-z0-9\s]", "").alias("plain")))
 
         def accused(p: Column) -> Column:
             def step(flagged, i):
@@ -149,7 +162,8 @@ def _repeating(alike: Callable[[Column, Column], Column]) -> Callable[[dict[str,
             found = F.aggregate(F.sequence(F.lit(0), F.size(p) - 2), none, step)
             return F.transform(F.when(F.size(p) >= 2, found).otherwise(none), lambda j: F.get(p, j))
 
-        return _places(T.let(told, accused))
+        none = F.array().cast(PLACE)
+        return T.let(long, lambda ps: F.when(F.size(ps) >= 2, _places(T.let(told(ps), accused))).otherwise(none))
 
     # Spans of one detector are told in the order of the text
     return lambda c: F.array_sort(F.flatten(F.transform(c["sections"], section)))
