@@ -81,12 +81,20 @@ def pooled_rates(labelled: DataFrame) -> DataFrame:
 def agreement(labelled: DataFrame) -> DataFrame:
     """Mean absolute error and Spearman's rank correlation of ``score`` and ``target``.
 
-    Ranks come from counts of distinct values, of which a score has at most 101, so no window sees all rows.
+    Rows are counted once, by score and target, and all else comes from these counts: a score has at most 101 values and a
+    target few, so no window sees all rows and ``labelled`` is worked out once. Rows without a score or target rank among the
+    others and are left out then.
     """
-    ranks = {}
+    cells = labelled.groupBy("score", "target").agg(F.count(F.lit(1)).alias("n"))
     for name in ("score", "target"):
-        counts = labelled.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-        below = F.coalesce(F.sum("n").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks[name] = counts.select(name, (below + (F.col("n") + 1) / 2).alias(f"{name}_rank"))
-    ranked = labelled.join(F.broadcast(ranks["score"]), "score").join(F.broadcast(ranks["target"]), "target")
-    return ranked.agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg(F.abs(F.col("score") - F.col("target"))), 4).alias("mean_absolute_error"), F.round(F.corr("score_rank", "target_rank"), 4).alias("spearman"))
+        # Doubled ranks are whole: twice what is below, and one more than the rows of equal value
+        upto = F.sum("n").over(Window.orderBy(name).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        cells = cells.withColumn(f"{name}_rank", 2 * upto - F.sum("n").over(Window.partitionBy(name)) + 1)
+    n, x, y = F.col("n").cast("decimal(38,0)"), F.col("score_rank").cast("decimal(20,0)"), F.col("target_rank").cast("decimal(20,0)")
+    kept = cells.where("score is not null and target is not null")
+    sums = {"documents": F.col("n"), "errors": F.col("n") * F.abs(F.col("score") - F.col("target")), "x": n * x, "y": n * y, "xx": n * x * x, "yy": n * y * y, "xy": n * x * y}
+    told = kept.agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    spread = lambda a, b, ab: F.col(ab).cast("double") - F.col(a).cast("double") * F.col(b).cast("double") / F.col("documents")
+    apart = F.sqrt(spread("x", "x", "xx")) * F.sqrt(spread("y", "y", "yy"))
+    spearman = F.when(apart > 0, spread("x", "y", "xy") / apart)
+    return told.select(F.coalesce("documents", F.lit(0)).alias("documents"), F.round(F.col("errors") / F.col("documents"), 4).alias("mean_absolute_error"), F.round(spearman, 4).alias("spearman"))

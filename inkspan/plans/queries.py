@@ -92,7 +92,7 @@ def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of labelled documents: low quality is expected to score under 95."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    told = _scores(spark, sf_dir).select("doc_id", "score").join(documents(spark, sf_dir).select("doc_id", "lang", "source"), "doc_id").join(labels, "doc_id")
+    told = score.score_documents(seeded(spark, sf_dir).join(labels.select("doc_id"), "doc_id", "left_semi")).select("doc_id", "score").join(documents(spark, sf_dir).select("doc_id", "lang", "source"), "doc_id").join(labels, "doc_id")
     return told.select("lang", "source", "score", (F.col("quality") * 100).alias("target"), (F.col("quality") == 0).alias("expected"), (F.col("score") < 95).alias("flagged"))
 
 
