@@ -130,18 +130,19 @@ def taken(held: Column, start: Column, n: Column) -> Column:
 
 
 def any_word(words: list[str]) -> str:
-    """A pattern of whole lower-case words (letters, digits, underscores). They branch letter by letter, so that a place where none
-    begins is left at once, however many there are."""
+    """A pattern of whole lower-case words (letters, digits, underscores)."""
+    heads = "".join(sorted({w[0] for w in words}))
+    return f"(?=[{heads}])(?<![a-z0-9_]){branching(words)}(?![a-z0-9_])"
 
-    def branches(rest: list[str]) -> str:
-        heads: dict[str, list[str]] = {}
-        for w in rest:
-            heads.setdefault(w[0], []).append(w[1:])
-        told = [head + (branches([t for t in tails if t]) + "?" * ("" in tails) if any(tails) else "") for head, tails in heads.items()]
-        return "(?:" + "|".join(told) + ")"
 
-    heads = "".join(sorted({w[0] for w in words}))
-    return f"(?=[{heads}])(?<![a-z0-9_]){branches(sorted(set(words)))}(?![a-z0-9_])"
+def branching(words: list[str]) -> str:
+    """A pattern of words that branch letter by letter, so that a place where none begins is left at once, however many there
+    are. The longest that fits is found, so what comes after it in a pattern should tell where a word ends."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[0], []).append(w[1:])
+    told = [head + (branching([t for t in tails if t]) + "?" * ("" in tails) if any(tails) else "") for head, tails in heads.items()]
+    return "(?:" + "|".join(told) + ")"
 
 
 def count_of(text: Column, pattern: str) -> Column:

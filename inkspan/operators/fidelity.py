@@ -38,7 +38,7 @@ PROTECTED = {
     "path": rf"{_NO_PART}(?:{_PART}++/){{2,}}{_PART}*(?:/[^{_SPACE}<>\"']*)?|{_NO_PART}/(?:{_PART}++/)*{_PART}+|{_NO_PART}(?!(?:and|or|either)/)(?:{_PART}++/)+{_PART}+|\./{_REST}|~/{_REST}|{_B}[A-Za-z]:[\\/]{_REST}",
     "required_term": "",
     "date": rf"{_NO_ALNUM}{_D}{{4}}[-/]{_D}{{1,2}}[-/]{_D}{{1,2}}(?![A-Za-z0-9])|{_NO_ALNUM}{_D}{{1,2}}[-/]{_D}{{1,2}}[-/]{_D}{{2,4}}(?![A-Za-z0-9])|{_NO_ALNUM}(?:{MONTHS})[a-z]*[{_SPACE}]+{_D}{{1,2}}(?:st|nd|rd|th)?,?[{_SPACE}]+{_D}{{4}}(?![A-Za-z0-9])|{_NO_ALNUM}{_D}{{1,2}}(?:st|nd|rd|th)?[{_SPACE}]+(?:{MONTHS})[a-z]*[{_SPACE}]+{_D}{{4}}(?![A-Za-z0-9])",
-    "unit": r"(?i)(?<![A-Za-z])(?:" + "|".join(UNITS) + r")(?![A-Za-z])",
+    "unit": rf"(?i)(?<![A-Za-z]){T.branching(UNITS)}(?![A-Za-z])",
     "number": rf"(?<![A-Za-z0-9.]){_D}+(?:,{_D}{{3}})*(?:\.{_D}+)?%?",
     "operator": rf"<=|>=|!=|==|&&|\|\||[+*/]|(?<={_D})-(?={_D})",
 }
@@ -52,9 +52,10 @@ _WORDS = {
     "scope": ["up to", "at most", "no more than", "at least", "no less than", "approximately", "about", "roughly", "nearly", "more than", "less than", "over", "under", "within", "exactly"],
 }
 _NAMED, _SECOND = r"[A-Z][A-Za-z0-9']+", rf"(?:[{_SPACE}]+[A-Z][A-Za-z0-9']+)?"
-ANCHORS = {name: (f"{_B}(?:{'|'.join(words)}){_E}",) for name, words in _WORDS.items()} | {
-    "attribution": tuple(rf"{_B}{head}[{_SPACE}]+{_NAMED}{_SECOND}" for head in ("[Aa]ccording to", "reported by", "per")) + (rf"{_B}{_NAMED}[{_SPACE}]+(?:said|reported|stated|claimed|argued|wrote|noted|highlighted)",),
-    "name": (rf"{_B}[A-Z]{{2,}}(?:[0-9]+)?{_E}",),
+# A look at the first letter comes before what looks behind
+ANCHORS = {name: (f"(?=[{''.join(sorted({w[0] for w in words}))}]){_B}(?:{'|'.join(words)}){_E}",) for name, words in _WORDS.items()} | {
+    "attribution": tuple(rf"(?=[Aarp]){_B}{head}[{_SPACE}]+{_NAMED}{_SECOND}" for head in ("[Aa]ccording to", "reported by", "per")) + (rf"(?=[A-Z]){_B}{_NAMED}[{_SPACE}]+(?:said|reported|stated|claimed|argued|wrote|noted|highlighted)",),
+    "name": (rf"(?=[A-Z]){_B}[A-Z]{{2,}}(?:[0-9]+)?{_E}",),
 }
 #: Categories whose changes a person looks at; changes of others fail.
 REVIEWED = ("attribution", "name")
@@ -71,9 +72,24 @@ def canonical(category: str, value: str) -> str:
     return f"lower({value})" if category == "unit" else value
 
 
+#: What a text must hold, in the words of SQL, to be searched for spans of a category: one cheap look before its pattern.
+_DIGIT = "regexp_like(%s, '[0-9]|[^\\\\x00-\\\\x7F]')"
+LIKELY = {
+    "code_block": "contains(%s, '```') OR contains(%s, '~~~')",
+    "url": "contains(%s, '://') OR contains(%s, 'www.')",
+    "path": r"contains(%s, '/') OR contains(%s, ':\\')",
+    "date": _DIGIT,
+    "number": _DIGIT,
+}
+_NONE = "cast(array() as array<struct<start:int,end:int,value:string>>)"
+
+
 def _of(text: str, category: str, pattern: str) -> str:
     told = f"named_struct('category', '{category}', 'start', s.start, 'end', s.end, 'value', s.value, 'canonical', {canonical(category, 's.value')})"
-    return f"transform({T.spans_sql(text, pattern)}, s -> {told})"
+    spans = T.spans_sql(text, pattern)
+    if category in LIKELY:
+        spans = f"if({LIKELY[category].replace('%s', text)}, {spans}, {_NONE})"
+    return f"transform({spans}, s -> {told})"
 
 
 def ordered(spans: str) -> str:

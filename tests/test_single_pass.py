@@ -53,3 +53,15 @@ def test_words_that_branch(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
     got = [r[0] for r in rows.select(F.regexp_extract_all("text", F.lit(T.any_word(words)), F.lit(0))).collect()]
     assert got == [[w for w in re.split("[^a-z0-9_]+", t) if w in words] for t in texts]
+
+
+def test_patterns_of_spans_wait_for_their_signs(spark):
+    from inkspan.operators import fidelity
+
+    told = fidelity.protected_candidates("t")
+    assert all(likely.replace("%s", "t") in told for likely in fidelity.LIKELY.values())
+    texts = ["x ٣ and ٤", "C:\\x", "see www.a.b", "2024-03-05", "~~~\na\n~~~", "none of it", "5 kms 5 KM", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.category, r.value) for r in fidelity.protected_spans(rows).collect())
+    assert {(0, "number", "٣"), (0, "number", "٤"), (1, "path", "C:\\x"), (2, "url", "www.a.b"), (3, "date", "2024-03-05"), (4, "code_block", "~~~\na\n~~~"), (6, "number", "5"), (6, "unit", "KM")} <= set(got)
+    assert {g for g in got if g[0] in (5, 7)} == set()
