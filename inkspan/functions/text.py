@@ -19,7 +19,41 @@ WORD = r"[A-Za-z0-9']+"
 #: Signs that are set around a match, so that one pass of a pattern cuts a text; they stand for no letter of any script.
 OPEN, CLOSE = "\uFDD0", "\uFDD1"
 #: Offsets are summed in blocks of this many matches, then over the blocks, so that the work grows with the matches.
-BLOCK = 128
+BLOCK = 32
+
+
+def quick(pattern: str) -> str:
+    """``pattern`` for Spark with the ASCII ranges of its classes written out: Java looks listed signs up in one table, but asks
+    one range after the other. What it matches stays the same; other engines take patterns as they are."""
+    out, i, inside = [], 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            n = pattern.index("}", i) + 1 - i if pattern[i + 2 : i + 3] == "{" and pattern[i + 1] in "pPx" else 4 if pattern[i + 1] == "x" else 2
+            out.append(pattern[i : i + n])
+            i += n
+            continue
+        if inside and c.isascii() and c.isalnum() and pattern[i + 1 : i + 2] == "-" and (last := pattern[i + 2]).isascii() and last.isalnum():
+            out.append("".join(map(chr, range(ord(c), ord(last) + 1))))
+            i += 3
+            continue
+        if not inside and c == "[":
+            inside, n = True, 2 if pattern[i + 1] == "^" else 1
+            # A bracket that comes first is a sign of its class
+            n += pattern[i + n] == "]"
+            out.append(pattern[i : i + n])
+            i += n
+            continue
+        inside = inside and c != "]"
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
+def beginning(heads: str, pattern: str) -> str:
+    """``pattern``, whose matches begin with one of the letters or digits ``heads`` in either case: a cheap look at each place."""
+    letters = "".join(sorted({*heads.lower(), *heads.upper()}))
+    return f"(?=[{letters}]){pattern}" if heads else pattern
 
 
 def folded(text: Column) -> Column:
@@ -44,7 +78,7 @@ def unmarked(text: Column) -> Column:
 
 def pieces(text: Column, pattern: str) -> Column:
     """The text before the first match; then, of each match, what matched, CLOSE, and the text up to the next one."""
-    return F.split(F.regexp_replace(unmarked(text), F.lit(pattern), F.lit(OPEN + "$0" + CLOSE)), OPEN, -1)
+    return F.split(F.regexp_replace(unmarked(text), F.lit(quick(pattern)), F.lit(OPEN + "$0" + CLOSE)), OPEN, -1)
 
 
 #: Of each piece how long the match is (0 of the first) and the text after it.
@@ -53,7 +87,7 @@ _LENGTHS = f"transform(%s, (p, i) -> if(i = 0, named_struct('h', 0, 'g', length(
 
 def lengths_sql(text: str, pattern: str) -> str:
     """The lengths of the pieces of an ``unmarked`` column, in the words of SQL, which are quick to make for many patterns."""
-    return _LENGTHS % f"split(regexp_replace({text}, {literal(pattern)}, '{OPEN}$0{CLOSE}'), '{OPEN}', -1)"
+    return _LENGTHS % f"split(regexp_replace({text}, {literal(quick(pattern))}, '{OPEN}$0{CLOSE}'), '{OPEN}', -1)"
 
 
 def lengths(cut: Column) -> Column:
@@ -110,7 +144,7 @@ _SPANS = f"transform(array(split(%s, '{OPEN}', -1)), c -> zip_with(slice(c, 2, s
 
 def spans_sql(text: str, pattern: str) -> str:
     """``spans`` of an ``unmarked`` column, in the words of SQL: a hundred patterns are made in the time of one by columns."""
-    return _SPANS % f"regexp_replace({text}, {literal(pattern)}, '{OPEN}$0{CLOSE}')"
+    return _SPANS % f"regexp_replace({text}, {literal(quick(pattern))}, '{OPEN}$0{CLOSE}')"
 
 
 #: Characters of a part of a text that values are cut from.
@@ -132,7 +166,7 @@ def taken(held: Column, start: Column, n: Column) -> Column:
 def any_word(words: list[str]) -> str:
     """A pattern of whole lower-case words (letters, digits, underscores)."""
     heads = "".join(sorted({w[0] for w in words}))
-    return f"(?=[{heads}])(?<![a-z0-9_]){branching(words)}(?![a-z0-9_])"
+    return quick(f"(?=[{heads}])(?<![a-z0-9_]){branching(words)}(?![a-z0-9_])")
 
 
 def branching(words: list[str]) -> str:
@@ -146,7 +180,7 @@ def branching(words: list[str]) -> str:
 
 
 def count_of(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+    return F.regexp_count(text, F.lit(quick(pattern)))
 
 
 def masked(text: Column, pattern: str, needles: tuple[str, ...] = ()) -> Column:
@@ -180,9 +214,14 @@ def mask_code_and_quotes(text: Column) -> Column:
     return mask_quotes(mask_code(text))
 
 
+def mask_no_prose(text: Column) -> Column:
+    """Headings, tables and block quotes blanked."""
+    return masked(text, NO_PROSE_LINES, ("#", "|", ">"))
+
+
 def mask_prose(text: Column) -> Column:
     """Code, headings, tables and block quotes blanked."""
-    return masked(mask_code(text), NO_PROSE_LINES, ("#", "|", ">"))
+    return mask_no_prose(mask_code(text))
 
 
 def word_count(text: Column) -> Column:
@@ -200,7 +239,7 @@ def paragraphs(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(quick(WORD)), F.lit(0))
 
 
 def word_set(text: Column) -> Column:

@@ -28,6 +28,11 @@ ANCHORS = {
     "attribution": r"\b[Aa]ccording to\s+[A-Z][A-Za-z0-9']+|\breported by\s+[A-Z][A-Za-z0-9']+|\bper\s+[A-Z][A-Za-z0-9']+|\b[A-Z][A-Za-z0-9']+\s+(?:said|reported|stated|claimed|argued|wrote|noted|highlighted)\b",
     "name": r"\b[A-Z]{2,}(?:[0-9]+)?\b",
 }
+#: Letters and digits that the matches of a category begin with.
+HEADS = {
+    "url": "h", "date": "0123456789", "number": "0123456789", "negation": "nwiadcsmh", "polarity": "idrfgscwpnmlh", "modality": "mcwsonh", "quantifier": "asemfnbpuol",
+    "causality": "bthclrs", "condition": "iupagw", "scope": "uanrmlowe",
+}
 MARKERS = {
     "negation": "no not never none nobody nothing nowhere without neither nor can't cannot won't wouldn't don't doesn't didn't isn't aren't wasn't weren't shouldn't couldn't mustn't hasn't haven't hadn't".split(),
     "obligation": ["must", "may", "can", "should", "shall", "required", "requires", "requiring", "needs", "needed", "need to", "have to", "has to", "allowed", "permitted", "mandatory", "optional", "must not"],
@@ -41,11 +46,12 @@ MARKERS = {
 CANDIDATE_SQL = "replace(replace(replace(replace(text, '45%', '46%'), 'must not', 'must'), 'always', 'often'), 'https://a.example.com/p?utm_source=feed&utm_medium=mail', 'https://a.example.com/p')"
 
 
-def _values(text: Column, patterns: dict[str, str]) -> Column:
-    """Matches on the folded text, whose offsets are those of the original; values are the original's."""
+def _values(folded: str, parts: str, patterns: dict[str, str], n: int) -> Column:
+    """Matches in a folded column, whose offsets are those of the original; values are cut from the ``parts`` of the original."""
 
     def found(category: str, pattern: str) -> Column:
-        return F.transform(T.spans(T.folded(text), pattern), lambda s: F.struct(F.lit(category).alias("category"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value")))
+        spans = F.expr(T.spans_sql(folded, T.beginning(HEADS.get(category, ""), pattern)))
+        return F.transform(spans, lambda s: F.struct(F.lit(category).alias("category"), T.taken(F.col(parts), s["start"], s["end"] - s["start"]).alias("value"), F.lit(n).alias("n")))
 
     return F.flatten(F.array(*[found(category, pattern) for category, pattern in patterns.items()]))
 
@@ -59,14 +65,19 @@ def value_counts(pairs: DataFrame, patterns: dict[str, str], outer: bool = False
     """(row, pair_id, category, value, n) of the values that source and candidate of a row hold an unequal number of times.
 
     Both sides are exploded in one row and counted with one shuffle: a value adds one for the source, takes one for the
-    candidate. ``outer``: and a row of nulls for each pair without values.
+    candidate. Equal sides hold all values equally often, so nothing is looked for in them. ``outer``: and a row of nulls for
+    each pair without values.
     """
-    explode = F.explode_outer if outer else F.explode
-    keyed = pairs.select("pair_id", "source", "candidate", F.monotonically_increasing_id().alias("row"))
-    sides = keyed.select("pair_id", "row", explode(F.concat(
-        F.transform(_values(F.coalesce("source", F.lit("")), patterns), lambda v: F.struct(v["category"].alias("category"), v["value"].alias("value"), F.lit(1).alias("n"))),
-        F.transform(_values(F.coalesce("candidate", F.lit("")), patterns), lambda v: F.struct(v["category"].alias("category"), v["value"].alias("value"), F.lit(-1).alias("n"))),
-    )).alias("v"))
+    sides = {"s": "source", "c": "candidate"}
+    keyed = pairs.select("pair_id", *[F.coalesce(side, F.lit("")).alias(side) for side in sides.values()], F.monotonically_increasing_id().alias("row"))
+    unequal = F.col("source") != F.col("candidate")
+    keyed = keyed.withColumns({side: F.when(unequal, F.col(side)).otherwise(F.lit("")) for side in sides.values()}) if outer else keyed.where(unequal)
+    # Texts are folded in a step of their own, once for all patterns
+    keyed = keyed.select("pair_id", "row", *[T.unmarked(F.col(side)).alias(x) for x, side in sides.items()], *[T.parts(F.col(side)).alias(f"{x}_parts") for x, side in sides.items()])
+    keyed = keyed.withColumns({x: T.folded(F.col(x)) for x in sides})
+    # Spark puts a test of what is exploded before an inner explode, which would look for all values twice more
+    told = keyed.select("pair_id", "row", F.explode_outer(F.concat(_values("s", "s_parts", patterns, 1), _values("c", "c_parts", patterns, -1))).alias("v"))
+    sides = told if outer else told.where("v is not null")
     return sides.groupBy("row", "pair_id", "v.category", canonical_value(F.col("v.category"), F.col("v.value")).alias("value")).agg(F.coalesce(F.sum("v.n"), F.lit(0)).alias("n"))
 
 
