@@ -301,6 +301,12 @@ def waits_for(rule: Rule) -> list[str]:
     return [max(words_in(part.split("[X]")[0]), key=len) for part in rule.text.split(" / ")]
 
 
+def heads(rule: Rule) -> str:
+    """Letters and digits of which each match of a lexical rule begins with one; none if some match may begin with another sign."""
+    first = {part.strip()[0] for part in rule.text.split(" / ")}
+    return "".join(sorted(first)) if all(c.isascii() and c.isalnum() for c in first) else ""
+
+
 def phrases(rule: Rule) -> list[str]:
     """Lower-case strings of which a text must hold one to match a rule of phrases; none for rules of single words.
 

@@ -60,6 +60,7 @@ class Detector(NamedTuple):
     phrases: tuple[str, ...] = ()  # strings of which a lower-cased text must hold one beside a word
     beyond_ascii: bool = False  # only in texts that hold more than ASCII
     figures: bool = False  # only in texts that hold a digit
+    heads: str = ""  # letters and digits that a match begins with, if it begins with any of few
 
     @property
     def looks(self) -> tuple:
@@ -76,7 +77,7 @@ RESTATED_WITHIN, RESTATED_LINE, RESTATED_WORD = 200, 140, 4
 
 def _signal(name: str) -> Detector:
     terms = "|".join(sorted(SIGNALS[name], key=len, reverse=True))
-    return Detector(f"mechanism_{name}", rf"(?i)\b(?:{terms})\b", "code", words=tuple(max(rules.words_in(t), key=len) for t in SIGNALS[name]), excuse=f"{MEASURE}|{OBSERVATION}", around=120, actors=True)
+    return Detector(f"mechanism_{name}", rf"(?i)\b(?:{terms})\b", "code", words=tuple(max(rules.words_in(t), key=len) for t in SIGNALS[name]), heads="".join(t[0] for t in SIGNALS[name]), excuse=f"{MEASURE}|{OBSERVATION}", around=120, actors=True)
 
 
 # Patterns of the registered detectors
@@ -92,11 +93,11 @@ DETECTORS = [
     Detector("ai_url_parameters", r"utm_source=(?:chatgpt|openai|claude|perplexity)\.com", signal="strict", needles=("utm_source=",)),
     Detector("unfilled_placeholders", r"\[(?:Your Name|INSERT [A-Z_ ]+|TODO|TBD|YOUR TEXT HERE)\]", "code", "strict", needles=("[",)),
     Detector("struct_link_text", r"(?i)\[(?:click here|learn more|read more|here|this link)\]\([^ )\n]+\)", "code", needles=("](",)),
-    Detector("engagement_bait", r"(?i)\b(?:have you ever (?:wondered|thought|noticed|asked)|ever wondered|ever thought about|picture this|imagine (?:this|if)|let me ask you something|you won'?t believe|let'?s be honest|raise your hand if|we'?ve all been there|you might be wondering|you may be wondering|i know what you'?re thinking)\b", "code", words=("ever", "picture", "imagine", "something", "believe", "honest", "hand", "been", "wondering", "thinking")),
+    Detector("engagement_bait", r"(?i)\b(?:have you ever (?:wondered|thought|noticed|asked)|ever wondered|ever thought about|picture this|imagine (?:this|if)|let me ask you something|you won'?t believe|let'?s be honest|raise your hand if|we'?ve all been there|you might be wondering|you may be wondering|i know what you'?re thinking)\b", "code", heads="hepilyrw", words=("ever", "picture", "imagine", "something", "believe", "honest", "hand", "been", "wondering", "thinking")),
     Detector("template_headings", r"(?im)^#{1,6}\s+(?:introduction|conclusion|overview|summary|key\s+takeaways|takeaways|faq|frequently\s+asked\s+questions|getting\s+started|the\s+basics|background|the\s+problem|the\s+solution|next\s+steps|benefits|features|challenges|best\s+practices|pros\s+and\s+cons|what\s+is|what\s+are|why\s+(?:do|does|is|are|should)|why\b[^\n]*\bmatters?|how\s+it\s+works|how\s+does)\b", "code", needles=("#",)),
-    Detector("self_promotion", r"(?i)\b(?:as\s+an?\s+industry\s+leader|industry[- ]leading|market[- ]leading|best[- ]in[- ]class|world[- ]class|leading\s+(?:provider|vendor|platform|solution|product|company)|we'?re\s+proud|we\s+are\s+proud|proudly\s+(?:announce|present|introduce|offer)|trusted\s+by|trusted\s+across|loved\s+by|used\s+by\s+(?:thousands|millions)|pioneer\s+in|unmatched|second\s+to\s+none|premier|state[- ]of[- ]the[- ]art)\b", "code_quotes", excuse=COMPARISON, around=60, words=("industry", "market", "best", "world", "leading", "proud", "proudly", "trusted", "loved", "used", "pioneer", "unmatched", "second", "premier", "state")),
+    Detector("self_promotion", r"(?i)\b(?:as\s+an?\s+industry\s+leader|industry[- ]leading|market[- ]leading|best[- ]in[- ]class|world[- ]class|leading\s+(?:provider|vendor|platform|solution|product|company)|we'?re\s+proud|we\s+are\s+proud|proudly\s+(?:announce|present|introduce|offer)|trusted\s+by|trusted\s+across|loved\s+by|used\s+by\s+(?:thousands|millions)|pioneer\s+in|unmatched|second\s+to\s+none|premier|state[- ]of[- ]the[- ]art)\b", "code_quotes", excuse=COMPARISON, around=60, heads="aimbwlptus", words=("industry", "market", "best", "world", "leading", "proud", "proudly", "trusted", "loved", "used", "pioneer", "unmatched", "second", "premier", "state")),
     Detector("rather_than", r"(?i)\b\w[\w'-]*\s+rather\s+than\s+\w[\w'-]*\b", "code_quotes", excuse=f"{DECISION}|{RESULT}", around=60, words=("rather",)),
-    Detector("unsourced_precision", STATISTIC, "prose", figures=True, excuse=f"{SOURCED}|{SUPPLIED}|{TECHNICAL}", around=120, estimates=True),
+    Detector("unsourced_precision", STATISTIC, "prose", figures=True, heads="0123456789", excuse=f"{SOURCED}|{SUPPLIED}|{TECHNICAL}", around=120, estimates=True),
     Detector("social_reach_promise", r"(?i)\b(?:boost|grow|increase|drive|raise|expand|multiply|get more)\s+(?:your\s+)?(?:reach|engagement|impressions|visibility|saves|comments|likes|shares|followers|network|traffic|exposure)\b|\b(?:go(?:es)? viral|going viral)\b|\bthe algorithm (?:loves|rewards|prefers|boosts|picks up)\b|\balgorithmic (?:boost|benefit|growth)\b|\b(?:opening weight|dwell time)\b|\breach (?:a|the) wider audience\b|\bseen by more people\b|\bgrow your (?:network|audience)\b", "code", words=("boost", "grow", "increase", "drive", "raise", "expand", "multiply", "get", "viral", "algorithm", "algorithmic", "opening", "dwell", "wider", "seen")),
     Detector("struct_artificial_line_breaks", r"[A-Za-z,]\n[a-z]", "code", needles=("\n",)),
     *(_signal(name) for name in SIGNALS),
@@ -107,6 +108,8 @@ RULE_OF = {r.detector: r.rule_id for r in rules.RULES if r.detector}
 
 
 MASKS = {"": lambda t: t, "code": T.mask_code, "code_quotes": T.mask_code_and_quotes, "prose": T.mask_prose}
+#: The masks that go on top of ``code``.
+ON_CODE = {"code_quotes": T.mask_quotes, "prose": T.mask_no_prose}
 #: Detectors that only one profile asks for.
 PROFILE_ONLY = {"social_reach_promise": "social"}
 
@@ -139,17 +142,18 @@ def excused(d: Detector, held: Column, start: Column, end: Column) -> Column:
         head = F.array_join(F.slice(then, 1, WORDS_AFTER), " ")
         out = out | F.regexp_like(tail, F.lit(ESTIMATED)) | F.regexp_like(head, F.lit(OR_SO)) | F.contains(F.right(before, F.lit(3)), F.lit("~")) | F.contains(F.left(after, F.lit(3)), F.lit("~"))
     if d.excuse:
-        out = out | F.regexp_like(within(d.around, d.around), F.lit(d.excuse))
+        out = out | F.regexp_like(within(d.around, d.around), F.lit(T.quick(d.excuse)))
     if d.actors:
-        runs = F.regexp_extract_all(within(d.around, d.around), F.lit(NAMED_ACTOR), F.lit(1))
+        runs = F.regexp_extract_all(within(d.around, d.around), F.lit(T.quick(NAMED_ACTOR)), F.lit(1))
         out = out | F.exists(F.split(F.array_join(runs, " "), r"\s+"), lambda w: (w != "") & ~w.isin(*ACTOR_STOP))
     if d.restated:
         out = out | ~restates(T.taken(held, start, end - start), T.taken(held, end, F.lit(RESTATED_WITHIN)))
     return out
 
 
-def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("doc_id",), fold: bool = True, outer: bool = False, measures: tuple[M.Measure, ...] = ()) -> DataFrame:
-    """Findings with the columns ``keep`` of their rows; ``outer``: and a row of nulls for each row that has none.
+def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("doc_id",), fold: bool = True, outer: bool = False, measures: tuple[M.Measure, ...] = (), valued: bool = True) -> DataFrame:
+    """Findings with the columns ``keep`` of their rows; ``outer``: and a row of nulls for each row that has none. Those that are
+    not ``valued`` have no column value, which is much of the work where a text has many.
 
     ``measures`` adds the findings of document-level detectors; those of evidence ``document`` carry no value, as it may be the
     whole text.
@@ -161,17 +165,19 @@ def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("
     masks = sorted({d.mask for d in wanted} | ({"code_quotes"} if measures else set()))
     prepared = docs.select(*keep, *[F.col("text")] * ("text" not in keep), T.unmarked(F.col("text")).alias("_folded"))
     prepared = prepared.withColumn("_folded", T.folded(F.col("_folded"))) if fold else prepared
-    prepared = prepared.withColumns({f"_{m}": MASKS[m](F.col("_folded")) for m in masks if m} | {"_lower": F.lower("_folded")})
+    # Code is blanked in a step of its own: a mask on top of it names what it reads many times
+    prepared = prepared.withColumns({"_code": T.mask_code(F.col("_folded")), "_lower": F.lower("_folded")} if any(masks) else {"_lower": F.lower("_folded")})
+    prepared = prepared.withColumns({f"_{m}": ON_CODE[m](F.col("_code")) for m in masks if m in ON_CODE})
     names = {m: f"_{m}" if m else "_folded" for m in masks}
     around = sorted({names[d.mask] for d in wanted if any(d.looks)})
     listed = lambda values: "array(" + ", ".join(map(T.literal, values)) + ")"
     # Words are looked up once in a set of all that any rule waits for; what is left of them is a few
-    waited = sorted({w for d in wanted for w in d.words})
+    waited = sorted({w for d in wanted for w in d.words} | ({w for m in measures for w in m.words}))
     prepared = prepared.withColumn("_held", F.expr(f"array_distinct(regexp_extract_all(_lower, {T.literal(T.any_word(waited))}, 0))" if waited else "array('')"))
     none = "CAST(NULL AS ARRAY<STRUCT<`start`: INT, `end`: INT>>)"
     if measures:
-        cut_up, found = M.united(measures)
-        prepared = prepared.withColumn("_sections", cut_up).withColumn("_measured", found)
+        cut_up, prose, found = M.united(measures)
+        prepared = prepared.withColumns({"_sections": cut_up, "_linked": prose}).withColumn("_measured", found)
     cut = []
     for i, d in enumerate(wanted):
         likely = " OR ".join([f"arrays_overlap(_held, {listed(d.words)})"] * bool(d.words) + [f"contains(_lower, {T.literal(n)})" for n in d.needles]) or "true"
@@ -181,7 +187,7 @@ def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("
             likely = f"octet_length({names[d.mask]}) > char_length({names[d.mask]})"
         if d.figures:
             likely = f"regexp_like({names[d.mask]}, '[0-9]')"
-        cut.append(f"CASE WHEN {likely} THEN named_struct('rule', {i}, 'lens', {T.lengths_sql(names[d.mask], d.pattern)}, 'at', {none}) END")
+        cut.append(f"CASE WHEN {likely} THEN named_struct('rule', {i}, 'lens', {T.lengths_sql(names[d.mask], T.beginning(d.heads, d.pattern))}, 'at', {none}) END")
     united = f"array({', '.join(cut)})"
     if measures:
         empty = "CAST(NULL AS ARRAY<STRUCT<`h`: INT, `g`: INT>>)"
@@ -190,7 +196,8 @@ def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("
     prepared = prepared.withColumn("_rules", F.expr(f"filter({united}, r -> size(r.lens) > 1 OR size(r.at) > 0)"))
     # Only texts that values are cut from, or that are looked into around a match, are cut into parts
     held_in = lambda name: F.exists("_rules", lambda r: r["rule"].isin(*[i for i, d in enumerate(wanted) if any(d.looks) and names[d.mask] == name]))
-    prepared = prepared.withColumns({"_parts": F.when(F.size("_rules") > 0, T.parts(F.col("text")))} | {f"_parts{name}": F.when(held_in(name), T.parts(F.col(name))) for name in around})
+    whole = {"_parts": F.when(F.size("_rules") > 0, T.parts(F.col("text")))} if valued or any(d.restated for d in wanted) else {}
+    prepared = prepared.withColumns(whole | {f"_parts{name}": F.when(held_in(name), T.parts(F.col(name))) for name in around})
     ruled = prepared.withColumn("_r", F.explode_outer("_rules"))
     rule, of = F.col("_r.rule"), lambda values: F.get(F.array(*map(F.lit, values)), rule)
     evidence = of(["span"] * len(wanted) + [m.evidence for m in measures])
@@ -201,25 +208,27 @@ def found_in(docs: DataFrame, wanted: list[Detector], keep: tuple[str, ...] = ("
         for d in {(d.mask, *d.looks): d for d in wanted if any(d.looks)}.values():
             alike = [i for i, x in enumerate(wanted) if (x.mask, *x.looks) == (d.mask, *d.looks)]
             excuse = F.when(rule.isin(*alike), excused(d, F.col("_parts" if d.restated else f"_parts{names[d.mask]}"), start, end)).otherwise(excuse)
-        value = F.when(evidence == "span", T.taken(F.col("_parts"), start, end - start))
-        return F.when(~F.coalesce(excuse, F.lit(False)), F.struct(start.cast("long").alias("start_pos"), end.cast("long").alias("end_pos"), value.alias("value")))
+        value = [F.when(evidence == "span", T.taken(F.col("_parts"), start, end - start)).alias("value")] if valued else []
+        return F.when(~F.coalesce(excuse, F.lit(False)), F.struct(start.cast("long").alias("start_pos"), end.cast("long").alias("end_pos"), *value))
 
     # Findings are finished inside the row of their rule: what is exploded holds no text
     found = F.filter(F.transform(F.coalesce(F.col("_r.at"), T.placed(F.col("_r.lens"))), told), lambda f: f.isNotNull())
     rows = (ruled if outer else ruled.where("_r is not null")).select(*keep, rule.alias("_rule"), found.alias("_found"))
     rule = F.col("_rule")
-    spans = rows.select(*keep, "_rule", (F.explode_outer if outer else F.explode)("_found").alias("_f"))
+    # Spark puts a test of what is exploded before an inner explode, which would find and cut all values twice more
+    spans = rows.select(*keep, "_rule", F.explode_outer("_found").alias("_f"))
+    spans = spans if outer else spans.where("_f is not null")
     finding = {
         "rule_id": of([RULE_OF.get(d.key, d.key) for d in (*wanted, *measures)]),
         "signal": of([d.signal for d in (*wanted, *measures)]),
         "evidence": of(["span"] * len(wanted) + [m.evidence for m in measures]),
     }
     held = F.col("_f").isNotNull()
-    return spans.select(*keep, *[(F.when(held, c) if outer else c).alias(name) for name, c in finding.items()], "_f.start_pos", "_f.end_pos", "_f.value")
+    return spans.select(*keep, *[(F.when(held, c) if outer else c).alias(name) for name, c in finding.items()], "_f.start_pos", "_f.end_pos", *["_f.value"] * valued)
 
 
 def lexical(profile: str = "general") -> list[Detector]:
-    return [Detector(r.rule_id, p, "", r.signal, words=tuple(rules.waits_for(r)), phrases=tuple(rules.phrases(r))) for r in rules.active(profile) if (p := rules.pattern(r))]
+    return [Detector(r.rule_id, p, "", r.signal, words=tuple(rules.waits_for(r)), phrases=tuple(rules.phrases(r)), heads=rules.heads(r)) for r in rules.active(profile) if (p := rules.pattern(r))]
 
 
 def patterns_of(profile: str = "general") -> list[Detector]:
@@ -241,7 +250,7 @@ def measured_findings(docs: DataFrame) -> DataFrame:
     return found_in(docs, [], measures=tuple(M.MEASURES))
 
 
-def all_findings(docs: DataFrame, profile: str = "general", keep: tuple[str, ...] = ("doc_id",), outer: bool = False, measured: bool = True) -> DataFrame:
+def all_findings(docs: DataFrame, profile: str = "general", keep: tuple[str, ...] = ("doc_id",), outer: bool = False, measured: bool = True, valued: bool = True) -> DataFrame:
     """Lexical and pattern findings of a profile, and unless ``measured`` is false those of document-level detectors, in one pass
     over the rows."""
-    return found_in(docs, lexical(profile) + patterns_of(profile), keep, outer=outer, measures=tuple(M.MEASURES) if measured else ())
+    return found_in(docs, lexical(profile) + patterns_of(profile), keep, outer=outer, measures=tuple(M.MEASURES) if measured else (), valued=valued)

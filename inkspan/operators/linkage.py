@@ -25,7 +25,7 @@ ISLAND_WORDS, ISLAND_OVERLAP, ISLAND_RUN = 7, 0.12, 3
 
 
 def content_words(body: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(body, F.lit(CONTENT_WORD), F.lit(0)), F.lower)
+    found = F.transform(F.regexp_extract_all(body, F.lit(T.quick(CONTENT_WORD)), F.lit(0)), F.lower)
     return F.array_distinct(F.filter(found, lambda w: (F.length(w) >= CONTENT_LETTERS) & ~w.isin(*STOP_WORDS)))
 
 
@@ -44,8 +44,19 @@ def _shared(a: Column, b: Column) -> tuple[Column, Column]:
     return shared, F.try_divide(shared.cast("double"), F.least(F.size(a), F.size(b)).cast("double"))
 
 
-def restating(text: Column) -> Column:
-    """Array of (start_pos, end_pos, shared, overlap) of the paragraphs that restate the prose paragraph before."""
+def linked(text: Column) -> Column:
+    """``prose`` of the paragraphs that both links below may ask for; a text without a break is one paragraph, of which no words are
+    looked for."""
+    return F.when(F.contains(text, F.lit("\n\n")), prose(text, min(TREADMILL_WORDS, ISLAND_WORDS)))
+
+
+def _of_words(held: Column, least: int) -> Column:
+    return F.filter(held, lambda p: F.size(p["words"]) >= least)
+
+
+def restating(text: Column, held: Column | None = None) -> Column:
+    """Array of (start_pos, end_pos, shared, overlap) of the paragraphs that restate the prose paragraph before; ``held`` is the text's
+    ``linked`` if that is a column already."""
     none = F.array().cast("array<struct<start_pos:int,end_pos:int,shared:int,overlap:double>>")
 
     def step(acc, p):
@@ -55,8 +66,8 @@ def restating(text: Column) -> Column:
         return F.struct(p["words"].alias("words"), found.alias("found"))
 
     start = F.struct(F.array().cast("array<string>").alias("words"), none.alias("found"))
-    # A text without a break is one paragraph, of which no words are looked for
-    return F.when(F.contains(text, F.lit("\n\n")), F.aggregate(prose(text, TREADMILL_WORDS), start, step, lambda acc: acc["found"])).when(text.isNotNull(), none)
+    held = linked(text) if held is None else held
+    return F.when(F.contains(text, F.lit("\n\n")), F.aggregate(_of_words(held, TREADMILL_WORDS), start, step, lambda acc: acc["found"])).when(text.isNotNull(), none)
 
 
 def treadmill_prose(docs: DataFrame) -> DataFrame:
@@ -65,7 +76,7 @@ def treadmill_prose(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"), F.col("shared").cast("long").alias("shared"), F.round("overlap", 6).alias("overlap"))
 
 
-def untied(text: Column) -> Column:
+def untied(text: Column, held: Column | None = None) -> Column:
     """(start_pos, end_pos) of the first three prose paragraphs in a row that nothing ties together, or null."""
     none = F.lit(None).cast("struct<start_pos:int,end_pos:int>")
 
@@ -77,7 +88,8 @@ def untied(text: Column) -> Column:
         return F.struct(acc["start"].alias("before"), p["start"].alias("start"), p["end"].alias("end"), p["words"].alias("words"), run.alias("run"), F.coalesce(acc["found"], hit).alias("found"))
 
     start = F.struct(F.lit(0).alias("before"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.array().cast("array<string>").alias("words"), F.lit(0).alias("run"), none.alias("found"))
-    return F.when(F.contains(text, F.lit("\n\n")), F.aggregate(prose(text, ISLAND_WORDS), start, step, lambda acc: acc["found"]))
+    held = linked(text) if held is None else held
+    return F.when(F.contains(text, F.lit("\n\n")), F.aggregate(_of_words(held, ISLAND_WORDS), start, step, lambda acc: acc["found"]))
 
 
 def paragraph_reshuffle(docs: DataFrame) -> DataFrame:

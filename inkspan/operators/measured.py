@@ -30,7 +30,8 @@ class Measure(NamedTuple):
     key: str
     signal: str
     evidence: str
-    find: Callable[[dict[str, Column]], Column]  # of the columns text, folded, code_quotes and sections
+    find: Callable[[dict[str, Column]], Column]  # of the columns text, folded, code_quotes, sections, prose and held
+    words: tuple[str, ...] = ()  # whole words of which a lower-cased text must hold one; those that it holds are in ``held``
 
 
 def trimmed(text: Column) -> Column:
@@ -41,13 +42,14 @@ def words(text: Column) -> Column:
     return F.size(T.words_of(text))
 
 
-def cut_at(text: Column, pattern: str) -> Column:
-    """Array of (start, end, body) of what stands between a pattern's matches, empty pieces left out."""
+def cut_at(text: Column, pattern: str, sign: str = "\n") -> Column:
+    """Array of (start, end, body) of what stands between a pattern's matches, each of which holds ``sign``; empty pieces are left out."""
     starts = F.concat(F.array(F.lit(0)), F.transform(T.spans(text, pattern), lambda g: g["end"]))
     pieces = F.zip_with(F.split(text, pattern, -1), starts, lambda p, s: F.struct(s.alias("start"), (s + F.length(p)).alias("end"), p.alias("body")))
     # A text that is not cut, as most are, is looked through once
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("body")))
-    return F.filter(F.when(F.regexp_like(text, F.lit(pattern)), pieces).when(text.isNotNull(), whole), lambda p: p["body"] != "")
+    likely = F.contains(text, F.lit(sign)) & F.regexp_like(text, F.lit(pattern))
+    return F.filter(F.when(likely, pieces).when(text.isNotNull(), whole), lambda p: p["body"] != "")
 
 
 def flat(body: Column) -> Column:
@@ -70,7 +72,7 @@ def sections(folded: Column) -> Column:
         prose = F.filter(placed, lambda p: (p["t"] != "") & ~F.regexp_like(p["t"], F.lit(L.NO_PROSE_START)))
         return T.let(prose, lambda all_: F.transform(all_, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["t"].alias("t"), F.when(F.size(all_) >= 2, words(p["t"])).alias("n"))))
 
-    made = F.transform(cut_at(folded, L.HEADING), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), flat(s["body"]).alias("flat"), paragraph(s).alias("paragraphs")))
+    made = F.transform(cut_at(folded, L.HEADING, "#"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), flat(s["body"]).alias("flat"), paragraph(s).alias("paragraphs")))
 
     def told(s: Column) -> Column:
         counted = lambda all_: F.transform(all_, lambda x: F.struct(x.alias("s"), F.when(F.size(all_) >= min(L.SENTENCE_MIN, L.PASSIVE_SENTENCES), words(x)).alias("n")))
@@ -128,18 +130,27 @@ def _transitions(s: Column) -> Column:
         held = F.lit(False)
         for term in L.TRANSITIONS:
             held = held | (F.contains(lower, F.lit(term)) & (T.count_of(lower, rf"\b{term}\b") >= L.TRANSITION_COUNT))
-        return F.regexp_like(lower, F.lit(T.any_word(list(L.TRANSITIONS)))) & held
+        return held
 
     return T.let(F.lower(s["flat"]), judged)
 
 
+#: The last word of each transition.
+TRANSITION_WORDS = tuple(t.split()[-1] for t in L.TRANSITIONS)
+
+
+def _repeated_transitions(c: dict[str, Column]) -> Column:
+    """Sections of a text that holds none of the words are not looked through."""
+    return F.when(F.arrays_overlap(c["held"], F.array(*map(F.lit, TRANSITION_WORDS))), _sections_where(_transitions)(c))
+
+
 def _passive(s: Column) -> Column:
     stop = F.array(*map(F.lit, L.ADJECTIVES))
     passive = lambda x: F.exists(F.regexp_extract_all(x["s"], F.lit(L.PASSIVE), F.lit(1)), lambda w: ~F.array_contains(stop, F.lower(w)))
 
     def judged(told: Column) -> Column:
         # No match reaches over the end of a sentence, so a section holds at least as many as its sentences
-        likely = (F.size(told) >= L.PASSIVE_SENTENCES) & (T.count_of(s["flat"], L.PASSIVE) >= L.PASSIVE_COUNT)
+        likely = (F.size(told) >= L.PASSIVE_SENTENCES) & (T.count_of(s["flat"], T.beginning("abiw", L.PASSIVE)) >= L.PASSIVE_COUNT)
         return likely & T.let(F.size(F.filter(told, passive)), lambda n: (n >= L.PASSIVE_COUNT) & (n > F.size(told) * F.lit(L.PASSIVE_SHARE)))
 
     return T.let(F.filter(s["sentences"], lambda x: x["n"] >= L.SENTENCE_MIN_WORDS), judged)
@@ -217,12 +228,12 @@ def _skipped_levels(c: dict[str, Column]) -> Column:
 
 
 def _treadmill(c: dict[str, Column]) -> Column:
-    return F.transform(linkage.restating(c["text"]), lambda x: F.struct(x["start_pos"].cast("int").alias("start"), x["end_pos"].cast("int").alias("end")))
+    return F.transform(linkage.restating(c["text"], c["prose"]), lambda x: F.struct(x["start_pos"].cast("int").alias("start"), x["end_pos"].cast("int").alias("end")))
 
 
 def _reshuffle(c: dict[str, Column]) -> Column:
     one = lambda x: F.array(F.struct(x["start_pos"].cast("int").alias("start"), x["end_pos"].cast("int").alias("end")))
-    return T.let(linkage.untied(c["text"]), lambda x: F.when(x.isNotNull(), one(x)))
+    return T.let(linkage.untied(c["text"], c["prose"]), lambda x: F.when(x.isNotNull(), one(x)))
 
 
 MEASURES = [
@@ -233,7 +244,7 @@ MEASURES = [
     Measure("sentence_length_variance", "advisory", "document", _sections_where(_even_sentences)),
     Measure("paragraph_length_variance", "advisory", "document", _sections_where(_even_paragraphs)),
     Measure("sentence_start_repetition", "advisory", "document", _sections_where(_openers)),
-    Measure("transition_repetition", "advisory", "document", _sections_where(_transitions)),
+    Measure("transition_repetition", "advisory", "document", _repeated_transitions, TRANSITION_WORDS),
     Measure("fmt_semicolon", "advisory", "document", _semicolons),
     Measure("heading_hierarchy", "advisory", "span", _skipped_levels),
     Measure("treadmill_prose", "advisory", "span", _treadmill),
@@ -242,13 +253,13 @@ MEASURES = [
 
 
 @cache
-def _united(gateway: object, measures: tuple[Measure, ...]) -> tuple[Column, Column]:
-    columns = {"text": F.col("text"), "folded": F.col("_folded"), "code_quotes": F.col("_code_quotes"), "sections": F.col("_sections")}
+def _united(gateway: object, measures: tuple[Measure, ...]) -> tuple[Column, Column, Column]:
+    columns = {"text": F.col("text"), "folded": F.col("_folded"), "code_quotes": F.col("_code_quotes"), "sections": F.col("_sections"), "prose": F.col("_linked"), "held": F.col("_held")}
     found = [F.struct(F.lit(i).alias("rule"), m.find(columns).cast(PLACE).alias("at")) for i, m in enumerate(measures)]
-    return sections(F.col("_folded")), F.array(*found)
+    return sections(F.col("_folded")), linkage.linked(F.col("text")), F.array(*found)
 
 
-def united(measures: tuple[Measure, ...]) -> tuple[Column, Column]:
-    """Sections of the column ``_folded``, and the array of (rule, at) made from them as ``_sections``, from ``text``, ``_folded``
-    and ``_code_quotes``. The expressions take seconds to make, so they are made once."""
+def united(measures: tuple[Measure, ...]) -> tuple[Column, Column, Column]:
+    """Sections of the column ``_folded``, linked prose of ``text``, and the array of (rule, at) made from them as ``_sections`` and
+    ``_linked``, from ``text``, ``_folded``, ``_code_quotes`` and ``_held``. The expressions take seconds to make, so they are made once."""
     return _united(SparkContext._gateway, measures)

@@ -23,8 +23,8 @@ def key_of(findings: DataFrame) -> str:
 
 
 def findings_of(docs: DataFrame, profile: str = "general", outer: bool = False) -> DataFrame:
-    """All findings of each row, with ``row`` and ``words``."""
-    return detect.all_findings(rows_of(docs), profile, ("doc_id", "row", "words"), outer)
+    """All findings of each row, with ``row`` and ``words``, without their values, which no score asks for."""
+    return detect.all_findings(rows_of(docs), profile, ("doc_id", "row", "words"), outer, valued=False)
 
 
 def registry(spark: SparkSession) -> DataFrame:
