@@ -59,17 +59,22 @@ def alike_sets(sets: DataFrame, size: int = TILE) -> DataFrame:
 
     Two sets can only be that alike if they share one of their rarest words, of n words the n - ceil(n/2) + 1 rarest, and if
     one has at most twice the words of the other. The join is on those words; the sets of a common word meet tile by tile.
+    What two sets can share at most is told inside the join, by the places of the word in their orders and by short hashes of
+    all their words, which travel along: pairs that cannot be alike are never written, and words are compared for the rest.
     """
     words = sets.select("set_id", "slot", F.size("words").alias("n"), F.explode("words").alias("word"))
     frequency = words.groupBy("slot", "word").agg(F.count(F.lit(1)).alias("f"))
     ordered = words.join(frequency, ["slot", "word"]).groupBy("set_id", "slot", "n").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("w"))
-    prefix = ordered.select("set_id", "slot", "n", F.explode(F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") / 2).cast("int") + 1)).alias("p")).select("set_id", "slot", "n", F.col("p.word").alias("word"))
+    told = ordered.withColumn("hashes", F.transform("w", lambda x: F.hash(x["word"]))).withColumn("twins", F.col("n") - F.size(F.array_distinct("hashes")))
+    prefix = told.select("set_id", "slot", "n", "hashes", "twins", F.posexplode(F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") / 2).cast("int") + 1)).alias("at", "p")).select("set_id", "slot", "n", "hashes", "twins", "at", F.col("p.word").alias("word"))
     dealt = _tiled(prefix, ["slot", "word"], "set_id", size)
     others = F.sequence(F.lit(0), F.col("tiles") - 1)
     # Each set is in its row and in its column of the square of tiles: a pair meets in one square for each word that it shares.
-    a = dealt.select("slot", "word", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("tile").alias("i"), F.explode(others).alias("j"))
-    b = dealt.select("slot", "word", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("tile").alias("j"), F.explode(others).alias("i"))
-    candidates = a.join(b, ["slot", "word", "i", "j"]).where("a < b and na <= 2 * nb and nb <= 2 * na").select("slot", "a", "b").distinct()
+    a = dealt.select("slot", "word", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"), F.col("hashes").alias("ha"), "twins", F.col("tile").alias("i"), F.explode(others).alias("j"))
+    b = dealt.select("slot", "word", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("atb"), F.col("hashes").alias("hb"), F.col("tile").alias("j"), F.explode(others).alias("i"))
+    # Alike sets share a third of both their words or more; at the first word that they share, all others come after it
+    first = "a < b and na <= 2 * nb and nb <= 2 * na and 3 * (least(na - ata, nb - atb)) >= na + nb"
+    candidates = a.join(b, ["slot", "word", "i", "j"]).where(f"CASE WHEN {first} THEN 3 * (size(array_intersect(ha, hb)) + twins) >= na + nb ELSE false END").select("slot", "a", "b").distinct()
     left, right = (sets.select("slot", F.col("set_id").alias(x), F.col("words").alias(f"w{x}")) for x in ("a", "b"))
     alike = candidates.join(left, ["slot", "a"]).join(right, ["slot", "b"]).where(T.jaccard(F.col("wa"), F.col("wb")) >= LEAST)
     directed = alike.select("slot", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("slot", "x.a", "x.b")

@@ -61,3 +61,12 @@ def test_shapes_alike_in_one_slot_are_never_paired(spark):
             largest = max(largest, metrics.apply("numOutputRows").value())
         nodes += [node.children().apply(i) for i in range(node.children().size())]
     assert 0 < largest < 100_000
+
+
+def test_sets_that_share_few_words_are_never_written(spark):
+    """Sets of twelve words that share one or five each: they meet under a word, but the join tells that they cannot be alike."""
+    sets = [(i, "hook", [f"shared{i % 2}", *[f"half{i % 5}{k}" for k in range(4)], *[f"own{i}x{k}" for k in range(7)]]) for i in range(40)] + [(99, "hook", ["shared0", *[f"half0{k}" for k in range(4)], *[f"own0x{k}" for k in range(7)], "more"])]
+    frame = corpus.alike_sets(spark.createDataFrame(sets, "set_id long, slot string, words array<string>"))
+    want = {(a, b) for a, _, x in sets for b, _, y in sets if alike(set(x), set(y))}
+    assert {(r.a, r.b) for r in frame.collect()} == want and (0, 99) in want
+    assert "array_intersect(ha" in frame._jdf.queryExecution().optimizedPlan().toString()
