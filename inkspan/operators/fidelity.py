@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from ..functions import alignment
 from ..functions import text as T
 from ..functions.workers import importable
 
@@ -59,7 +60,7 @@ ANCHORS = {name: (f"(?=[{''.join(sorted({w[0] for w in words}))}]){_B}(?:{'|'.jo
 }
 #: Categories whose changes a person looks at; changes of others fail.
 REVIEWED = ("attribution", "name")
-#: Cells that an alignment may compare; longer sequences are compared in linear time.
+#: Cells that the bounded ``opcodes`` may compare; longer sequences are compared in linear time. Queries align whole sequences.
 MOST_CELLS = 1_000_000
 CHURN_LIMIT, CHURN_MULTIPLIER = 0.5, 3.0
 
@@ -167,9 +168,9 @@ def _told(found: DataFrame, name: str) -> DataFrame:
 
 
 def opcodes(a: list, b: list, most_cells: int = MOST_CELLS) -> list[tuple[str, int, int, int, int]]:
-    """What turns ``a`` into ``b``, as the standard library tells it: longest common stretches first.
+    """What turns ``a`` into ``b`` within a bound of work, as the reference tells it: longest common stretches first.
 
-    Beyond ``most_cells`` pairs of items the work is linear: place by place if the lengths are equal, else what is between the
+    No query uses it: what it tells depends on the size. ``alignment.opcodes`` tells longest stretches of any size. Beyond ``most_cells`` pairs of items the work is linear: place by place if the lengths are equal, else what is between the
     common start and the common end is replaced.
     """
     if a == b:
@@ -203,7 +204,7 @@ def _unequal(source_kinds: pd.Series, source_keys: pd.Series, candidate_kinds: p
         row = []
         for kind in left.keys() | right.keys():
             s, c = left.get(kind, []), right.get(kind, [])
-            for tag, i1, i2, j1, j2 in opcodes([a[i] for i in s], [b[j] for j in c]):
+            for tag, i1, i2, j1, j2 in alignment.opcodes([a[i] for i in s], [b[j] for j in c]):
                 if tag != "equal":
                     both = min(i2 - i1, j2 - j1)
                     row += [(s[i1 + k], c[j1 + k]) for k in range(both)] + [(i, -1) for i in s[i1 + both : i2]] + [(-1, j) for j in c[j1 + both : j2]]
@@ -243,7 +244,7 @@ def sequence_changes(pairs: DataFrame, terms: tuple[str, ...] = ()) -> DataFrame
 
 @helper(LongType())
 def _touched(source: pd.Series, candidate: pd.Series) -> pd.Series:
-    return pd.Series([sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in opcodes(a, b) if tag != "equal") if a != b else 0 for a, b in zip(source, candidate, strict=True)])
+    return pd.Series([sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in alignment.opcodes(a, b) if tag != "equal") if a != b else 0 for a, b in zip(source, candidate, strict=True)])
 
 
 def churn(pairs: DataFrame) -> DataFrame:
