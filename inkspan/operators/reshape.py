@@ -114,21 +114,21 @@ def mended(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     word for what was put back. Rows of one id are told apart; a null text has nothing to mend.
     """
     state = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), F.lit(0).alias("rounds"), F.lit(0).cast("long").alias("edits"), F.lit("unchanged").alias("decision"), F.lit(True).alias("open"))
-    state = _written(state)
+    state = written(state)
     for _ in range(rounds):
         edits, fixed = pairs.repaired_text(F.col("text"))
-        tried = _written(state.where("open and text is not null").select("*", edits.alias("made"), fixed.alias("fixed")).where("made > 0"))
+        tried = written(state.where("open and text is not null").select("*", edits.alias("made"), fixed.alias("fixed")).where("made > 0"))
         if tried.isEmpty():
             break
         judged = fidelity.gate(tried.select(F.col("row").alias("pair_id"), F.col("text").alias("source"), F.col("fixed").alias("candidate"))).select(F.col("pair_id").alias("row"), F.col("decision").alias("told"))
         turn = tried.select("row", "made", "fixed").join(judged, "row")
         met = state.join(turn, "row", "left")
         good, took = F.col("told") == "accept", F.col("told").isNotNull()
-        state = _written(met.select("doc_id", F.when(good, F.col("fixed")).otherwise(F.col("text")).alias("text"), "row", (F.col("rounds") + took.cast("int")).alias("rounds"), (F.col("edits") + F.when(good, F.col("made")).otherwise(0)).alias("edits"), F.coalesce("told", "decision").alias("decision"), (took & F.coalesce(good, F.lit(False))).alias("open")))
+        state = written(met.select("doc_id", F.when(good, F.col("fixed")).otherwise(F.col("text")).alias("text"), "row", (F.col("rounds") + took.cast("int")).alias("rounds"), (F.col("edits") + F.when(good, F.col("made")).otherwise(0)).alias("edits"), F.coalesce("told", "decision").alias("decision"), (took & F.coalesce(good, F.lit(False))).alias("open")))
     return state.select("doc_id", "rounds", "edits", "decision", "text")
 
 
-def _written(rows: DataFrame) -> DataFrame:
+def written(rows: DataFrame) -> DataFrame:
     """``rows`` from the folder that the session names in spark.checkpoint.dir; where none is named, one in the warehouse."""
     session = rows.sparkSession
     if not session.sparkContext._jsc.sc().getCheckpointDir().isDefined():

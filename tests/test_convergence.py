@@ -70,3 +70,34 @@ def test_sets_that_share_few_words_are_never_written(spark):
     want = {(a, b) for a, _, x in sets for b, _, y in sets if alike(set(x), set(y))}
     assert {(r.a, r.b) for r in frame.collect()} == want and (0, 99) in want
     assert "array_intersect(ha" in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_never_shuffled(spark):
+    """One family of 300 shapes has 44,850 pairs in three slots; what is written grows with the shapes, not with the pairs."""
+    d = spark.createDataFrame([(i, f"Unlike{i} opening{i} number{i}.\n\nThe same reveal stands here.\n\nWe learned the same lesson always.\n\nAll of it closes alike.") for i in range(300)], DOCS)
+    frame = corpus.convergent(d)
+    done = frame._jdf.queryExecution()
+    done.toRdd().count()
+    nodes, largest = [done.executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        for at in ("finalPhysicalPlan", "plan"):
+            if node.getClass().getSimpleName() in {"finalPhysicalPlan": ("AdaptiveSparkPlanExec",), "plan": ("ShuffleQueryStageExec", "BroadcastQueryStageExec")}[at]:
+                nodes.append(getattr(node, at)())
+        metrics = node.metrics()
+        if metrics.contains("shuffleRecordsWritten"):
+            largest = max(largest, metrics.apply("shuffleRecordsWritten").value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert 0 < largest < 5_000
+    assert {(r.slots, r["count"]) for r in frame.groupBy("slots").count().collect()} == {(3, 44_850)}
+
+
+def test_a_set_that_many_are_like_is_not_widened(spark):
+    """Closings that are all like one, with lessons of their own, and empty slots: as brute force tells, in tiles too."""
+    rows = [(i, f"Unlike{i} opening{i}.\n\nReveal{i} part{i}.\n\nWe learned thing{i // 2} here{i // 2} and there{i // 2}.\n\nAll of it closes alike now{'' if i % 3 else f' extra{i}'}.") for i in range(24)]
+    d = spark.createDataFrame([*rows, (30, "!!!\n\n!!!"), (31, "Unlike1 opening1.\n\n!!!\n\n???"), (32, "Unlike1 opening1 too.\n\nReveal1 part1.")], DOCS)
+    sets = shaped(d)
+    want = {(a, b, n) for a, b in combinations(sorted(sets), 2) if (n := sum(alike(x, y) for x, y in zip(sets[a], sets[b], strict=True))) >= corpus.MIN_SLOTS}
+    for size in (3, corpus.TILE):
+        got = [tuple(r) for r in corpus.convergent(d, size).collect()]
+        assert sorted(got) == sorted(want) and want
