@@ -26,7 +26,8 @@ _PART = r"[A-Za-z0-9_.\-]"
 _NO_PART, _NO_ALNUM = r"(?<![A-Za-z0-9_.\-])", r"(?<![A-Za-z0-9])"
 _D = r"\p{Nd}"
 
-# Months, units, words of anchors, and what protected spans look like
+# Months, units, words of anchors, and what protected spans look like. A look at the first sign comes first, and what
+# looks behind is asked once for all the alternatives that need it
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 UNITS = """ms sec secs second seconds millisecond milliseconds microsecond microseconds nanosecond nanoseconds min mins minute minutes
 hr hrs hour hours day days week weeks month months yr yrs year years kb mb gb tb pb bit bits byte bytes kib mib gib tib bps kbps
@@ -34,14 +35,14 @@ mbps gbps tbps hz khz mhz ghz thz px em rem vh vw vmin vmax dpi ppi usd eur gbp
 inch inches mph kmh kg mg g lb lbs oz qps rps tps rpm percent percentage""".split()
 PROTECTED = {
     "code_block": r"(?ms)^`{3,}[^\n]*\n.*?^`{3,}[ \t]*$|^~{3,}[^\n]*\n.*?^~{3,}[ \t]*$",
-    "quoted": r""""[^"\n]*"|'[^'\n]*'|“[^”\n]*”|‘[^’\n]*’|`[^`\n]*`""",
-    "url": rf"{_B}https?://{_REST}|{_B}ftp://{_REST}|{_B}www\.[A-Za-z0-9_.\-]+",
-    "path": rf"{_NO_PART}(?:{_PART}++/){{2,}}{_PART}*(?:/[^{_SPACE}<>\"']*)?|{_NO_PART}/(?:{_PART}++/)*{_PART}+|{_NO_PART}(?!(?:and|or|either)/)(?:{_PART}++/)+{_PART}+|\./{_REST}|~/{_REST}|{_B}[A-Za-z]:[\\/]{_REST}",
+    "quoted": r"""(?=["'“‘`])(?:"[^"\n]*"|'[^'\n]*'|“[^”\n]*”|‘[^’\n]*’|`[^`\n]*`)""",
+    "url": rf"(?=[hfw]){_B}(?:https?://{_REST}|ftp://{_REST}|www\.[A-Za-z0-9_.\-]+)",
+    "path": rf"{_NO_PART}(?={_PART}*+/)(?:(?:{_PART}++/){{2,}}{_PART}*(?:/[^{_SPACE}<>\"']*)?|/(?:{_PART}++/)*{_PART}+|(?!(?:and|or|either)/)(?:{_PART}++/)+{_PART}+)|\./{_REST}|~/{_REST}|(?=[A-Za-z]:){_B}[A-Za-z]:[\\/]{_REST}",
     "required_term": "",
-    "date": rf"{_NO_ALNUM}{_D}{{4}}[-/]{_D}{{1,2}}[-/]{_D}{{1,2}}(?![A-Za-z0-9])|{_NO_ALNUM}{_D}{{1,2}}[-/]{_D}{{1,2}}[-/]{_D}{{2,4}}(?![A-Za-z0-9])|{_NO_ALNUM}(?:{MONTHS})[a-z]*[{_SPACE}]+{_D}{{1,2}}(?:st|nd|rd|th)?,?[{_SPACE}]+{_D}{{4}}(?![A-Za-z0-9])|{_NO_ALNUM}{_D}{{1,2}}(?:st|nd|rd|th)?[{_SPACE}]+(?:{MONTHS})[a-z]*[{_SPACE}]+{_D}{{4}}(?![A-Za-z0-9])",
+    "date": rf"(?=[{_D}{''.join(sorted({m[0] for m in MONTHS.split('|')}))}]){_NO_ALNUM}(?:{_D}{{4}}[-/]{_D}{{1,2}}[-/]{_D}{{1,2}}|{_D}{{1,2}}[-/]{_D}{{1,2}}[-/]{_D}{{2,4}}|(?:{MONTHS})[a-z]*[{_SPACE}]+{_D}{{1,2}}(?:st|nd|rd|th)?,?[{_SPACE}]+{_D}{{4}}|{_D}{{1,2}}(?:st|nd|rd|th)?[{_SPACE}]+(?:{MONTHS})[a-z]*[{_SPACE}]+{_D}{{4}})(?![A-Za-z0-9])",
     "unit": rf"(?i)(?<![A-Za-z]){T.branching(UNITS)}(?![A-Za-z])",
     "number": rf"(?<![A-Za-z0-9.]){_D}+(?:,{_D}{{3}})*(?:\.{_D}+)?%?",
-    "operator": rf"<=|>=|!=|==|&&|\|\||[+*/]|(?<={_D})-(?={_D})",
+    "operator": rf"(?=[<>!=&|+*/-])(?:<=|>=|!=|==|&&|\|\||[+*/]|(?<={_D})-(?={_D}))",
 }
 _WORDS = {
     "negation": "not no never none nobody nothing nowhere without neither nor isn't isnt aren't arent wasn't wasnt weren't werent don't dont doesn't doesnt didn't didnt can't cant cannot won't wont wouldn't wouldnt couldn't couldnt shouldn't shouldnt mustn't mustnt hasn't hasnt haven't havent hadn't hadnt".split(),
@@ -83,6 +84,7 @@ LIKELY = {
     "number": _DIGIT,
 }
 _NONE = "cast(array() as array<struct<start:int,end:int,value:string>>)"
+_NO_ANCHORS = "cast(array() as array<struct<category:string,start:int,end:int,value:string,canonical:string>>)"
 
 
 def _of(text: str, category: str, pattern: str) -> str:
@@ -100,7 +102,7 @@ def ordered(spans: str) -> str:
 def protected_candidates(text: str, terms: tuple[str, ...] = ()) -> str:
     """All matches of the nine categories, by priority, then start and end; they may overlap. In the words of SQL, as are anchors."""
     quoted = lambda t: "".join("\\" + c if not c.isalnum() and c.isascii() and c != " " else c for c in t)
-    wanted = [_of(text, "required_term", rf"(?iu){_B}{quoted(t)}{_E}") for t in terms if t]
+    wanted = [_of(text, "required_term", rf"(?iu)(?={quoted(t)}){_B}{quoted(t)}{_E}") for t in terms if t]
     found = [_of(text, category, pattern) for category, pattern in PROTECTED.items() if pattern]
     if wanted:
         found.insert(list(PROTECTED).index("required_term"), ordered(f"concat({', '.join(wanted)})"))
@@ -134,18 +136,19 @@ def _chosen(size: pd.Series, starts: pd.Series, ends: pd.Series, anchor_starts:
     return pd.DataFrame(out, columns=["protected", "anchors"])
 
 
-def extracted(rows: DataFrame, columns: dict[str, str], terms: tuple[str, ...] = ()) -> DataFrame:
+def extracted(rows: DataFrame, columns: dict[str, str], terms: tuple[str, ...] = (), anchored: bool = True) -> DataFrame:
     """``rows`` with, for each text column, an array of its protected spans and of its anchors, named by its prefix.
 
     Protected spans do not overlap: a span gives way to one of an earlier category, or of its own category and an earlier
-    start. Anchors that overlap a protected span are left out. Both are ordered by start. A null text is the empty one.
+    start. Anchors that overlap a protected span are left out. Both are ordered by start. A null text is the empty one. Unless
+    ``anchored``, anchors are not looked for, which is much of the work.
     """
     importable(rows.sparkSession)
     found = rows
     for column, prefix in columns.items():
         p, a, c, text = f"{prefix}_p", f"{prefix}_a", f"{prefix}_c", f"{prefix}_text"
         found = found.withColumn(text, T.unmarked(F.coalesce(F.col(column), F.lit(""))))
-        found = found.withColumns({p: F.expr(protected_candidates(text, terms)), a: F.expr(anchor_candidates(text))})
+        found = found.withColumns({p: F.expr(protected_candidates(text, terms)), a: F.expr(anchor_candidates(text) if anchored else _NO_ANCHORS)})
         at = lambda name, field: F.expr(f"transform({name}, s -> s.{field})")
         found = found.withColumn(c, _chosen(F.length(text), at(p, "start"), at(p, "end"), at(a, "start"), at(a, "end")))
         kept = lambda name, field: F.expr(ordered(f"transform({c}.{field}, i -> get({name}, i))"))  # noqa: E731, B023

@@ -30,10 +30,10 @@ RUNS = {
     "command": rf"(?md)^\${_BLANK}+{_INK}{_REST}",
 }
 LINES = {"heading": rf"(?md)^#{{1,6}}{_BLANK}+{_INK}{_REST}"}
-LINK = {"markdown_link": r"\[[^\]\n]*\]\([^)\n]+\)|\[[^\]\n]*\]\[[^\]\n]*\]|\[[^\]\n]*\]:[^\n]*"}
+LINK = {"markdown_link": r"\[[^\]\n]*\](?:\([^)\n]+\)|\[[^\]\n]*\]|:[^\n]*)"}
 NAMES = {
-    "api_name": rf"(?<!{_WORD})[A-Za-z_][A-Za-z0-9_]*+(?:\.[A-Za-z_][A-Za-z0-9_]*+)++|(?<!{_WORD})[a-z][a-z0-9]*+(?:_[a-z0-9]++)++(?!{_WORD})|(?<!{_WORD})[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9_]*(?!{_WORD})|(?<!{_WORD})[A-Za-z_][A-Za-z0-9_]*+(?:{_BLANK}|\n)*+\(",
-    "tag": r"#[A-Za-z][A-Za-z0-9_]*|@[A-Za-z][A-Za-z0-9_]*|<[^>]+>",
+    "api_name": rf"(?=[A-Za-z_])(?<!{_WORD})(?:[A-Za-z_][A-Za-z0-9_]*+(?:\.[A-Za-z_][A-Za-z0-9_]*+)++|[a-z][a-z0-9]*+(?:_[a-z0-9]++)++(?!{_WORD})|[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9_]*(?!{_WORD})|[A-Za-z_][A-Za-z0-9_]*+(?:{_BLANK}|\n)*+\()",
+    "tag": r"(?=[#@<])(?:[#@][A-Za-z][A-Za-z0-9_]*|<[^>]+>)",
 }
 HAN = "[一-鿿]"
 HAN_RATIO = 0.1
@@ -51,6 +51,7 @@ FENCES = {"yaml": "yaml_block", "yml": "yaml_block", "json": "json_block"}
 #: Regions in the order in which those of one place and length give way, the protected spans of the fidelity gate last.
 CATEGORIES = (*RUNS, *LINES, "code_block", "yaml_block", "json_block", *LINK, *fidelity.PROTECTED, *NAMES)
 _SPANS = "array<struct<category:string,start:int,end:int>>"
+_NONE = "cast(array() as array<struct<category:int,start:int,end:int>>)"
 
 
 def joined_lines(spans: list[tuple[int, int, int]], kinds: int = len(RUNS)) -> list[tuple[int, int, int]]:
@@ -108,16 +109,17 @@ def _fences(text: str) -> str:
     return f"transform({T.spans_sql(text, fidelity.PROTECTED['code_block'])}, s -> named_struct('category', {kind}, 'start', s.start, 'end', s.end))"
 
 
-def with_regions(rows: DataFrame, terms: tuple[str, ...] = ()) -> DataFrame:
+def with_regions(rows: DataFrame, terms: tuple[str, ...] = (), named: bool = True) -> DataFrame:
     """``rows`` (with text) and two arrays of (category, start, end): ``regions`` that do not overlap, and ``technical`` spans, in
-    which names of interfaces and tags are united with the regions they touch. A null text is the empty one."""
+    which names of interfaces and tags are united with the regions they touch; unless ``named``, those are not looked for. A null
+    text is the empty one."""
     importable(rows.sparkSession)
-    found = fidelity.extracted(rows.withColumn("text", F.coalesce("text", F.lit(""))), {"text": "_f"}, terms).drop("_f_a")
+    found = fidelity.extracted(rows.withColumn("text", F.coalesce("text", F.lit(""))), {"text": "_f"}, terms, anchored=False).drop("_f_a")
     found = found.withColumn("_t", T.unmarked(F.col("text")))
     numbers = "map(" + ", ".join(f"'{c}', {CATEGORIES.index(c)}" for c in fidelity.PROTECTED) + ")"
     base = f"transform(_f_p, s -> named_struct('category', {numbers}[s.category], 'start', s.start, 'end', s.end))"
     lines = [_found("_t", c, p) for c, p in (RUNS | LINES).items()]
-    found = found.withColumns({"_r": F.expr(f"concat({', '.join([*lines, _fences('_t'), _found('_t', 'markdown_link', LINK['markdown_link']), base])})"), "_n": F.expr(f"concat({', '.join(_found('_t', c, p) for c, p in NAMES.items())})")})
+    found = found.withColumns({"_r": F.expr(f"concat({', '.join([*lines, _fences('_t'), _found('_t', 'markdown_link', LINK['markdown_link']), base])})"), "_n": F.expr(f"concat({', '.join(_found('_t', c, p) for c, p in NAMES.items())})" if named else _NONE)})
     fields = [F.expr(f"transform({name}, s -> s.{field})") for name in ("_r", "_n") for field in ("category", "start", "end")]
     found = found.withColumn("_s", _settled(*fields))
     listed = "array(" + ", ".join(f"'{c}'" for c in CATEGORIES) + ")"
@@ -132,7 +134,7 @@ def _exploded(rows: DataFrame, name: str) -> DataFrame:
 
 def repair_regions(docs: DataFrame, terms: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, category, start_pos, end_pos) of what a repair leaves byte for byte as it is."""
-    return _exploded(with_regions(docs.select("doc_id", "text"), terms), "regions")
+    return _exploded(with_regions(docs.select("doc_id", "text"), terms, named=False), "regions")
 
 
 def technical_spans(docs: DataFrame, terms: tuple[str, ...] = ()) -> DataFrame:

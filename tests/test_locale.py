@@ -137,3 +137,16 @@ def test_generated_texts_equal_slow_counterparts(spark):
             want |= {(i, p, *m.span()) for p in range(len(locale.ZH_RULES)) for m in re.finditer(locale.ZH_RULES[p][1], blank)}
     numbers = {label: n for n, (_, _, label) in enumerate(locale.ZH_RULES)}
     assert {(r.doc_id, numbers[r.pattern], r.start_pos, r.end_pos) for r in locale.zh_cn_findings(docs).collect()} == want and want
+
+
+def test_regions_look_for_regions_alone(spark):
+    """No anchor and no name of an interface is looked for where only regions are told; names still are for technical spans."""
+    docs = spark.createDataFrame([(1, "It may not call os.path at 45% now")], "doc_id long, text string")
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
+    regions, spans = locale.repair_regions(docs), locale.technical_spans(docs)
+    anchor, name = "nobody|nothing", r"[a-z][a-zA-Z0-9]*[A-Z]"
+    held = lambda frame, part: frame._jdf.queryExecution().analyzed().toString().replace(fidelity.T.quick(part), part).count(part)
+    assert not held(regions, anchor) and not held(regions, name) and not held(spans, anchor) and held(spans, name)
+    assert plan(regions).count("regexp_replace") < plan(spans).count("regexp_replace")
+    assert {(r.category, r.start_pos) for r in regions.collect()} == {("number", 27)}
+    assert {(r.category, r.start_pos) for r in spans.collect()} == {("api_name", 16), ("number", 27)}
