@@ -68,28 +68,35 @@ def block_shape(pairs: DataFrame) -> DataFrame:
     return out.select("pair_id", "source_blocks", "candidate_blocks", "removed", "added", "moved", (same & (F.col("moved") > 0)).alias("reordered"), (same & (F.col("moved") == 0)).alias("unchanged"))
 
 
+@helper(ArrayType(IntegerType()))
+def _smallest(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Numbers of the spans that are chosen, shortest first, then the first; a span without both places overlaps nothing."""
+    out = []
+    for a, b in zip(starts, ends, strict=True):
+        kept, tops, tails = [], [], []
+        for i in sorted(range(len(a)), key=lambda i: (False, b[i] - a[i], a[i]) if a[i] is not None and b[i] is not None else (True, 0, 0)):
+            start, end = a[i], b[i]
+            if start is not None and end is not None:
+                at = bisect_right(tops, start)
+                if (at and tails[at - 1] > start) or (at < len(tops) and tops[at] < end):
+                    continue
+                tops.insert(at, start)
+                tails.insert(at, end)
+            kept.append(i)
+        out.append(sorted(kept))
+    return pd.Series(out)
+
+
 def smallest_first(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """``spans`` (key, start_pos, end_pos, and more) that are chosen: the shortest first, then the first, none that overlaps one chosen.
 
-    Chosen spans are kept in order, so a document of n spans takes n log n steps. A document's spans meet in one task.
+    Chosen spans are kept in order, so a document of n spans takes n log n steps. A document's spans are one row, and very many
+    rows go to the helper at once.
     """
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        starts: list[int] = []
-        ends: list[int] = []
-        kept = []
-        order = pdf.assign(_n=pdf.end_pos - pdf.start_pos).sort_values(["_n", "start_pos"], kind="stable").index
-        for i, a, b in zip(order, pdf.start_pos[order].tolist(), pdf.end_pos[order].tolist(), strict=True):
-            at = bisect_right(starts, a)
-            if (at and ends[at - 1] > a) or (at < len(starts) and starts[at] < b):
-                continue
-            starts.insert(at, a)
-            ends.insert(at, b)
-            kept.append(i)
-        return pdf.loc[sorted(kept)]
-
     importable(spans.sparkSession)
-    return spans.groupBy(key).applyInPandas(choose, spans.schema)
+    held = spans.groupBy(key).agg(F.collect_list(F.struct(*[c for c in spans.columns if c != key])).alias("held"))
+    told = held.withColumn("chosen", _smallest(F.transform("held", lambda s: s["start_pos"]), F.transform("held", lambda s: s["end_pos"])))
+    return told.select(key, F.explode(F.transform("chosen", lambda i: F.get("held", i))).alias("s")).select(*[F.col(c if c == key else f"s.{c}").alias(c) for c in spans.columns])
 
 
 def carried(places: DataFrame, edits: DataFrame) -> DataFrame:

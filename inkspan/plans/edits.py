@@ -87,7 +87,8 @@ def _carried(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _smallest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshape.smallest_first(findings(spark, sf_dir).select("doc_id", "start_pos", "end_pos").distinct())
+    # Places alone are asked for, so findings are not weighed
+    return reshape.smallest_first(score.findings_of(seeded(spark, sf_dir)).select("doc_id", "start_pos", "end_pos").distinct())
 
 
 def _mended(spark: SparkSession, sf_dir: str) -> DataFrame:

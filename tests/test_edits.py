@@ -61,6 +61,16 @@ def test_smallest_spans_equal_a_slow_choice(spark):
     assert {d: sorted(v) for d, v in got.items()} == {d: slow_smallest([(a, b) for e, a, b in rows if e == d]) for d in {r[0] for r in rows}}
 
 
+def test_smallest_spans_of_many_documents_go_to_the_helper_at_once(spark, sf_dir):
+    """No call of Python for each document, columns and keys as they are, and findings whose places alone are asked for are not weighed."""
+    rows = [("x", 0, 9, None), ("x", 4, 6, "kept"), (None, 1, 2, "of no one"), ("y", None, 3, "unplaced"), ("y", 0, 5, "late"), ("y", 0, 4, "early")]
+    frame = reshape.smallest_first(spark.createDataFrame(rows, "name string, start_pos long, end_pos long, note string"), "name")
+    assert frame.columns == ["name", "start_pos", "end_pos", "note"]
+    assert sorted(map(tuple, frame.collect()), key=repr) == sorted([rows[1], rows[2], rows[3], rows[5]], key=repr)
+    assert "InPandas" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in edits.OPERATORS["smallest_spans"][0](spark, sf_dir)._jdf.queryExecution().analyzed().toString()
+
+
 def test_moved_blocks_are_what_a_longest_run_leaves():
     rng = random.Random(7)
     for _ in range(500):
